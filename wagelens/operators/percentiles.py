@@ -66,13 +66,14 @@ def select_ranks(hist: DataFrame, targets: DataFrame, keys: Sequence[str], *,
                    F.raise_error(F.lit(f"percentile value exceeds {levels * digit_bits} bits")))
     for level in range(levels):
         shift = (levels - 1 - level) * digit_bits
-        lvl = (hist.select(*keys,
-                           F.coalesce(guard.cast("long"),
-                                      F.shiftright("_u", shift + digit_bits)).alias("_pre"),
-                           F.shiftright("_u", shift).bitwiseAND(F.lit(mask)).alias("_d"),
-                           "_c")
-                   .groupBy(*keys, "_pre", "_d")
-                   .agg(F.sum("_c").alias("_dc")))
+        lvl = hist.select(*keys,
+                          F.coalesce(guard.cast("long"),
+                                     F.shiftright("_u", shift + digit_bits)).alias("_pre"),
+                          F.shiftright("_u", shift).bitwiseAND(F.lit(mask)).alias("_d"),
+                          F.col("_c").alias("_dc"))
+        if shift > 0:
+            # (keys, value) is unique in hist, so only upper levels aggregate
+            lvl = lvl.groupBy(*keys, "_pre", "_d").agg(F.sum("_dc").alias("_dc"))
         right = F.broadcast(cur) if broadcast_targets else cur
         cond = _key_match(lvl, right, keys, rkeys) + [lvl["_pre"] == right["_p"]]
         j = lvl.join(right, cond).select(*[lvl[k] for k in keys], "_t", "_r", *extra,
@@ -116,11 +117,6 @@ def grouped_percentiles(hist: DataFrame, groups: DataFrame, keys: Sequence[str],
     groups.  Values are divided by ``scale`` before interpolation.
     """
     keys = list(keys)
-    if bounded_groups and keys:
-        # only the histogram rows of the (few) selected groups take part
-        gk = F.broadcast(groups.select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)]))
-        hist = hist.join(gk, [hist[k].eqNullSafe(gk[f"_g{i}"]) for i, k in enumerate(keys)],
-                         "left_semi")
     targets = percentile_targets(groups, keys, probs, n_col)
     picked = select_ranks(hist, targets, keys, value_bits=value_bits, digit_bits=digit_bits,
                           broadcast_targets=bounded_groups)

@@ -10,11 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import stats
-from ..operators.filters import PayFilter, stat_guard_sql
-from ..sources.tables import pay_table
-from .sqltext import m5_query
+from ..operators import paging, stats
+from ..operators.filters import PayFilter, Range, stat_guard_sql
+from ..sources.tables import pay_table, with_pay
+from .sqltext import PAY_D, m5_query, pct, r4
 
 #: keyword used by the keyword-title queries on the driver data (the
 #: survey default is "engineer"; driver titles look like "SMALL blue bolt")
@@ -50,6 +51,305 @@ def q_engineer_by_location(spark, sf_dir):
     return stats.engineer_by_location(pay(spark, sf_dir), limit=10, keyword=KEYWORD)
 
 
+
+@register("pay_stats", with_pay(
+    "SELECT count(*) AS count, " + r4("avg(annual_base_pay) / 100") + " AS average_salary, "
+    + r4(pct(0.5)) + " AS median_salary, min(annual_base_pay) AS min_salary_cents, "
+    "max(annual_base_pay) AS max_salary_cents, " + r4(pct(0.25)) + " AS q1_salary, "
+    + r4(pct(0.75)) + " AS q3_salary, " + r4(f"stddev_samp({PAY_D})") + " AS standard_deviation, "
+    + r4("avg(CAST(years_experience_industry AS DOUBLE))") + " AS average_experience, "
+    + r4(pct(0.5, "years_experience_industry")) + " AS median_experience, "
+    "min(CAST(years_experience_industry AS DOUBLE)) AS min_experience, "
+    "max(CAST(years_experience_industry AS DOUBLE)) AS max_experience "
+    "FROM pay WHERE " + stat_guard_sql()))
+def q_pay_stats(spark, sf_dir):
+    return stats.pay_stats(pay(spark, sf_dir))
+
+
+F_MULTI = PayFilter(location_contains="nation_1", annual_base_pay=Range(min=1_000_000, max=8_000_000),
+                    years_experience_industry=Range(min=5), timestamp_after="1996-01-01",
+                    timestamp_before="2000-12-31 23:59:59")
+
+
+@register("pay_stats_filtered", with_pay(
+    "SELECT count(*) AS count, " + r4("avg(annual_base_pay) / 100") + " AS average_salary, "
+    + r4(pct(0.5)) + " AS median_salary, min(annual_base_pay) AS min_salary_cents, "
+    "max(annual_base_pay) AS max_salary_cents, " + r4(pct(0.25)) + " AS q1_salary, "
+    + r4(pct(0.75)) + " AS q3_salary, " + r4(f"stddev_samp({PAY_D})") + " AS standard_deviation, "
+    + r4("avg(CAST(years_experience_industry AS DOUBLE))") + " AS average_experience, "
+    + r4(pct(0.5, "years_experience_industry")) + " AS median_experience, "
+    "min(CAST(years_experience_industry AS DOUBLE)) AS min_experience, "
+    "max(CAST(years_experience_industry AS DOUBLE)) AS max_experience "
+    f"FROM pay WHERE {F_MULTI.to_sql()} AND " + stat_guard_sql()))
+def q_pay_stats_filtered(spark, sf_dir):
+    return stats.pay_stats(pay(spark, sf_dir), F_MULTI)
+
+
+F_PAY = PayFilter(annual_base_pay=Range(min=1_000_000))
+
+
+@register("location_stats", m5_query(
+    ["location"], f"{F_PAY.to_sql()} AND {stat_guard_sql('annual_base_pay', 'location')}",
+    having="count(*) >= 3", top=10))
+def q_location_stats(spark, sf_dir):
+    return stats.location_stats(pay(spark, sf_dir), F_PAY, limit=10)
+
+
+@register("job_title_stats", m5_query(
+    ["job_title"], stat_guard_sql("annual_base_pay", "job_title"), having="count(*) >= 2", top=10))
+def q_job_title_stats(spark, sf_dir):
+    return stats.job_title_stats(pay(spark, sf_dir), limit=10)
+
+
+F_ENG = PayFilter(location_contains="NATION_1", job_title_contains="gear")  # title is overwritten
+
+
+@register("engineer_stats", m5_query(
+    [], f"{F_ENG.replace(job_title_contains=KEYWORD).to_sql()} AND {stat_guard_sql()}"))
+def q_engineer_stats(spark, sf_dir):
+    return stats.engineer_stats(pay(spark, sf_dir), F_ENG, keyword=KEYWORD)
+
+
+@register("highest_paid_roles", m5_query(
+    ["job_title"], stat_guard_sql("annual_base_pay", "job_title")
+    + " AND years_experience_industry BETWEEN 0 AND 50",
+    having="count(*) >= 3 AND avg(annual_base_pay) / 100 > 50000", top=10,
+    extra=r4("avg(CAST(years_experience_industry AS DOUBLE))") + " AS avg_experience"))
+def q_highest_paid_roles(spark, sf_dir):
+    return stats.highest_paid_roles(pay(spark, sf_dir), 0, 50, 10)
+
+
+@register("highest_paid_roles_senior", m5_query(
+    ["job_title"], stat_guard_sql("annual_base_pay", "job_title")
+    + " AND years_experience_industry BETWEEN 30 AND 50",
+    having="count(*) >= 3 AND avg(annual_base_pay) / 100 > 50000", top=5,
+    extra=r4("avg(CAST(years_experience_industry AS DOUBLE))") + " AS avg_experience"))
+def q_highest_paid_roles_senior(spark, sf_dir):
+    return stats.highest_paid_roles(pay(spark, sf_dir), 30, 50, 5)
+
+
+@register("extended_stats", with_pay(
+    "SELECT count(annual_base_pay) AS count, min(annual_base_pay) AS min, max(annual_base_pay) AS max, "
+    + r4("CAST(sum(annual_base_pay) AS DOUBLE) / count(annual_base_pay)") + " AS avg, "
+    "CAST(sum(annual_base_pay) AS BIGINT) AS sum, "
+    "CAST(sum(CAST(annual_base_pay AS HUGEINT) * annual_base_pay) AS DOUBLE) AS sum_of_squares, "
+    + r4("CAST(count(*) * sum(CAST(annual_base_pay AS HUGEINT) * annual_base_pay) - sum(CAST(annual_base_pay AS HUGEINT)) * sum(CAST(annual_base_pay AS HUGEINT)) AS DOUBLE) / (CAST(count(*) AS DOUBLE) * count(*))") + " AS variance, "
+    + r4("sqrt(CAST(count(*) * sum(CAST(annual_base_pay AS HUGEINT) * annual_base_pay) - sum(CAST(annual_base_pay AS HUGEINT)) * sum(CAST(annual_base_pay AS HUGEINT)) AS DOUBLE) / (CAST(count(*) AS DOUBLE) * count(*)))") + " AS std_deviation "
+    "FROM pay WHERE annual_base_pay IS NOT NULL"))
+def q_extended_stats(spark, sf_dir):
+    return stats.extended_stats(pay(spark, sf_dir))
+
+
+_VIEW = dict(count_name="total_records", avg_name="avg_salary", min_name="min_salary",
+             max_name="max_salary", min_max_dollars=True)
+
+
+@register("compensation_by_location", m5_query(["location"], stat_guard_sql(), **_VIEW))
+def q_compensation_by_location(spark, sf_dir):
+    return stats.compensation_by_location(pay(spark, sf_dir))
+
+
+@register("compensation_by_title", m5_query(
+    ["job_title"], stat_guard_sql("annual_base_pay", "job_title"), **_VIEW))
+def q_compensation_by_title(spark, sf_dir):
+    return stats.compensation_by_title(pay(spark, sf_dir))
+
+
+@register("engineer_compensation", m5_query(
+    ["location", "job_title"], f"job_title ILIKE '%{KEYWORD}%' AND {stat_guard_sql()}", **_VIEW))
+def q_engineer_compensation(spark, sf_dir):
+    return stats.engineer_compensation(pay(spark, sf_dir), keyword=KEYWORD)
+
+
+@register("overview", with_pay(
+    "SELECT count(*) AS total_records, count(DISTINCT employer) AS unique_companies, "
+    "count(DISTINCT location) AS unique_locations, count(DISTINCT job_title) AS unique_job_titles, "
+    + r4("avg(annual_base_pay) / 100") + " AS overall_avg_salary, "
+    + r4("min(annual_base_pay) / 100.0") + " AS min_salary, "
+    + r4("max(annual_base_pay) / 100.0") + " AS max_salary, "
+    + r4(pct(0.25)) + " AS q1_salary, " + r4(pct(0.5)) + " AS median_salary, "
+    + r4(pct(0.75)) + " AS q3_salary FROM pay WHERE " + stat_guard_sql()))
+def q_overview(spark, sf_dir):
+    return stats.overview(pay(spark, sf_dir)).drop("last_updated")
+
+
+F_COUNT = PayFilter(industry="Brand#13", gender="r", employment_type="f",
+                    annual_bonus=Range(min=100_000), years_experience_company=Range(max=25))
+
+
+@register("count_rows", with_pay(f"SELECT count(*) AS total FROM pay WHERE {F_COUNT.to_sql()}"))
+def q_count_rows(spark, sf_dir):
+    return stats.count_rows(pay(spark, sf_dir), F_COUNT)
+
+
+@register("company_stats", m5_query(
+    ["employer"], stat_guard_sql("annual_base_pay", "employer"), having="count(*) >= 2", top=10))
+def q_company_stats(spark, sf_dir):
+    return stats.company_stats(pay(spark, sf_dir), limit=10)
+
+
+_BRACKET_SQL = ("CASE WHEN years_experience_industry < 2 THEN '0-2 years' "
+                "WHEN years_experience_industry < 5 THEN '2-5 years' "
+                "WHEN years_experience_industry < 10 THEN '5-10 years' ELSE '10+ years' END")
+
+
+@register("experience_bracket_stats", with_pay(
+    f"SELECT {_BRACKET_SQL} AS experience_bracket, count(*) AS count, "
+    + r4("avg(annual_base_pay) / 100") + " AS average_salary, " + r4(pct(0.5)) + " AS median_salary "
+    "FROM pay WHERE annual_base_pay IS NOT NULL GROUP BY 1 ORDER BY 1"))
+def q_experience_bracket_stats(spark, sf_dir):
+    return stats.experience_bracket_stats(pay(spark, sf_dir))
+
+
+@register("gender_stats", with_pay(
+    "SELECT gender, count, " + r4("a") + " AS average_salary, "
+    + r4("100.0 * (max(a) OVER () - a) / max(a) OVER ()") + " AS pay_gap_percentage FROM ("
+    "SELECT gender, count(*) AS count, avg(annual_base_pay) / 100 AS a FROM pay WHERE "
+    + stat_guard_sql() + " GROUP BY gender) t ORDER BY gender"))
+def q_gender_stats(spark, sf_dir):
+    return stats.gender_stats(pay(spark, sf_dir))
+
+
+_TOTAL_SQL = "(coalesce(annual_base_pay, 0) + coalesce(annual_bonus, 0) + coalesce(stock_value, 0))"
+
+
+@register("total_comp_stats", with_pay(
+    f"SELECT CAST(sum({_TOTAL_SQL}) AS BIGINT) AS total_compensation_sum, "
+    + r4(f"avg({_TOTAL_SQL}) / 100.0") + " AS average_total_compensation FROM pay WHERE "
+    + stat_guard_sql()))
+def q_total_comp_stats(spark, sf_dir):
+    return stats.total_comp_stats(pay(spark, sf_dir))
+
+
+_RANGE_SQL = (f"CASE WHEN {_TOTAL_SQL} / 100.0 < 50000 THEN 'Entry Level' "
+              f"WHEN {_TOTAL_SQL} / 100.0 < 100000 THEN 'Mid Level' "
+              f"WHEN {_TOTAL_SQL} / 100.0 < 200000 THEN 'Senior Level' ELSE 'Executive Level' END")
+_LEVEL_SQL = ("CASE WHEN coalesce(years_experience_industry, 0) < 2 THEN 'Junior' "
+              "WHEN coalesce(years_experience_industry, 0) < 5 THEN 'Mid-Level' "
+              "WHEN coalesce(years_experience_industry, 0) < 10 THEN 'Senior' ELSE 'Expert' END")
+
+
+@register("range_level_stats", with_pay(
+    f"SELECT {_RANGE_SQL} AS compensation_range, {_LEVEL_SQL} AS experience_level, count(*) AS count "
+    "FROM pay GROUP BY 1, 2 ORDER BY 1, 2"))
+def q_range_level_stats(spark, sf_dir):
+    return stats.range_level_stats(pay(spark, sf_dir))
+
+
+@register("experience_pay_correlation", with_pay(
+    "SELECT count(*) AS pairs, " + r4(f"corr(CAST(years_experience_industry AS DOUBLE), {PAY_D})")
+    + " AS correlation FROM pay WHERE " + stat_guard_sql()
+    + " AND years_experience_industry IS NOT NULL"))
+def q_experience_pay_correlation(spark, sf_dir):
+    return stats.experience_pay_correlation(pay(spark, sf_dir))
+
+
+@register("salary_trends_by_location", with_pay(
+    "SELECT id, strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS ts, annual_base_pay, job_title "
+    "FROM pay WHERE location = 'NATION_3' AND timestamp >= TIMESTAMP '1996-01-01' "
+    "AND timestamp <= TIMESTAMP '1997-12-31 23:59:59' ORDER BY timestamp, id"))
+def q_salary_trends_by_location(spark, sf_dir):
+    df = stats.salary_trends_by_location(pay(spark, sf_dir), "NATION_3", "1996-01-01",
+                                         "1997-12-31 23:59:59")
+    return df.select("id", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("ts"),
+                     "annual_base_pay", "job_title")
+
+
+# ---------------------------------------------------------------------------
+# O / J: list, sort, page, lookup, projection
+# ---------------------------------------------------------------------------
+
+F_LIST = PayFilter(employer="supplier#0000000", location_contains="nation_")
+LIST_SORT = [("ANNUAL_BASE_PAY", "DESC"), ("TIMESTAMP", "ASC")]
+
+
+def _list_sql(where: str, order: str, limit: int, offset: int, cols: str) -> str:
+    return with_pay(f"SELECT {cols} FROM pay WHERE {where} ORDER BY {order}, id ASC "
+                    f"LIMIT {limit} OFFSET {offset}")
+
+
+_LIST_COLS = ("id, employer, location, job_title, annual_base_pay, "
+              "strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS ts")
+
+
+def _list_cols(df, *extra):
+    return df.select("id", "employer", "location", "job_title", "annual_base_pay",
+                     F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("ts"), *extra)
+
+
+@register("list_page", _list_sql(F_LIST.to_sql(),
+                                 "annual_base_pay DESC NULLS FIRST, timestamp ASC NULLS LAST",
+                                 20, 40, _LIST_COLS))
+def q_list_page(spark, sf_dir):
+    rows, _ = paging.list_pay(pay(spark, sf_dir), F_LIST, LIST_SORT, limit=20, offset=40)
+    return _list_cols(rows)
+
+
+@register("list_page_info", with_pay(
+    f"SELECT count(*) AS total_count, 40 + 20 < count(*) AS has_next_page, "
+    f"TRUE AS has_previous_page FROM pay WHERE {F_LIST.to_sql()}"))
+def q_list_page_info(spark, sf_dir):
+    _, info = paging.list_pay(pay(spark, sf_dir), F_LIST, LIST_SORT, limit=20, offset=40)
+    return info
+
+
+@register("sort_bonus_nulls", _list_sql(
+    "TRUE", "annual_bonus DESC NULLS FIRST, years_experience_company ASC NULLS LAST", 100, 0,
+    _LIST_COLS + ", annual_bonus"))
+def q_sort_bonus_nulls(spark, sf_dir):
+    sort = [("ANNUAL_BONUS", "DESC"), ("YEARS_EXPERIENCE_COMPANY", "ASC")]
+    df = paging.page(pay(spark, sf_dir), sort, limit=500, offset=0)  # capped to 100
+    return _list_cols(df, "annual_bonus")
+
+
+@register("page_limit_capped", _list_sql(
+    "TRUE", "years_experience_industry ASC NULLS LAST", 100, 7, _LIST_COLS))
+def q_page_limit_capped(spark, sf_dir):
+    df = paging.page(pay(spark, sf_dir), [("YEARS_EXPERIENCE_INDUSTRY", "ASC")], limit=1000, offset=7)
+    return _list_cols(df)
+
+
+@register("page_after_cursor", _list_sql(
+    "TRUE", "annual_base_pay DESC NULLS FIRST", 20, 20, _LIST_COLS))
+def q_page_after_cursor(spark, sf_dir):
+    df = pay(spark, sf_dir)
+    sort = [("ANNUAL_BASE_PAY", "DESC")]
+    first = paging.page_after(df, sort, None, 20)
+    # the cursor of the last row of page one (a 20-row page -> driver)
+    last = first.orderBy(F.col("annual_base_pay").asc(), F.col("id").desc()).select("cursor").first()
+    return _list_cols(paging.page_after(df, sort, last["cursor"], 20))
+
+
+@register("get_by_id", with_pay(
+    "SELECT id, employer, job_title, annual_base_pay FROM pay WHERE id = "
+    "(SELECT min(id) FROM pay WHERE location = 'NATION_7')"))
+def q_get_by_id(spark, sf_dir):
+    df = pay(spark, sf_dir)
+    rid = df.where(F.col("location") == "NATION_7").agg(F.min("id")).first()[0]
+    return paging.get_by_id(df, rid).select("id", "employer", "job_title", "annual_base_pay")
+
+
+@register("get_by_id_missing", with_pay("SELECT id FROM pay WHERE id = '1'"))
+def q_get_by_id_missing(spark, sf_dir):
+    return paging.get_by_id(pay(spark, sf_dir), "1").select("id")
+
+
+@register("api_view", with_pay(
+    "SELECT id, annual_base_pay AS annualBasePayCents, "
+    "CASE WHEN annual_base_pay <> 0 THEN CAST(floor(annual_base_pay / 100.0 + 0.5) AS BIGINT) END AS annualBasePay, "
+    "CASE WHEN annual_bonus <> 0 THEN CAST(floor(annual_bonus / 100.0 + 0.5) AS BIGINT) END AS annualBonus, "
+    "CASE WHEN stock_value <> 0 THEN CAST(floor(stock_value / 100.0 + 0.5) AS BIGINT) END AS stockValue, "
+    "CASE WHEN annual_base_pay > 0 THEN '$' || format('{:,}', CAST(floor(abs(annual_base_pay) / 100.0 + 0.5) AS BIGINT)) END AS annualBasePayFormatted, "
+    f"CASE WHEN {_TOTAL_SQL} <> 0 THEN CAST(floor({_TOTAL_SQL} / 100.0 + 0.5) AS BIGINT) END AS totalCompensation, "
+    f"CASE WHEN {_TOTAL_SQL} > 0 THEN '$' || format('{{:,}}', CAST(floor(abs({_TOTAL_SQL}) / 100.0 + 0.5) AS BIGINT)) END AS totalCompensationFormatted, "
+    "job_title AS jobTitle, location, employer FROM pay"))
+def q_api_view(spark, sf_dir):
+    return paging.select_fields(pay(spark, sf_dir), [
+        "id", "annualBasePayCents", "annualBasePay", "annualBonus", "stockValue",
+        "annualBasePayFormatted", "totalCompensation", "totalCompensationFormatted", "jobTitle",
+        "location", "employer"])
+
+
 def queries() -> dict[str, Builder]:
     return dict(REGISTRY)
 
