@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ..operators import paging, stats
 from ..operators.filters import PayFilter, Range, stat_guard_sql
+from ..schema import RAW_FIELDS
+from ..sources import survey_csv
 from ..sources.tables import pay_table, with_pay
 from .sqltext import PAY_D, m5_query, pct, r4
 
@@ -350,6 +352,143 @@ def q_api_view(spark, sf_dir):
         "location", "employer"])
 
 
+
+# ---------------------------------------------------------------------------
+# F / N: cleaning rules over survey-shaped text derived from the driver data
+# ---------------------------------------------------------------------------
+
+def _fmt_int_sql(x: str) -> str:
+    return f"CAST(CAST(floor({x}) AS BIGINT) AS VARCHAR)"
+
+
+#: raw survey text built from the pay adapter (same strings in both engines)
+RAW_SQL = (
+    "SELECT id, "
+    "CASE WHEN gender = 'R' THEN '   ' ELSE concat(' ', employer, chr(39) || 's ') END AS employer, "
+    "location, concat(chr(34), job_title, chr(34)) AS job_title, "
+    "strftime(timestamp, '%-m/%-d/%Y %-H:%-M:%-S') AS timestamp, "
+    "CASE gender WHEN 'A' THEN concat(" + _fmt_int_sql("annual_base_pay / 100000") + ", '.', "
+    + _fmt_int_sql("annual_base_pay / 10000 - floor(annual_base_pay / 100000) * 10") + ", 'k') "
+    "WHEN 'N' THEN concat('$', format('{:,}', CAST(floor(annual_base_pay / 100) AS BIGINT))) "
+    "ELSE concat('USD ', " + _fmt_int_sql("annual_base_pay / 100") + ", '.', "
+    "lpad(" + _fmt_int_sql("annual_base_pay - floor(annual_base_pay / 100) * 100") + ", 2, '0')) END AS annual_base_pay, "
+    "CASE WHEN annual_bonus IS NULL THEN 'n/a' ELSE " + _fmt_int_sql("annual_bonus / 100") + " END AS annual_bonus, "
+    "CASE employment_type WHEN 'O' THEN concat(" + _fmt_int_sql("years_experience_industry") + ", ' - ', "
+    + _fmt_int_sql("years_experience_industry + 3") + ", ' years') "
+    "ELSE concat(" + _fmt_int_sql("years_experience_industry") + ", ' years or more') END AS years_experience_industry, "
+    "concat(" + _fmt_int_sql("years_experience_company") + ", ',5') AS years_experience_company, "
+    "CASE gender WHEN 'A' THEN ' Yes ' WHEN 'N' THEN 'Not Offered' ELSE 'maybe' END AS health_insurance_offered, "
+    "CASE employment_type WHEN 'F' THEN concat(" + _fmt_int_sql("years_experience_industry") + ", '.5') "
+    "ELSE " + _fmt_int_sql("years_experience_industry * 4") + " END AS actual_hours_per_week "
+    "FROM pay")
+
+
+def raw_survey_frame(spark, sf_dir):
+    """Spark twin of ``RAW_SQL``: survey-shaped text from the pay adapter."""
+    c = F.col
+
+    def fmt_int(x):
+        return F.floor(x).cast("long").cast("string")
+
+    pay_c = c("annual_base_pay")
+    years = c("years_experience_industry")
+    df = pay(spark, sf_dir)
+    return df.select(
+        "id",
+        F.when(c("gender") == "R", F.lit("   "))
+         .otherwise(F.concat(F.lit(" "), c("employer"), F.lit("'s "))).alias("employer"),
+        "location",
+        F.concat(F.lit('"'), c("job_title"), F.lit('"')).alias("job_title"),
+        F.date_format("timestamp", "M/d/yyyy H:m:s").alias("timestamp"),
+        F.when(c("gender") == "A",
+               F.concat(fmt_int(pay_c / 100000), F.lit("."),
+                        fmt_int(pay_c / 10000 - F.floor(pay_c / 100000) * 10), F.lit("k")))
+         .when(c("gender") == "N",
+               F.concat(F.lit("$"), F.format_number(F.floor(pay_c / 100), 0)))
+         .otherwise(F.concat(F.lit("USD "), fmt_int(pay_c / 100), F.lit("."),
+                             F.lpad(fmt_int(pay_c - F.floor(pay_c / 100) * 100), 2, "0")))
+         .alias("annual_base_pay"),
+        F.when(c("annual_bonus").isNull(), F.lit("n/a"))
+         .otherwise(fmt_int(c("annual_bonus") / 100)).alias("annual_bonus"),
+        F.when(c("employment_type") == "O",
+               F.concat(fmt_int(years), F.lit(" - "), fmt_int(years + 3), F.lit(" years")))
+         .otherwise(F.concat(fmt_int(years), F.lit(" years or more")))
+         .alias("years_experience_industry"),
+        F.concat(fmt_int(c("years_experience_company")), F.lit(",5")).alias("years_experience_company"),
+        F.when(c("gender") == "A", F.lit(" Yes ")).when(c("gender") == "N", F.lit("Not Offered"))
+         .otherwise(F.lit("maybe")).alias("health_insurance_offered"),
+        F.when(c("employment_type") == "F", F.concat(fmt_int(years), F.lit(".5")))
+         .otherwise(fmt_int(years * 4)).alias("actual_hours_per_week"),
+    )
+
+
+_LEAD_U = "'^([0-9]+(\\.[0-9]*)?|\\.[0-9]+)'"
+_LEAD_S = "'^-?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)'"
+_RANGE = "'(?i)([0-9]+)\\s*[-–]\\s*([0-9]+)\\s*years?'"
+
+
+def _num_sql(x: str) -> str:
+    return (f"CASE WHEN {x} IS NULL OR {x} = '' THEN NULL "
+            f"WHEN regexp_matches({x}, {_RANGE}) THEN (CAST(regexp_extract({x}, {_RANGE}, 1) AS DOUBLE) "
+            f"+ CAST(regexp_extract({x}, {_RANGE}, 2) AS DOUBLE)) / 2.0 "
+            f"ELSE TRY_CAST(NULLIF(regexp_extract(regexp_replace({x}, '[^0-9.\\-]', '', 'g'), {_LEAD_S}, 0), '') AS DOUBLE) END")
+
+
+def _money_sql(x: str) -> str:
+    kept = f"regexp_replace(lower({x}), '[^0-9.k]', '', 'g')"
+    k_num = (f"TRY_CAST(NULLIF(regexp_extract(regexp_replace({kept}, '^([^k]*)k', '\\1'), {_LEAD_U}, 0), '') AS DOUBLE)")
+    plain = f"TRY_CAST(NULLIF(regexp_extract({kept}, {_LEAD_U}, 0), '') AS DOUBLE)"
+    return (f"CASE WHEN {x} IS NULL OR {x} = '' THEN NULL "
+            f"WHEN strpos({kept}, 'k') > 0 THEN CAST(floor({k_num} * 1000.0 * 100.0 + 0.5) AS BIGINT) "
+            f"WHEN {plain} > 0 THEN CAST(floor({plain} * 100.0 + 0.5) AS BIGINT) END")
+
+
+def _sanitize_sql(x: str) -> str:
+    t = f"regexp_replace(regexp_replace({x}, '^\\s+|\\s+$', '', 'g'), '[' || chr(39) || chr(34) || ']', '', 'g')"
+    return f"CASE WHEN {t} <> '' THEN {t} END"
+
+
+def _clamp_exp(x: str) -> str:
+    return f"CASE WHEN {x} > 99 THEN 50.0 WHEN {x} < 0 THEN NULL ELSE {x} END"
+
+
+CLEAN_SQL = with_pay(
+    "SELECT id, coalesce(" + _sanitize_sql("r.employer") + ", 'Unknown Company') AS employer, "
+    "coalesce(" + _sanitize_sql("r.location") + ", 'Unknown Location') AS location, "
+    "coalesce(" + _sanitize_sql("r.job_title") + ", 'Unknown Position') AS job_title, "
+    "strftime(try_strptime(r.timestamp, '%m/%d/%Y %H:%M:%S'), '%Y-%m-%d %H:%M:%S') AS ts, "
+    + _clamp_exp(_num_sql("r.years_experience_industry")) + " AS years_experience_industry, "
+    + _clamp_exp(_num_sql("r.years_experience_company")) + " AS years_experience_company, "
+    "least(" + _money_sql("r.annual_base_pay") + ", 99999999999) AS annual_base_pay, "
+    + _money_sql("r.annual_bonus") + " AS annual_bonus, "
+    "CASE lower(trim(r.health_insurance_offered)) WHEN 'yes' THEN TRUE WHEN 'not offered' THEN FALSE END AS health_insurance_offered, "
+    "h AS actual_hours_per_week, "
+    "CAST(round((CASE WHEN trim(coalesce(r.employer, '')) <> '' THEN 25 ELSE 0 END + "
+    "CASE WHEN trim(coalesce(r.location, '')) <> '' THEN 25 ELSE 0 END + "
+    "CASE WHEN trim(coalesce(r.job_title, '')) <> '' THEN 25 ELSE 0 END + "
+    "CASE WHEN trim(coalesce(r.annual_base_pay, '')) <> '' THEN 25 ELSE 0 END) / 100.0 * 100) AS INTEGER) AS data_quality_score, "
+    "concat_ws(',', CASE WHEN h < 0 OR h > 168 THEN 'hours_out_of_range' END, "
+    "CASE WHEN h IS NOT NULL AND h <> floor(h) THEN 'actual_hours_per_week_not_integer' END) AS reasons "
+    "FROM (SELECT *, " + _num_sql("actual_hours_per_week") + " AS h FROM (" + RAW_SQL + ")) r")
+
+
+@register("clean_survey_rules", CLEAN_SQL)
+def q_clean_survey_rules(spark, sf_dir):
+    raw = raw_survey_frame(spark, sf_dir)
+    raw = raw.select("id", *[F.col(f) if f in raw.columns else F.lit(None).cast("string").alias(f)
+                             for f in RAW_FIELDS])
+    cleaned = survey_csv.clean_survey(raw, "lineitem", keep=("id",))
+    cleaned = survey_csv.clamp_outliers(survey_csv.keep_valid_rows(cleaned))
+    cleaned = cleaned.withColumn("row_number", F.lit(1))
+    reasons = survey_csv.constraint_reasons(cleaned)
+    return cleaned.select(
+        "id", "employer", "location", "job_title",
+        F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("ts"),
+        "years_experience_industry", "years_experience_company", "annual_base_pay",
+        "annual_bonus", "health_insurance_offered", "actual_hours_per_week",
+        "data_quality_score", F.concat_ws(",", reasons).alias("reasons"))
+
+
 def queries() -> dict[str, Builder]:
     return dict(REGISTRY)
 
