@@ -7,6 +7,7 @@ data.  Parameters are fixed per entry so results are comparable.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,9 @@ from ..operators import paging, stats
 from ..operators.filters import PayFilter, Range, stat_guard_sql
 from ..schema import RAW_FIELDS
 from ..sources import survey_csv
-from ..sources.tables import pay_table, with_pay
+from ..session import scratch_path
+from ..sources.tables import pay_table, read_table, table_path, with_pay
+from ..streaming import changes
 from .sqltext import PAY_D, m5_query, pct, r4
 
 #: keyword used by the keyword-title queries on the driver data (the
@@ -489,6 +492,124 @@ def q_clean_survey_rules(spark, sf_dir):
         "data_quality_score", F.concat_ws(",", reasons).alias("reasons"))
 
 
+
+# ---------------------------------------------------------------------------
+# C: change capture / apply / streaming sync
+# ---------------------------------------------------------------------------
+
+def _scratch(spark, name: str) -> str:
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+def _snapshots(spark, sf_dir):
+    df = pay(spark, sf_dir)
+    before = df.where(F.col("location") != "NATION_0")
+    after = df.where(F.col("location") != "NATION_1").withColumn(
+        "annual_bonus", F.when(F.col("gender") == "A", F.coalesce("annual_bonus", F.lit(0)) + 1)
+                         .otherwise(F.col("annual_bonus")))
+    return before, after.select(*before.columns)
+
+
+@register("capture_changes", with_pay(
+    "SELECT CASE WHEN b.id IS NULL THEN 'INSERT' WHEN a.id IS NULL THEN 'DELETE' ELSE 'UPDATE' END "
+    "AS operation, coalesce(a.id, b.id) AS id, a.annual_bonus AS annual_bonus "
+    "FROM (SELECT * FROM pay WHERE location <> 'NATION_0') b FULL OUTER JOIN "
+    "(SELECT id, CASE WHEN gender = 'A' THEN coalesce(annual_bonus, 0) + 1 ELSE annual_bonus END "
+    "AS annual_bonus FROM pay WHERE location <> 'NATION_1') a ON b.id = a.id "
+    "WHERE b.id IS NULL OR a.id IS NULL OR b.annual_bonus IS DISTINCT FROM a.annual_bonus"))
+def q_capture_changes(spark, sf_dir):
+    before, after = _snapshots(spark, sf_dir)
+    ch = changes.capture_changes(before, after)
+    return ch.select("operation", "id", F.col("data.annual_bonus").alias("annual_bonus"))
+
+
+_EVENTS_CH_SQL = (
+    "SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN 'DELETE' "
+    "WHEN event_type = 'signup' THEN 'INSERT' ELSE 'UPDATE' END AS operation, "
+    "CAST(user_id AS VARCHAR) AS id, CAST(round(value * 100) AS BIGINT) AS annual_base_pay, "
+    "TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS years_experience_industry FROM events")
+
+_STATE_SQL = (
+    "SELECT id, seq, annual_base_pay, years_experience_industry, "
+    "annual_base_pay AS total_compensation, "
+    "CASE WHEN annual_base_pay / 100.0 < 50000 THEN 'Entry Level' WHEN annual_base_pay / 100.0 < 100000 "
+    "THEN 'Mid Level' WHEN annual_base_pay / 100.0 < 200000 THEN 'Senior Level' ELSE 'Executive Level' END "
+    "AS compensation_range, "
+    "CASE WHEN coalesce(years_experience_industry, 0) < 2 THEN 'Junior' "
+    "WHEN coalesce(years_experience_industry, 0) < 5 THEN 'Mid-Level' "
+    "WHEN coalesce(years_experience_industry, 0) < 10 THEN 'Senior' ELSE 'Expert' END AS experience_level "
+    f"FROM ({_EVENTS_CH_SQL}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1 "
+    "AND operation <> 'DELETE'")
+
+_STATE_COLS = ("id", "seq", "annual_base_pay", "years_experience_industry", "total_compensation",
+               "compensation_range", "experience_level")
+
+
+def _events(spark, sf_dir):
+    return read_table(spark, sf_dir, "events")
+
+
+@register("apply_changes", _STATE_SQL)
+def q_apply_changes(spark, sf_dir):
+    state = changes.apply_changes(None, changes.events_as_changes(_events(spark, sf_dir)))
+    return state.select(*_STATE_COLS)
+
+
+@register("change_json_roundtrip", f"SELECT seq, operation, id, annual_base_pay FROM ({_EVENTS_CH_SQL}) "
+          "WHERE operation <> 'DELETE' UNION ALL SELECT seq, operation, id, NULL FROM "
+          f"({_EVENTS_CH_SQL}) WHERE operation = 'DELETE'")
+def q_change_json_roundtrip(spark, sf_dir):
+    js = changes.change_to_json(changes.events_as_changes(_events(spark, sf_dir)))
+    back = changes.change_from_json(js)
+    return back.select("seq", "operation", "id", F.col("data.annual_base_pay").alias("annual_base_pay"))
+
+
+def _event_stream(spark, sf_dir):
+    schema = _events(spark, sf_dir).schema
+    # the file source watches a folder; the glob picks the events file in it
+    return (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+            .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+
+
+@register("stream_changes", _STATE_SQL)
+def q_stream_changes(spark, sf_dir):
+    base, ckpt = _scratch(spark, "docs"), _scratch(spark, "docs-ckpt")
+    q = changes.stream_changes(changes.events_as_changes(_event_stream(spark, sf_dir)), base, ckpt)
+    q.awaitTermination()
+    return changes.current_state(spark, base).select(*_STATE_COLS)
+
+
+@register("latest_state_stream", "SELECT id, seq, operation FROM (" + _EVENTS_CH_SQL + ") "
+          "QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1")
+def q_latest_state_stream(spark, sf_dir):
+    out, ckpt = _scratch(spark, "latest"), _scratch(spark, "latest-ckpt")
+    st = changes.latest_state(changes.events_as_changes(_event_stream(spark, sf_dir)))
+    changes.run_to_table(st.select("id", "seq", "operation"), out, ckpt, mode="complete")
+    return spark.read.parquet(out)
+
+
+@register("streaming_overview",
+          "SELECT event_type, count(*) AS total_records, sum(CAST(round(value * 100) AS BIGINT)) AS sum_value, "
+          "min(CAST(round(value * 100) AS BIGINT)) AS min_value, "
+          "max(CAST(round(value * 100) AS BIGINT)) AS max_value FROM events GROUP BY event_type")
+def q_streaming_overview(spark, sf_dir):
+    out, ckpt = _scratch(spark, "overview"), _scratch(spark, "overview-ckpt")
+    s = _event_stream(spark, sf_dir).select(
+        "event_type", F.col("user_id").alias("id"),
+        F.round(F.col("value") * 100).cast("long").alias("annual_base_pay"))
+    changes.run_to_table(changes.streaming_overview(s, by="event_type", approx=False), out, ckpt)
+    return spark.read.parquet(out)
+
+
+@register("reconcile", with_pay(
+    "SELECT count(s.id) AS source_count, count(t.id) AS target_count, "
+    "count_if(t.id IS NULL) AS missing_in_target, count_if(s.id IS NULL) AS extra_in_target "
+    "FROM pay s FULL OUTER JOIN (SELECT id FROM pay WHERE location <> 'NATION_2') t ON s.id = t.id"))
+def q_reconcile(spark, sf_dir):
+    df = pay(spark, sf_dir)
+    return changes.reconcile(df, df.where(F.col("location") != "NATION_2"))
+
+
 def queries() -> dict[str, Builder]:
     return dict(REGISTRY)
 
