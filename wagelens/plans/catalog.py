@@ -13,12 +13,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import paging, stats
+from ..functions.money import round4
+from ..operators import paging, quality, search, stats
 from ..operators.filters import PayFilter, Range, stat_guard_sql
-from ..schema import RAW_FIELDS
+from ..schema import (RAW_FIELDS, TITLE_CATEGORIES, TITLE_SENIORITY, TITLE_SYNONYMS,
+                      VARCHAR_LIMITS)
 from ..sources import survey_csv
 from ..session import scratch_path
-from ..sources.tables import pay_table, read_table, table_path, with_pay
+from ..sources.tables import PAY_SQL, pay_table, read_table, with_pay
 from ..streaming import changes
 from .sqltext import PAY_D, m5_query, pct, r4
 
@@ -610,6 +612,210 @@ def q_reconcile(spark, sf_dir):
     return changes.reconcile(df, df.where(F.col("location") != "NATION_2"))
 
 
+
+# ---------------------------------------------------------------------------
+# H: search
+# ---------------------------------------------------------------------------
+
+_TOK_SQL = "list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: length(t) > 0)"
+
+
+def _tok_sql(x: str) -> str:
+    return _TOK_SQL.format(x=x)
+
+
+FUZZY_TEXT = "blt gizmoo"
+
+
+def _fuzzy_sql(field: str, text: str) -> str:
+    conds = []
+    for t in search.py_tokens(text):
+        k = search.auto_fuzziness(t)
+        conds.append(f"(abs(length(token) - {len(t)}) <= {k} AND levenshtein(token, '{t}') <= {k})")
+    return with_pay(
+        f"SELECT id, {field} FROM pay WHERE id IN (SELECT id FROM (SELECT id, "
+        f"unnest({_tok_sql(field)}) AS token FROM pay) WHERE {' OR '.join(conds)})")
+
+
+@register("fuzzy_match_title", _fuzzy_sql("job_title", FUZZY_TEXT))
+def q_fuzzy_match_title(spark, sf_dir):
+    return search.fuzzy_match(pay(spark, sf_dir), "job_title", FUZZY_TEXT).select("id", "job_title")
+
+
+def _bm25_sql(from_sql: str, key: str, text: str, query: str, limit: int, ctes: str = "") -> str:
+    terms = sorted(set(search.py_tokens(query)))
+    in_list = ", ".join(f"'{t}'" for t in terms)
+    score = ("ln(1.0 + (CAST(n AS DOUBLE) - dfreq + 0.5) / (dfreq + 0.5)) * CAST(tf AS DOUBLE) * 2.2 "
+             "/ (CAST(tf AS DOUBLE) + 1.2 * (0.25 + 0.75 * dl / avgdl))")
+    return (
+        f"WITH {ctes}d AS (SELECT {key} AS k, {_tok_sql(text)} AS t FROM {from_sql}), "
+        "st AS (SELECT count(*) AS n, avg(CAST(len(t) AS DOUBLE)) AS avgdl FROM d), "
+        "h AS (SELECT k, dl, term, count(*) AS tf FROM (SELECT k, len(t) AS dl, unnest(t) AS term FROM d) "
+        f"WHERE term IN ({in_list}) GROUP BY k, dl, term), "
+        "df AS (SELECT term, count(*) AS dfreq FROM h GROUP BY term) "
+        f"SELECT k AS {key}, {r4(f'sum({score})')} AS score FROM h JOIN df USING (term) CROSS JOIN st "
+        f"GROUP BY k ORDER BY sum({score}) DESC, k LIMIT {limit}")
+
+
+PAY_QUERY = "blue bolt nation_3"
+
+
+@register("search_pay", _bm25_sql(
+    "pay", "id", "concat_ws(' ', employer, job_title, location)", PAY_QUERY, 20,
+    ctes="pay AS (" + PAY_SQL + "), "))
+def q_search_pay(spark, sf_dir):
+    out = search.search_pay(pay(spark, sf_dir), PAY_QUERY, limit=20)
+    return out.select("id", round4("score").alias("score"))
+
+
+DOC_QUERY = "the market data en le"
+
+
+@register("search_documents", _bm25_sql("documents", "doc_id", "text", DOC_QUERY, 20))
+def q_search_documents(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    out = search.bm25(docs, "doc_id", F.col("text"), DOC_QUERY, limit=20)
+    return out.select("doc_id", round4("score").alias("score"))
+
+
+def _suggest_sql(field: str, prefix: str, limit: int = 10) -> str:
+    return with_pay(
+        f"SELECT {field} AS text, CAST(count(*) AS DOUBLE) AS score FROM pay "
+        f"WHERE starts_with(lower({field}), '{prefix.lower()}') GROUP BY {field} "
+        f"ORDER BY score DESC, text LIMIT {limit}")
+
+
+@register("suggest_employer", _suggest_sql("employer", "Supplier#00000001"))
+def q_suggest_employer(spark, sf_dir):
+    return search.suggest(pay(spark, sf_dir), "employer", "Supplier#00000001")
+
+
+@register("suggest_title", _suggest_sql("job_title", "small b"))
+def q_suggest_title(spark, sf_dir):
+    return search.suggest(pay(spark, sf_dir), "job_title", "small b")
+
+
+@register("suggest_location", _suggest_sql("location", "nation_1", 5))
+def q_suggest_location(spark, sf_dir):
+    return search.suggest(pay(spark, sf_dir), "location", "nation_1", 5)
+
+
+@register("exact_term", with_pay("SELECT id, industry FROM pay WHERE industry = 'Brand#13'"))
+def q_exact_term(spark, sf_dir):
+    return search.exact_term(pay(spark, sf_dir), "industry", "Brand#13").select("id", "industry")
+
+
+# ---------------------------------------------------------------------------
+# X: quality and dimensions
+# ---------------------------------------------------------------------------
+
+def _validation_sql() -> str:
+    rules = {
+        "pay_negative": "annual_base_pay < 0",
+        "pay_out_of_bounds": "annual_base_pay < 100000 OR annual_base_pay > 1000000000",
+        "experience_negative": "years_experience_industry < 0",
+        "experience_above_60": "years_experience_industry > 60",
+    }
+    for name in ("source_file", "employer", "industry", "location", "country", "job_title",
+                 "employment_type", "gender"):
+        rules[f"{name}_too_long"] = f"length({name}) > {VARCHAR_LIMITS[name]}"
+    parts = [f"SELECT '{n}' AS rule, count_if(coalesce({p}, FALSE)) AS failures, count(*) AS total FROM pay"
+             for n, p in rules.items()]
+    return with_pay(
+        "SELECT rule, failures, total, floor(failures / total * 1000000 + 0.5) / 1000000 AS failure_rate, "
+        "failures / total > 0.05 AS alert FROM (" + " UNION ALL ".join(parts) + ")")
+
+
+@register("validation_report", _validation_sql())
+def q_validation_report(spark, sf_dir):
+    return quality.validation_report(pay(spark, sf_dir))
+
+
+@register("build_companies", with_pay(
+    "SELECT employer AS name, industry, CAST(NULL AS VARCHAR) AS size_category, "
+    "CAST(NULL AS BOOLEAN) AS is_public FROM (SELECT employer, industry, count(*) AS n FROM pay "
+    "WHERE employer IS NOT NULL AND industry IS NOT NULL GROUP BY 1, 2) "
+    "QUALIFY row_number() OVER (PARTITION BY employer ORDER BY n DESC, industry) = 1"))
+def q_build_companies(spark, sf_dir):
+    return quality.build_companies(pay(spark, sf_dir)).drop("company_id")
+
+
+@register("build_locations", with_pay(
+    "SELECT nullif(trim(p[1]), '') AS city, CASE WHEN len(p) > 1 THEN nullif(trim(p[2]), '') END "
+    "AS state_province, CASE WHEN len(p) > 2 THEN nullif(trim(p[3]), '') END AS country, full_location "
+    "FROM (SELECT DISTINCT location AS full_location, string_split(location, ',') AS p FROM pay "
+    "WHERE location IS NOT NULL)"))
+def q_build_locations(spark, sf_dir):
+    return quality.build_locations(pay(spark, sf_dir)).select(
+        "city", "state_province", "country", "full_location")
+
+
+def _rules_sql(x: str, rules, default: str) -> str:
+    whens = " ".join(f"WHEN regexp_matches(lower({x}), '{p}') THEN '{label}'" for label, p in rules)
+    return f"CASE {whens} ELSE '{default}' END"
+
+
+def _normalize_title_sql(x: str) -> str:
+    s = f"lower({x})"
+    for group in TITLE_SYNONYMS:
+        alts = sorted(group[1:], key=len, reverse=True)
+        s = f"regexp_replace({s}, '\\b(" + "|".join(alts) + f")\\b', '{group[0]}', 'g')"
+    stem = ("CASE WHEN length(t) <= 3 THEN t WHEN regexp_matches(t, 'ies$') THEN regexp_replace(t, 'ies$', 'y') "
+            "WHEN regexp_matches(t, '(ss|us|is)$') THEN t "
+            "WHEN regexp_matches(t, 'ing$') AND length(t) > 5 THEN regexp_replace(t, 'ing$', '') "
+            "WHEN regexp_matches(t, 'ed$') AND length(t) > 4 THEN regexp_replace(t, 'ed$', '') "
+            "WHEN regexp_matches(t, '(ch|sh|x|z)es$') THEN regexp_replace(t, 'es$', '') "
+            "WHEN regexp_matches(t, 's$') THEN regexp_replace(t, 's$', '') ELSE t END")
+    return f"array_to_string(list_transform({_tok_sql(s)}, lambda t: {stem}), ' ')"
+
+
+@register("build_job_titles", with_pay(
+    f"SELECT title, {_normalize_title_sql('title')} AS normalized_title, "
+    f"{_rules_sql('title', TITLE_CATEGORIES, 'Other')} AS category, "
+    f"{_rules_sql('title', TITLE_SENIORITY, 'Mid')} AS seniority_level "
+    "FROM (SELECT DISTINCT job_title AS title FROM pay WHERE job_title IS NOT NULL)"))
+def q_build_job_titles(spark, sf_dir):
+    return quality.build_job_titles(pay(spark, sf_dir)).drop("job_title_id")
+
+
+_DEDUP_KEYS = ["employer", "job_title", "location", "annual_base_pay", "timestamp"]
+
+
+@register("deduplicate", with_pay(
+    "SELECT id FROM pay QUALIFY row_number() OVER (PARTITION BY "
+    + ", ".join(_DEDUP_KEYS) + " ORDER BY source_file, id) = 1"))
+def q_deduplicate(spark, sf_dir):
+    return quality.deduplicate(pay(spark, sf_dir), _DEDUP_KEYS).select("id")
+
+
+_INITCAP = ("array_to_string(list_transform(string_split({x}, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')")
+
+
+@register("normalize_record", with_pay(
+    "SELECT id, CASE WHEN annual_base_pay BETWEEN 100000 AND 1000000000 THEN annual_base_pay END "
+    "AS annual_base_pay_bounded, "
+    + _INITCAP.format(x="regexp_replace(regexp_replace(trim(location), '\\s*,\\s*', ', ', 'g'), '\\s+', ' ', 'g')")
+    + " AS location_normalized, " + _normalize_title_sql("job_title") + " AS job_title_normalized, "
+    "regexp_replace(regexp_replace(regexp_replace(lower(trim(employer)), '[.,]', '', 'g'), "
+    "'\\s+(inc|llc|ltd|corp|corporation|co|company)$', ''), '\\s+', ' ', 'g') AS employer_normalized FROM pay"))
+def q_normalize_record(spark, sf_dir):
+    return quality.normalize_record(pay(spark, sf_dir)).select(
+        "id", "annual_base_pay_bounded", "location_normalized", "job_title_normalized",
+        "employer_normalized")
+
+
+@register("star_join", with_pay(
+    "SELECT id, employer IS NOT NULL AS has_company, location IS NOT NULL AS has_location, "
+    "job_title IS NOT NULL AS has_title FROM pay"))
+def q_star_join(spark, sf_dir):
+    df = pay(spark, sf_dir)
+    j = quality.star_join(df, quality.build_companies(df), quality.build_locations(df),
+                          quality.build_job_titles(df))
+    return j.select("id", F.col("company_id").isNotNull().alias("has_company"),
+                    F.col("location_id").isNotNull().alias("has_location"),
+                    F.col("job_title_id").isNotNull().alias("has_title"))
+
+
 def queries() -> dict[str, Builder]:
     return dict(REGISTRY)
 

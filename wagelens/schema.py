@@ -253,3 +253,24 @@ CHANGE_DATA_FIELDS = (
     "industry", "gender", "employment_type", "years_experience_industry",
     "years_experience_company", "annual_base_pay", "annual_bonus", "stock_value",
 )
+
+# ---------------------------------------------------------------------------
+# DECISIONS (not fixed by the survey service): job-title classification used
+# by the job_titles dimension.  First matching rule wins; patterns run on the
+# lower-cased title.
+# ---------------------------------------------------------------------------
+
+TITLE_CATEGORIES = (
+    ("Engineering", r"engineer|developer|programmer|swe|devops|architect"),
+    ("Data", r"data|analyst|scientist|analytics"),
+    ("Product", r"product"),
+    ("Design", r"design|ux|ui"),
+    ("Management", r"manager|director|head|vp|vice president|chief|cto|ceo"),
+)
+
+TITLE_SENIORITY = (
+    ("Intern", r"intern"),
+    ("Junior", r"junior|\bjr\b|entry level|associate"),
+    ("Executive", r"chief|\bcto\b|\bceo\b|vice president|\bvp\b|director|\bhead\b"),
+    ("Senior", r"senior|\bsr\b|lead|principal|staff"),
+)
