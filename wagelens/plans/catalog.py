@@ -20,7 +20,7 @@ from ..schema import (RAW_FIELDS, TITLE_CATEGORIES, TITLE_SENIORITY, TITLE_SYNON
                       VARCHAR_LIMITS)
 from ..sources import survey_csv
 from ..session import scratch_path
-from ..sources.tables import PAY_SQL, pay_table, read_table, with_pay
+from ..sources.tables import PAY_SQL, materialized_pay, read_table, with_pay
 from ..streaming import changes
 from .sqltext import PAY_D, m5_query, pct, r4
 
@@ -43,7 +43,8 @@ def register(name: str, sql: str | None = None):
 
 
 def pay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pay_table(spark, sf_dir)
+    """The canonical pay table over the driver tables (written once)."""
+    return materialized_pay(spark, sf_dir)
 
 
 # ---------------------------------------------------------------------------
@@ -673,7 +674,7 @@ DOC_QUERY = "the market data en le"
 
 @register("search_documents", _bm25_sql("documents", "doc_id", "text", DOC_QUERY, 20))
 def q_search_documents(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents")
+    docs = read_table(spark, sf_dir, "documents", spread_rows=True)
     out = search.bm25(docs, "doc_id", F.col("text"), DOC_QUERY, limit=20)
     return out.select("doc_id", round4("score").alias("score"))
 

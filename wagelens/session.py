@@ -62,3 +62,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A named location under the shared checkpoint folder."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return bool(fs.exists(p))
+
+
+def is_committed(spark: SparkSession, path: str) -> bool:
+    """A table folder whose write finished (``_SUCCESS`` marker present)."""
+    return path_exists(spark, path.rstrip("/") + "/_SUCCESS")

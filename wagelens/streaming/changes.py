@@ -205,10 +205,7 @@ def read_changes(spark: SparkSession, path: str, fmt: str = "json",
     return r.load(path)
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+from ..session import _fs  # noqa: E402
 
 
 def committed_versions(spark: SparkSession, base: str) -> list[int]:
