@@ -17,6 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.money import round4
 from ..schema import TITLE_SYNONYMS
 from ..sources.tables import bounded_broadcast
 from .filters import PayFilter, apply_filter
@@ -148,7 +149,9 @@ def bm25(docs: DataFrame, key: str, text: Column, query: str, limit: int = 20,
     tf = F.col("_tf").cast("double")
     norm = tf + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("_dl") / F.col("_avgdl"))
     score = idf * tf * F.lit(k1 + 1) / norm
-    return (j.groupBy(key).agg(F.sum(score).alias("score"))
+    # ranked on the score rounded to 4 places: equal scores summed in a
+    # different order must tie (and fall back to the key), not differ by an ulp
+    return (j.groupBy(key).agg(round4(F.sum(score)).alias("score"))
              .orderBy(F.col("score").desc(), F.col(key).asc()).limit(limit))
 
 

@@ -655,7 +655,7 @@ def _bm25_sql(from_sql: str, key: str, text: str, query: str, limit: int, ctes:
         f"WHERE term IN ({in_list}) GROUP BY k, dl, term), "
         "df AS (SELECT term, count(*) AS dfreq FROM h GROUP BY term) "
         f"SELECT k AS {key}, {r4(f'sum({score})')} AS score FROM h JOIN df USING (term) CROSS JOIN st "
-        f"GROUP BY k ORDER BY sum({score}) DESC, k LIMIT {limit}")
+        f"GROUP BY k ORDER BY {r4(f'sum({score})')} DESC, k LIMIT {limit}")
 
 
 PAY_QUERY = "blue bolt nation_3"
@@ -665,8 +665,7 @@ PAY_QUERY = "blue bolt nation_3"
     "pay", "id", "concat_ws(' ', employer, job_title, location)", PAY_QUERY, 20,
     ctes="pay AS (" + PAY_SQL + "), "))
 def q_search_pay(spark, sf_dir):
-    out = search.search_pay(pay(spark, sf_dir), PAY_QUERY, limit=20)
-    return out.select("id", round4("score").alias("score"))
+    return search.search_pay(pay(spark, sf_dir), PAY_QUERY, limit=20)
 
 
 DOC_QUERY = "the market data en le"
@@ -675,8 +674,7 @@ DOC_QUERY = "the market data en le"
 @register("search_documents", _bm25_sql("documents", "doc_id", "text", DOC_QUERY, 20))
 def q_search_documents(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents", spread_rows=True)
-    out = search.bm25(docs, "doc_id", F.col("text"), DOC_QUERY, limit=20)
-    return out.select("doc_id", round4("score").alias("score"))
+    return search.bm25(docs, "doc_id", F.col("text"), DOC_QUERY, limit=20)
 
 
 def _suggest_sql(field: str, prefix: str, limit: int = 10) -> str:

@@ -119,7 +119,9 @@ def apply_changes(target: DataFrame | None, changes: DataFrame, key: str = "id",
     means an empty target.  The result is the new full state.
     """
     last = latest_changes(changes, key)
-    rows = last.where(F.col("operation") != "DELETE").select("seq", "data.*")
+    fields = [f.name for f in last.schema["data"].dataType.fields if f.name != key]
+    rows = last.where(F.col("operation") != "DELETE").select(
+        key, "seq", *[F.col(f"data.{f}").alias(f) for f in fields])
     if enrich:
         rows = enrich_document(rows)
     if stamp:
