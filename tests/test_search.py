@@ -37,7 +37,8 @@ def test_normalize_title_synonyms(spark):
                                "t string")
     got = [r.n for r in df.select(H.normalize_title("t").alias("n")).collect()]
     assert got[0] == got[1] == "senior software engineer"
-    assert got[2] == "vice president of data scientist"
+    # synonyms run before the stemmer (as in the analyzer chain): "analysts" is no synonym hit
+    assert got[2] == "vice president of data analyst"
 
 
 def test_suggest_prefix_case_insensitive(spark):
