@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import round4
 from ..operators import paging, quality, search, stats
-from ..operators.filters import PayFilter, Range, stat_guard_sql
+from ..operators.filters import PayFilter, Range, apply_filter, stat_guard_sql
 from ..schema import (RAW_FIELDS, TITLE_CATEGORIES, TITLE_SENIORITY, TITLE_SYNONYMS,
                       VARCHAR_LIMITS)
 from ..sources import survey_csv
@@ -815,6 +815,219 @@ def q_star_join(spark, sf_dir):
                     F.col("job_title_id").isNotNull().alias("has_title"))
 
 
+
+# ---------------------------------------------------------------------------
+# N: CSV round trip, report, sample, strict loader, parse-error split
+# ---------------------------------------------------------------------------
+
+_S3 = "salary_survey-3.csv"
+_CSV_COLS = ("employer", "location", "job_title", "timestamp", "annual_base_pay", "annual_bonus",
+             "years_experience_industry", "years_experience_company")
+
+
+def _write_survey_csv(spark, sf_dir) -> str:
+    """The derived raw text written as survey-3 CSV files (real headers)."""
+    from ..schema import SURVEY_HEADERS
+    hdr = SURVEY_HEADERS[_S3]
+    raw = raw_survey_frame(spark, sf_dir)
+    out = _scratch(spark, "survey3-csv")
+    (raw.select(*[F.col(c).alias(hdr[c]) for c in _CSV_COLS])
+        .write.option("header", True).option("escape", '"').csv(out))
+    return out
+
+
+_CSV_CLEAN_COLS = ("employer", "location", "job_title", "ts", "years_experience_industry",
+                   "years_experience_company", "annual_base_pay", "annual_bonus", "data_quality_score")
+
+
+@register("ingest_csv_roundtrip", "SELECT " + ", ".join(_CSV_CLEAN_COLS) + " FROM (" + CLEAN_SQL + ")")
+def q_ingest_csv_roundtrip(spark, sf_dir):
+    path = _write_survey_csv(spark, sf_dir)
+    table, rejected, _ = survey_csv.ingest_surveys(spark, {_S3: path})
+    cols = ["employer", "location", "job_title", "timestamp", "years_experience_industry",
+            "years_experience_company", "annual_base_pay", "annual_bonus", "data_quality_score"]
+    both = table.select(*cols).unionByName(rejected.select(*cols))  # loaded + quarantined rows
+    return both.select(
+        "employer", "location", "job_title",
+        F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("ts"),
+        F.col("years_experience_industry").cast("double").alias("years_experience_industry"),
+        F.col("years_experience_company").cast("double").alias("years_experience_company"),
+        "annual_base_pay", "annual_bonus",
+        F.col("data_quality_score").cast("int").alias("data_quality_score"))
+
+
+@register("ingest_report", "SELECT 'salary_survey-3.csv' AS source_file, count(*) AS rows_read, "
+          "count(*) AS rows_valid FROM (" + RAW_SQL.replace("FROM pay", "FROM (" + PAY_SQL + ")") + ") "
+          "UNION ALL SELECT 'TOTAL', count(*), count(*) FROM (" + PAY_SQL + ")")
+def q_ingest_report(spark, sf_dir):
+    path = _write_survey_csv(spark, sf_dir)
+    return survey_csv.ingest_surveys(spark, {_S3: path})[2]
+
+
+@register("sample_rows")
+def q_sample_rows(spark, sf_dir):
+    return survey_csv.sample_rows(pay(spark, sf_dir), 5)
+
+
+def _strict_money_sql(x: str) -> str:
+    return (f"CASE WHEN regexp_matches({x}, '^[0-9]+(\\.[0-9]+)?$') "
+            f"THEN CAST(round(CAST({x} AS DECIMAL(30,10)) * 100) AS BIGINT) END")
+
+
+def _strict_num_sql(x: str) -> str:
+    return (f"CASE WHEN regexp_matches({x}, '^[0-9]+(\\.[0-9]+)?$') "
+            f"THEN CAST(CAST({x} AS DECIMAL(30,10)) AS DOUBLE) END")
+
+
+@register("clean_survey_strict", with_pay(
+    "SELECT id, coalesce(nullif(trim(employer, ' '), ''), 'Unknown') AS employer, "
+    "coalesce(nullif(trim(job_title, ' '), ''), 'Unknown') AS job_title, "
+    + _strict_money_sql("annual_base_pay") + " AS annual_base_pay, "
+    + _strict_money_sql("annual_bonus") + " AS annual_bonus, "
+    + _strict_num_sql("years_experience_industry") + " AS years_experience_industry, "
+    + _strict_num_sql("actual_hours_per_week") + " AS actual_hours_per_week, "
+    "CASE WHEN lower(health_insurance_offered) IN ('yes', 'true', '1') THEN TRUE "
+    "WHEN lower(health_insurance_offered) IN ('no', 'false', '0') THEN FALSE END AS health_insurance_offered, "
+    "strftime(CAST(strptime(regexp_extract(timestamp, '^([0-9]{1,2}/[0-9]{1,2}/[0-9]{4})', 1), '%m/%d/%Y') AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS ts "
+    f"FROM ({RAW_SQL}) WHERE employer IS NOT NULL AND employer <> ''"))
+def q_clean_survey_strict(spark, sf_dir):
+    raw = raw_survey_frame(spark, sf_dir)
+    raw = raw.select("id", *[F.col(f) if f in raw.columns else F.lit(None).cast("string").alias(f)
+                             for f in RAW_FIELDS])
+    out = survey_csv.clean_survey_strict(raw, "lineitem", keep=("id",))
+    return out.select("id", "employer", "job_title", "annual_base_pay", "annual_bonus",
+                      F.col("years_experience_industry").cast("double").alias("years_experience_industry"),
+                      F.col("actual_hours_per_week").cast("double").alias("actual_hours_per_week"),
+                      "health_insurance_offered",
+                      F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+
+
+def _unparsed_sql(x: str, parser) -> str:
+    return f"CASE WHEN trim(coalesce({x}, '')) <> '' AND ({parser(x)}) IS NULL THEN '{x}_unparsed' END"
+
+
+@register("skip_bad_rows", with_pay(
+    "SELECT id, reasons FROM (SELECT id, concat_ws(',', "
+    + ", ".join([_unparsed_sql(f, _money_sql) for f in ("annual_base_pay", "annual_bonus")]
+                + [_unparsed_sql(f, _num_sql) for f in ("years_experience_industry",
+                                                        "years_experience_company",
+                                                        "actual_hours_per_week")])
+    + f") AS reasons FROM ({RAW_SQL})) WHERE reasons <> ''"))
+def q_skip_bad_rows(spark, sf_dir):
+    raw = raw_survey_frame(spark, sf_dir)
+    raw = raw.select("id", *[F.col(f) if f in raw.columns else F.lit(None).cast("string").alias(f)
+                             for f in RAW_FIELDS])
+    _, bad = survey_csv.skip_bad_rows(raw)
+    return bad.select("id", F.concat_ws(",", "_parse_errors").alias("reasons"))
+
+
+# ---------------------------------------------------------------------------
+# Snapshot export, documents, JSON change stream
+# ---------------------------------------------------------------------------
+
+@register("export_snapshot", with_pay("SELECT id, annual_base_pay FROM pay"))
+def q_export_snapshot(spark, sf_dir):
+    return changes.export_snapshot(pay(spark, sf_dir).select("id", "annual_base_pay"), 1000)
+
+
+_DOC_SQL = with_pay(
+    f"SELECT id, annual_base_pay, {_TOTAL_SQL} AS total_compensation, {_RANGE_SQL} AS compensation_range, "
+    f"{_LEVEL_SQL} AS experience_level FROM pay")
+
+
+@register("backfill_documents", _DOC_SQL)
+def q_backfill_documents(spark, sf_dir):
+    out = _scratch(spark, "documents")
+    changes.backfill_documents(pay(spark, sf_dir), out, batch_rows=1000)
+    return spark.read.parquet(out).select("id", "annual_base_pay", "total_compensation",
+                                          "compensation_range", "experience_level")
+
+
+@register("write_metrics", with_pay("SELECT count(*) AS processed, 0 AS failed FROM pay"))
+def q_write_metrics(spark, sf_dir):
+    ok, failed = changes.write_documents(pay(spark, sf_dir), _scratch(spark, "documents-m"))
+    return spark.range(1).select(F.lit(ok + failed).cast("long").alias("processed"),
+                                 F.lit(failed).cast("int").alias("failed"))
+
+
+@register("upsert_document", with_pay(
+    "SELECT id, CASE WHEN location = 'NATION_5' THEN annual_base_pay + 1 ELSE annual_base_pay END "
+    "AS annual_base_pay FROM pay"))
+def q_upsert_document(spark, sf_dir):
+    df = pay(spark, sf_dir)
+    docs = df.where(F.col("location") == "NATION_5").select(
+        "id", (F.col("annual_base_pay") + 1).alias("annual_base_pay"))
+    return changes.upsert_document(df.select("id", "annual_base_pay"), docs) \
+                  .select("id", "annual_base_pay")
+
+
+@register("read_changes_json", f"SELECT seq, operation, id, annual_base_pay FROM ({_EVENTS_CH_SQL}) "
+          "WHERE operation <> 'DELETE' UNION ALL SELECT seq, operation, id, NULL FROM "
+          f"({_EVENTS_CH_SQL}) WHERE operation = 'DELETE'")
+def q_read_changes_json(spark, sf_dir):
+    feed = _scratch(spark, "feed")
+    changes.change_to_json(changes.events_as_changes(_events(spark, sf_dir))).write.text(feed)
+    stream = changes.read_changes(spark, feed, fmt="json", max_files=4)
+    out, ckpt = _scratch(spark, "feed-out"), _scratch(spark, "feed-ckpt")
+
+    def sink(batch, batch_id):
+        batch.select("seq", "operation", "id", F.col("data.annual_base_pay").alias("annual_base_pay")) \
+             .write.mode("append").parquet(out)
+    q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+# ---------------------------------------------------------------------------
+# O04, P14/P15/P24, P09/P10/P21, H01
+# ---------------------------------------------------------------------------
+
+@register("top_groups", m5_query(["location"], stat_guard_sql(), top=5, **_VIEW))
+def q_top_groups(spark, sf_dir):
+    return paging.top_groups(stats.compensation_by_location(pay(spark, sf_dir)), "avg_salary", 5,
+                             ["location"])
+
+
+F_ALIAS = PayFilter(employer_contains="supplier#00000002", salary_range=Range(max=9_000_000),
+                    experience_range=Range(min=10, max=40))
+
+
+@register("filter_subsets", with_pay(
+    "SELECT id FROM pay WHERE annual_base_pay > 10000000 AND timestamp > TIMESTAMP '1997-01-01' "
+    f"UNION ALL SELECT id FROM pay WHERE {F_ALIAS.to_sql()}"))
+def q_filter_subsets(spark, sf_dir):
+    from ..operators.filters import high_pay, recent
+    df = pay(spark, sf_dir)
+    a = recent(high_pay(df), "1997-01-01").select("id")
+    b = apply_filter(df, F_ALIAS).select("id")
+    return a.unionByName(b)
+
+
+F_SURVEY = PayFilter(health_insurance_offered=True, data_quality_score_min=75,
+                     actual_hours_per_week=Range(min=20, max=150))
+
+
+@register("filter_survey_fields", "SELECT id FROM (" + CLEAN_SQL + ") WHERE health_insurance_offered "
+          "AND data_quality_score >= 75 AND actual_hours_per_week >= 20 AND actual_hours_per_week <= 150")
+def q_filter_survey_fields(spark, sf_dir):
+    raw = raw_survey_frame(spark, sf_dir)
+    raw = raw.select("id", *[F.col(f) if f in raw.columns else F.lit(None).cast("string").alias(f)
+                             for f in RAW_FIELDS])
+    cleaned = survey_csv.clamp_outliers(survey_csv.keep_valid_rows(
+        survey_csv.clean_survey(raw, "lineitem", keep=("id",))))
+    return apply_filter(cleaned, F_SURVEY).select("id")
+
+
+@register("tokenize_documents",
+          f"SELECT doc_id, len({_tok_sql('text')}) AS tokens, {_tok_sql('text')}[1] AS first_token "
+          "FROM documents")
+def q_tokenize_documents(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents", spread_rows=True)
+    t = search.tokenize("text")
+    return docs.select("doc_id", F.size(t).alias("tokens"), F.element_at(t, 1).alias("first_token"))
+
+
 def queries() -> dict[str, Builder]:
     return dict(REGISTRY)
 
