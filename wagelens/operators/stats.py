@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from ..functions.levels import compensation_range, experience_bracket, experience_level
 from ..functions.money import round4, scale_cents, total_compensation
 from ..schema import DEFAULT_KEYWORD
+from ..session import reuse
 from .filters import PayFilter, apply_filter, engineer_filter, stat_guard
 from .percentiles import HUNDREDTHS_BITS, grouped_percentiles, value_histogram
 
@@ -57,7 +58,7 @@ def pay_summary(df: DataFrame, keys: Sequence[str], *, min_count: int | None = N
     if is_global:
         df = df.withColumn(ALL, F.lit(0))
         keys = [ALL]
-    hist = value_histogram(df, keys, F.col(PAY))
+    hist = reuse(value_histogram(df, keys, F.col(PAY)))  # read by every branch below
     folded = [F.sum("_c").alias("_n"),
               F.sum(F.col("_u").cast("decimal(20,0)") * F.col("_c")).alias("_s"),
               F.min("_u").alias("_min"), F.max("_u").alias("_max")]
@@ -111,7 +112,7 @@ def pay_stats(df: DataFrame, flt: PayFilter | None = None) -> DataFrame:
         F.max(F.col(EXP).cast("double")).alias("max_experience"),
     ).withColumn(ALL, F.lit(0))
     exp = base.withColumn(ALL, F.lit(0))
-    exp_hist = value_histogram(exp, [ALL], F.round(F.col(EXP) * 100))
+    exp_hist = reuse(value_histogram(exp, [ALL], F.round(F.col(EXP) * 100)))
     exp_n = exp_hist.groupBy(ALL).agg(F.sum("_c").alias("_n"))
     exp_med = grouped_percentiles(exp_hist, exp_n, [ALL], (0.5,), ("median_experience",),
                                   scale=100.0, value_bits=HUNDREDTHS_BITS, digit_bits=HUNDREDTHS_BITS,

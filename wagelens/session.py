@@ -17,6 +17,8 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # checkpointed intermediates are removed once their RDD is released
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -78,3 +80,16 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def is_committed(spark: SparkSession, path: str) -> bool:
     """A table folder whose write finished (``_SUCCESS`` marker present)."""
     return path_exists(spark, path.rstrip("/") + "/_SUCCESS")
+
+
+def reuse(df):
+    """Write ``df`` once to the shared checkpoint folder and read it back.
+
+    For an intermediate that several branches of one plan consume (the value
+    histogram of the statistics): without it each branch re-scans and
+    re-shuffles, because filters inferred per branch keep Spark from reusing
+    the exchange.  ``checkpoint`` is reliable (shared storage) and cuts the
+    lineage, so a lost executor does not recompute the scan either.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
