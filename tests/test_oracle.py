@@ -8,6 +8,7 @@ from tools.oracle_check import duck, rows_of_duck, rows_of_spark
 from .conftest import SF_SMALL
 
 NAMES = sorted(E.queries())
+NO_ORACLE = {"sample_rows"}
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +20,9 @@ def con():
 def test_query_matches_oracle(spark, con, name):
     scols, srows = rows_of_spark(E.queries()[name](spark, SF_SMALL))
     sql = E.oracle_sql().get(name)
-    assert sql is not None, "every query has an oracle"
+    if sql is None:  # only sampling operators: the limit is the feature
+        assert name in NO_ORACLE and 0 < len(srows) <= 5
+        return
     dcols, drows = rows_of_duck(con, sql)
     assert scols == dcols
     assert len(srows) == len(drows)
