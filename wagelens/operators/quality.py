@@ -4,7 +4,7 @@ Dimension builders pick one attribute value per name with ``min_by`` over
 pre-aggregated counts (partial aggregation, skew-safe) instead of a window
 per name.  Surrogate keys are deterministic hashes of the natural key, so
 reruns and task retries produce the same ids.  Dimensions grow with the
-data, so the star join broadcasts them only after a bounded size check.
+data, so the star join leaves the broadcast decision to AQE's runtime size.
 """
 
 from __future__ import annotations
@@ -15,11 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import TITLE_CATEGORIES, TITLE_SENIORITY, VARCHAR_LIMITS
-from ..sources.tables import bounded_broadcast
 from .search import normalize_title
 
-#: rows per dimension under which the star join broadcasts it
-DIM_BROADCAST_BOUND = 1_000_000
 #: validation rules beyond the table constraints
 PAY_MIN_CENTS = 100_000          # $1,000
 PAY_MAX_CENTS = 1_000_000_000    # $10,000,000
@@ -175,11 +172,10 @@ def deduplicate(df: DataFrame, keys: Sequence[str] | None = None,
 def star_join(pay: DataFrame, companies: DataFrame, locations: DataFrame,
               titles: DataFrame) -> DataFrame:
     """Attach dimension keys to the facts (left joins on natural keys)."""
-    comp = bounded_broadcast(companies.select(F.col("name").alias("employer"), "company_id"),
-                             DIM_BROADCAST_BOUND)
-    locs = bounded_broadcast(locations.select(F.col("full_location").alias("location"), "location_id"),
-                             DIM_BROADCAST_BOUND)
-    tits = bounded_broadcast(titles.select(F.col("title").alias("job_title"), "job_title_id"),
-                             DIM_BROADCAST_BOUND)
+    # dimensions grow with the data: AQE broadcasts one only when its
+    # materialized size is under the threshold, otherwise the join shuffles
+    comp = companies.select(F.col("name").alias("employer"), "company_id")
+    locs = locations.select(F.col("full_location").alias("location"), "location_id")
+    tits = titles.select(F.col("title").alias("job_title"), "job_title_id")
     return (pay.join(comp, "employer", "left").join(locs, "location", "left")
                .join(tits, "job_title", "left"))

@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from ..functions.money import round4
 from ..schema import TITLE_SYNONYMS
-from ..sources.tables import bounded_broadcast
 from .filters import PayFilter, apply_filter
 
 #: Unicode-aware standard tokenizer: runs of letters/digits
@@ -27,8 +26,6 @@ TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 #: BM25 parameters
 BM25_K1 = 1.2
 BM25_B = 0.75
-#: matched-vocabulary size under which the matches are broadcast
-VOCAB_BROADCAST_BOUND = 1_000_000
 
 
 def _c(c) -> Column:
@@ -109,8 +106,9 @@ def fuzzy_match(df: DataFrame, field: str, text: str, key: str = "id") -> DataFr
     terms = py_tokens(text)
     if not terms:
         return df.where(F.lit(False))
-    matched = bounded_broadcast(matching_tokens(vocabulary(df, field), terms),
-                                VOCAB_BROADCAST_BOUND)
+    # the matched vocabulary is small; AQE broadcasts it from its measured
+    # size at run time (no extra pass to prove it), otherwise it shuffles
+    matched = matching_tokens(vocabulary(df, field), terms)
     hits = (df.select(key, F.explode(tokenize(field)).alias("token"))
               .join(matched, "token", "left_semi").select(key).distinct())
     return df.join(hits, key, "left_semi")
