@@ -153,9 +153,15 @@ def materialized_pay(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [table_path(sf_dir, t) for t in PAY_INPUTS]
     stamp = "|".join(f"{p}:{_file_key(p)}" for p in parts)
     path = scratch_path(spark, "pay-" + hashlib.sha1(stamp.encode()).hexdigest()[:16])
-    if not is_committed(spark, path):
-        pay_table(spark, sf_dir).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    key = (id(spark), path)
+    if key not in _READERS:
+        if not is_committed(spark, path):
+            pay_table(spark, sf_dir).write.mode("overwrite").parquet(path)
+        _READERS[key] = spark.read.parquet(path)
+    return _READERS[key]
+
+
+_READERS: dict[tuple, DataFrame] = {}
 
 
 #: the same adapter as SQL text; runs unchanged in Spark SQL and DuckDB
