@@ -1028,6 +1028,33 @@ def q_tokenize_documents(spark, sf_dir):
     return docs.select("doc_id", F.size(t).alias("tokens"), F.element_at(t, 1).alias("first_token"))
 
 
+
+def _feed_in_time_order(spark, sf_dir, parts: int = 3) -> str:
+    """Change JSON written as ``parts`` appends in sequence order (a growing feed)."""
+    ch = changes.events_as_changes(_events(spark, sf_dir))
+    cuts = ch.approxQuantile("seq", [i / parts for i in range(1, parts)], 0.0)  # parts-1 numbers
+    bounds = [None, *cuts, None]
+    feed = _scratch(spark, "feed-ordered")
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        cond = F.lit(True)
+        if lo is not None:
+            cond = cond & (F.col("seq") > lo)
+        if hi is not None:
+            cond = cond & (F.col("seq") <= hi)
+        changes.change_to_json(ch.where(cond)).coalesce(1).write.mode("append").text(feed)
+    return feed
+
+
+@register("stream_changes_bucketed", _STATE_SQL)
+def q_stream_changes_bucketed(spark, sf_dir):
+    feed = _feed_in_time_order(spark, sf_dir)
+    base, ckpt = _scratch(spark, "docs-b"), _scratch(spark, "docs-b-ckpt")
+    stream = changes.read_changes(spark, feed, fmt="json", max_files=1)
+    q = changes.stream_changes(stream, base, ckpt, buckets=16)
+    q.awaitTermination()
+    return spark.read.parquet(base).select(*_STATE_COLS)
+
+
 def queries() -> dict[str, Builder]:
     return dict(REGISTRY)
 
