@@ -41,3 +41,14 @@ def test_value_out_of_range_raises(spark):
     with pytest.raises(Exception):
         grouped_percentiles(hist, groups, ["k"], (0.5,), ("m",), value_bits=12,
                             digit_bits=12).collect()
+
+
+def test_approx_switch_close_to_exact(spark):
+    from wagelens.operators import stats
+    from wagelens.plans.catalog import pay
+    df = pay(spark, "/root/testdata/sf0.001")
+    exact = {r.location: r.median_salary for r in stats.location_stats(df, limit=25).collect()}
+    approx = {r.location: r.median_salary for r in stats.location_stats(df, limit=25, approx=True).collect()}
+    assert exact.keys() == approx.keys()
+    for k in exact:
+        assert abs(exact[k] - approx[k]) <= 0.05 * exact[k]

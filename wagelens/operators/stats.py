@@ -48,10 +48,13 @@ def pay_summary(df: DataFrame, keys: Sequence[str], *, min_count: int | None = N
                 probs: Sequence[float] = (0.5,), pct_names: Sequence[str] = ("median_salary",),
                 extra_aggs: Sequence[Column] = (), count_name: str = "count",
                 avg_name: str = "average_salary", min_name: str = "min_salary_cents",
-                max_name: str = "max_salary_cents", min_max_dollars: bool = False) -> DataFrame:
+                max_name: str = "max_salary_cents", min_max_dollars: bool = False,
+                approx: bool = False, accuracy: int = 10000) -> DataFrame:
     """The M5 measure set per group over already-guarded rows.
 
     ``keys=[]`` gives one global row (also when no row qualifies).
+    ``approx=True`` swaps the exact percentiles for ``percentile_approx``
+    (a fixed-size sketch per group, relative rank error ``1/accuracy``).
     """
     keys = list(keys)
     is_global = not keys
@@ -74,8 +77,13 @@ def pay_summary(df: DataFrame, keys: Sequence[str], *, min_count: int | None = N
     order = [F.col("_avg").desc_nulls_last()] + [F.col(k).asc_nulls_last() for k in keys]
     if top is not None:
         g = g.orderBy(*order).limit(int(top))
-    pct = grouped_percentiles(hist, g.where(F.col("_n") > 0), keys, probs, pct_names,
-                              scale=100.0, bounded_groups=top is not None or is_global)
+    if approx:
+        dollars = F.col(PAY).cast("double") / F.lit(100.0)
+        sk = df.groupBy(*keys).agg(F.percentile_approx(dollars, list(probs), accuracy).alias("_q"))
+        pct = sk.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(pct_names)])
+    else:
+        pct = grouped_percentiles(hist, g.where(F.col("_n") > 0), keys, probs, pct_names,
+                                  scale=100.0, bounded_groups=top is not None or is_global)
     out = join_on_keys(g, pct, keys, "left")
     if extra_aggs:
         extra = df.groupBy(*keys).agg(*extra_aggs)
@@ -126,10 +134,11 @@ def pay_stats(df: DataFrame, flt: PayFilter | None = None) -> DataFrame:
                       "min_experience", "max_experience")
 
 
-def location_stats(df: DataFrame, flt: PayFilter | None = None, limit: int = 10) -> DataFrame:
+def location_stats(df: DataFrame, flt: PayFilter | None = None, limit: int = 10,
+                   approx: bool = False) -> DataFrame:
     """M5 by location, HAVING count >= 3, best paid first."""
     base = stat_guard(apply_filter(df, flt), PAY, "location")
-    return pay_summary(base, ["location"], min_count=3, top=limit)
+    return pay_summary(base, ["location"], min_count=3, top=limit, approx=approx)
 
 
 def job_title_stats(df: DataFrame, flt: PayFilter | None = None, limit: int = 10) -> DataFrame:
