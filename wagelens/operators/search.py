@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import round4
 from ..schema import TITLE_SYNONYMS
+from ..session import reuse
 from .filters import PayFilter, apply_filter
 
 #: Unicode-aware standard tokenizer: runs of letters/digits
@@ -134,12 +135,16 @@ def bm25(docs: DataFrame, key: str, text: Column, query: str, limit: int = 20,
     terms = sorted(set(py_tokens(query)))
     if not terms:
         return docs.sparkSession.createDataFrame([], f"{key} {dict(docs.dtypes)[key]}, score double")
-    toks = docs.select(F.col(key), tokenize(text).alias("_t"))
-    stats = toks.agg(F.count(F.lit(1)).alias("_N"), F.avg(F.size("_t")).alias("_avgdl")) \
-                .withColumn("_one", F.lit(1))
-    hits = (toks.select(key, F.size("_t").alias("_dl"), F.explode("_t").alias("term"))
-                .where(F.col("term").isin(terms))
-                .groupBy(key, "_dl", "term").agg(F.count(F.lit(1)).alias("_tf")))
+    wanted = F.array(*[F.lit(t) for t in terms])
+    # one tokenizing pass over the whole texts: per document its length and
+    # only the query-term tokens; both branches below read this written frame
+    per_doc = reuse(docs.select(F.col(key), tokenize(text).alias("_t")).select(
+        key, F.size("_t").alias("_dl"),
+        F.filter("_t", lambda t: F.array_contains(wanted, t)).alias("_q")))
+    stats = per_doc.agg(F.count(F.lit(1)).alias("_N"), F.avg("_dl").alias("_avgdl")) \
+                   .withColumn("_one", F.lit(1))
+    hits = (per_doc.select(key, "_dl", F.explode("_q").alias("term"))
+                   .groupBy(key, "_dl", "term").agg(F.count(F.lit(1)).alias("_tf")))
     dfreq = hits.groupBy("term").agg(F.count(F.lit(1)).alias("_df")).withColumn("_one", F.lit(1))
     dfreq = F.broadcast(dfreq.join(F.broadcast(stats), "_one"))  # one row per query term
     j = hits.join(dfreq, "term")
