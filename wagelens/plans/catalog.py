@@ -1055,6 +1055,14 @@ def q_stream_changes_bucketed(spark, sf_dir):
     return spark.read.parquet(base).select(*_STATE_COLS)
 
 
+
+@register("refresh_overview", ORACLE["overview"])
+def q_refresh_overview(spark, sf_dir):
+    out = _scratch(spark, "overview-table")
+    stats.refresh_overview(pay(spark, sf_dir), out)
+    return spark.read.parquet(out).drop("last_updated")
+
+
 def queries() -> dict[str, Builder]:
     return dict(REGISTRY)
 
