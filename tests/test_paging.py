@@ -60,3 +60,12 @@ def test_select_fields_prunes(spark):
     assert df.columns == ["id", "annualBasePay"]
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<id:string,annual_base_pay:bigint>" in plan
+
+
+def test_range_filter_pushed_to_scan(spark):
+    df = apply_filter(pay(spark, SF_SMALL), PayFilter(annual_base_pay=Range(min=1_000_000),
+                                                      location="NATION_3")).select("id")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    pushed = plan.split("PushedFilters: ", 1)[1]
+    assert "EqualTo(location,NATION_3)" in pushed and "GreaterThanOrEqual(" in pushed
+    assert "ReadSchema: struct<id:string,location:string,annual_base_pay:bigint>" in plan
