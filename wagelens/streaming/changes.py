@@ -180,14 +180,17 @@ def with_write_metrics(df: DataFrame, name: str, key: str = "id"):
 # Snapshot export, document write, backfill
 # ---------------------------------------------------------------------------
 
-def export_snapshot(df: DataFrame, batch_rows: int = 1000, key: str = "id") -> DataFrame:
-    """The table range-partitioned by id into ~``batch_rows`` batches.
-
-    Each partition is one batch in id order; writers consume partitions in
-    parallel instead of paging with OFFSET.
+def export_snapshot(df: DataFrame, batch_rows: int = 1000, key: str = "id",
+                    max_partitions: int = 20_000) -> DataFrame:
+    """The table range-partitioned by id, each partition a batch in id order.
+
+    Writers consume partitions in parallel instead of paging with OFFSET.
+    Partitions hold ~``batch_rows`` rows, but never more than
+    ``max_partitions`` of them: at 100 TB, 1,000-row batches would mean
+    ~10^9 tasks, so large tables get larger batches instead.
     """
     n = df.count()
-    parts = max(1, math.ceil(n / batch_rows))
+    parts = max(1, min(math.ceil(n / batch_rows), max_partitions))
     return df.repartitionByRange(parts, key).sortWithinPartitions(key)
 
 
