@@ -1054,7 +1054,7 @@ def q_stream_changes_bucketed(spark, sf_dir):
     stream = changes.read_changes(spark, feed, fmt="json", max_files=1)
     q = changes.stream_changes(stream, base, ckpt, buckets=16)
     q.awaitTermination()
-    return spark.read.parquet(base).select(*_STATE_COLS)
+    return changes.bucketed_state(spark, base).select(*_STATE_COLS)
 
 
 

@@ -115,28 +115,36 @@ ENRICHED = ("total_compensation", "compensation_range", "experience_level", "upd
 
 
 def apply_changes(target: DataFrame | None, changes: DataFrame, key: str = "id",
-                  enrich: bool = True, stamp: bool = False) -> DataFrame:
+                  enrich: bool = True, stamp: bool = False,
+                  keep_tombstones: bool = False) -> DataFrame:
     """Upsert INSERT/UPDATE rows (enriched), remove DELETEs.
 
     ``target`` rows have the columns of ``data`` (+ ``seq`` and enrichment);
     ``None`` means an empty target.  The result is the new full state.  When
     the target carries ``seq``, its rows compete with the batch by sequence
     number, so an event older than the stored row does not overwrite it
-    (batches arriving out of order).
+    (batches arriving out of order).  ``keep_tombstones`` keeps deleted ids
+    as rows with ``operation = 'DELETE'`` (and NULL values), so that a late,
+    older upsert cannot bring them back; readers filter them out.
     """
     data_fields = [f.name for f in changes.schema["data"].dataType.fields]
     touched = changes.select(key).distinct()
     if target is not None and "seq" in target.columns:
+        op = F.col("operation") if "operation" in target.columns else F.lit("UPDATE")
+        payload = F.struct(*[F.col(key if f == key else f).alias(f) for f in data_fields])
         stored = target.join(touched, key, "left_semi").select(
-            key, "seq", F.lit("UPDATE").alias("operation"),
-            F.struct(*[F.col(key if f == key else f).alias(f) for f in data_fields]).alias("data"))
+            key, "seq", op.alias("operation"), F.when(op != "DELETE", payload).alias("data"))
         changes = changes.select(key, "seq", "operation", "data").unionByName(stored)
     last = latest_changes(changes, key)
     fields = [f for f in data_fields if f != key]
-    rows = last.where(F.col("operation") != "DELETE").select(
-        key, "seq", *[F.col(f"data.{f}").alias(f) for f in fields])
+    live = last if keep_tombstones else last.where(F.col("operation") != "DELETE")
+    rows = live.select(key, "seq", *(["operation"] if keep_tombstones else []),
+                       *[F.col(f"data.{f}").alias(f) for f in fields])
     if enrich:
         rows = enrich_document(rows)
+        if keep_tombstones:
+            gone = F.col("operation") == "DELETE"
+            rows = rows.withColumns({c: F.when(~gone, F.col(c)) for c in ENRICHED[:3]})
     if stamp:
         rows = rows.withColumn("updated_at", F.current_timestamp())
     if target is None:
@@ -275,6 +283,7 @@ def bucketed_upsert(base: str, buckets: int = 64, key: str = "id"):
     A batch reads the touched buckets of the current table (partition
     pruning), applies its changes, stages the result under ``base/_staging``
     and swaps the touched partitions with a dynamic partition overwrite.
+    Deleted ids stay as tombstones; read the live rows with ``bucketed_state``.
     Events carry whole rows, so applying a batch twice gives the same state
     (a replay after a failure is idempotent).  Untouched buckets are never
     read or written.
@@ -290,7 +299,7 @@ def bucketed_upsert(base: str, buckets: int = 64, key: str = "id"):
         if is_committed(spark, root):
             prev = (spark.read.parquet(root).where(F.col("_bucket").isin(touched)))
         new = apply_changes(prev.drop("_bucket") if prev is not None else None,
-                            batch.drop("_bucket"), key)
+                            batch.drop("_bucket"), key, keep_tombstones=True)
         new = new.withColumn("_bucket", bucket_of(key, buckets))
         staging = f"{root}/_staging/batch={batch_id}"
         new.write.mode("overwrite").parquet(staging)
@@ -308,10 +317,18 @@ def bucketed_upsert(base: str, buckets: int = 64, key: str = "id"):
             staged.write.mode("overwrite").partitionBy("_bucket").parquet(root)
         finally:
             spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev_mode)
+        # a dynamic overwrite commits partitions only; mark the table readable
+        fs.create(jvm.org.apache.hadoop.fs.Path(f"{root}/_SUCCESS"), True).close()
         fs.delete(jvm.org.apache.hadoop.fs.Path(staging), True)
     return fn
 
 
+def bucketed_state(spark: SparkSession, base: str) -> DataFrame:
+    """Live rows of a bucketed table (tombstones and the bucket column removed)."""
+    t = spark.read.parquet(base)
+    return t.where(F.col("operation") != "DELETE").drop("operation", "_bucket")
+
+
 def stream_changes(changes: DataFrame, base: str, checkpoint: str, key: str = "id",
                    available_now: bool = True, processing_time: str | None = None,
                    buckets: int | None = None):
