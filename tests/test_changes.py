@@ -115,3 +115,14 @@ def test_bucketed_keeps_rows_of_earlier_batches(spark, tmp_path):
     fn(spark.createDataFrame(rows[:10], schema), 0)
     fn(spark.createDataFrame(rows[10:], schema), 1)  # same buckets, other ids
     assert CH.bucketed_state(spark, base).count() == 20
+
+
+def test_versioned_upsert_across_batches(spark, tmp_path):
+    ch = CH.events_as_changes(C._events(spark, SF_SMALL))
+    base = str(tmp_path / "docs-v")
+    fn = CH.versioned_upsert(base)
+    fn(ch.where(F.col("seq") < 80), 0)
+    fn(ch.where((F.col("seq") >= 80) & (F.col("seq") < 160)), 1)
+    fn(ch.where(F.col("seq") >= 160), 2)
+    cols = ["id", "seq", "annual_base_pay"]
+    assert _rows(CH.current_state(spark, base), cols) == _rows(CH.apply_changes(None, ch), cols)
