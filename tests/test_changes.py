@@ -126,3 +126,17 @@ def test_versioned_upsert_across_batches(spark, tmp_path):
     fn(ch.where(F.col("seq") >= 160), 2)
     cols = ["id", "seq", "annual_base_pay"]
     assert _rows(CH.current_state(spark, base), cols) == _rows(CH.apply_changes(None, ch), cols)
+
+
+def test_compact_tombstones(spark, tmp_path):
+    schema = CH.CHANGE_SCHEMA
+    base = str(tmp_path / "docs")
+    fn = CH.bucketed_upsert(base, buckets=4)
+    rows = [(i, "INSERT", f"u{i}", (f"u{i}", None, "x", 1.0, i, None, None)) for i in range(12)]
+    fn(spark.createDataFrame(rows, schema), 0)
+    fn(spark.createDataFrame([(100 + i, "DELETE", f"u{i}", None) for i in range(4)], schema), 1)
+    live_before = sorted(r.id for r in CH.bucketed_state(spark, base).collect())
+    assert spark.read.parquet(base).where("operation = 'DELETE'").count() == 4
+    assert CH.compact_tombstones(spark, base, before_seq=1000) > 0
+    assert spark.read.parquet(base).where("operation = 'DELETE'").count() == 0
+    assert sorted(r.id for r in CH.bucketed_state(spark, base).collect()) == live_before

@@ -323,6 +323,39 @@ def bucketed_upsert(base: str, buckets: int = 64, key: str = "id"):
     return fn
 
 
+def compact_tombstones(spark: SparkSession, base: str, before_seq: int) -> int:
+    """Drop tombstones with ``seq < before_seq`` from a bucketed table.
+
+    Only buckets holding such tombstones are rewritten (staged, then swapped
+    with a dynamic partition overwrite).  Call it once no event older than
+    ``before_seq`` can still arrive.  Returns the number of rewritten buckets.
+    """
+    root = base.rstrip("/")
+    t = spark.read.parquet(root)
+    old = (F.col("operation") == "DELETE") & (F.col("seq") < before_seq)
+    buckets = [r["_bucket"] for r in t.where(old).select("_bucket").distinct().collect()]
+    if not buckets:
+        return 0
+    staging = f"{root}/_staging/compact-{before_seq}"
+    t.where(F.col("_bucket").isin(buckets) & ~old).write.mode("overwrite").parquet(staging)
+    staged = spark.read.parquet(staging)
+    fs, _ = _fs(spark, root)
+    jvm = spark.sparkContext._jvm
+    kept = {r["_bucket"] for r in staged.select("_bucket").distinct().collect()}
+    for b in buckets:
+        if b not in kept:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{root}/_bucket={b}"), True)
+    prev_mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        staged.write.mode("overwrite").partitionBy("_bucket").parquet(root)
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev_mode)
+    fs.create(jvm.org.apache.hadoop.fs.Path(f"{root}/_SUCCESS"), True).close()
+    fs.delete(jvm.org.apache.hadoop.fs.Path(staging), True)
+    return len(buckets)
+
+
 def bucketed_state(spark: SparkSession, base: str) -> DataFrame:
     """Live rows of a bucketed table (tombstones and the bucket column removed)."""
     t = spark.read.parquet(base)
