@@ -92,3 +92,17 @@ def test_strict_rules(spark):
     assert [r.m for r in rows] == [1250, None, 700]
     assert [r.b for r in rows] == [True, None, False]
     assert rows[0].d == dt.datetime(2019, 4, 24) and rows[2].d == dt.datetime(2020, 12, 1)
+
+
+def test_format_currency_negative_and_half(spark):
+    df = spark.createDataFrame([(-250,), (-12345678,), (150,)], "c long")
+    got = [r.f for r in df.select(M.format_currency("c").alias("f")).collect()]
+    assert got == ["-$3", "-$123,457", "$2"]
+
+
+def test_gender_gap_formula(spark):
+    from wagelens.operators import stats
+    df = spark.createDataFrame([("A", 10000000), ("A", 10000000), ("B", 5000000)],
+                               "gender string, annual_base_pay long")
+    got = {r.gender: r.pay_gap_percentage for r in stats.gender_stats(df).collect()}
+    assert got == {"A": 0.0, "B": 50.0}

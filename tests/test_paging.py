@@ -69,3 +69,21 @@ def test_range_filter_pushed_to_scan(spark):
     pushed = plan.split("PushedFilters: ", 1)[1]
     assert "EqualTo(location,NATION_3)" in pushed and "GreaterThanOrEqual(" in pushed
     assert "ReadSchema: struct<id:string,location:string,annual_base_pay:bigint>" in plan
+
+
+def test_unknown_sort_field_falls_back(spark):
+    df = pay(spark, SF_SMALL)
+    assert paging.sort_keys(df, [("NOT_A_FIELD", "ASC")]) == [("timestamp", "ASC")]
+    assert paging.sort_keys(df, None) == [("timestamp", "DESC")]
+    with_created = df.withColumn("created_at", F.col("timestamp"))
+    assert paging.sort_keys(with_created, None) == [("created_at", "DESC")]
+
+
+def test_list_pay_with_fields(spark):
+    rows, info = paging.list_pay(pay(spark, SF_SMALL), PayFilter(location="NATION_3"),
+                                 [("ANNUAL_BASE_PAY", "DESC")], limit=5, offset=0,
+                                 fields=["id", "annualBasePay", "annualBasePayFormatted"])
+    got = rows.collect()
+    assert len(got) == 5 and rows.columns == ["id", "annualBasePay", "annualBasePayFormatted"]
+    assert all(r.annualBasePayFormatted.startswith("$") for r in got)
+    assert info.first().total_count >= 5
