@@ -140,3 +140,18 @@ def test_compact_tombstones(spark, tmp_path):
     assert CH.compact_tombstones(spark, base, before_seq=1000) > 0
     assert spark.read.parquet(base).where("operation = 'DELETE'").count() == 0
     assert sorted(r.id for r in CH.bucketed_state(spark, base).collect()) == live_before
+
+
+def test_overview_stream_refreshes(spark, tmp_path):
+    schema = C._events(spark, SF_SMALL).schema
+    stream = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+              .parquet(SF_SMALL).select(F.col("user_id").alias("id"),
+                                        F.round(F.col("value") * 100).cast("long").alias("annual_base_pay")))
+    out, ckpt = str(tmp_path / "ov"), str(tmp_path / "ov-ckpt")
+    q = CH.start_overview_stream(stream, out, ckpt, every="1 second")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    r = spark.read.parquet(out).first()
+    assert r.total_records == C._events(spark, SF_SMALL).count() and r.approx_ids > 0

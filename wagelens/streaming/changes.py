@@ -399,6 +399,22 @@ def streaming_overview(stream: DataFrame, value: str = "annual_base_pay",
     return g.agg(*aggs)
 
 
+def _overwrite_sink(path: str):
+    def fn(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+    return fn
+
+
+def start_overview_stream(stream: DataFrame, path: str, checkpoint: str,
+                          every: str = "5 minutes", value: str = "annual_base_pay",
+                          by: str | None = None):
+    """Keep the dashboard numbers fresh; the complete result is rewritten
+    to ``path`` on every trigger (default every 5 minutes)."""
+    agg = streaming_overview(stream, value=value, by=by, approx=True)
+    return (agg.writeStream.outputMode("complete").foreachBatch(_overwrite_sink(path))
+               .option("checkpointLocation", checkpoint).trigger(processingTime=every).start())
+
+
 def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> None:
     """Run a streaming aggregation to completion and write its last result."""
     def fn(batch: DataFrame, batch_id: int) -> None:
