@@ -117,6 +117,12 @@ def grouped_percentiles(hist: DataFrame, groups: DataFrame, keys: Sequence[str],
     groups.  Values are divided by ``scale`` before interpolation.
     """
     keys = list(keys)
+    if bounded_groups and keys:
+        # only the histogram rows of the few selected groups enter the levels
+        # (a broadcast semi-join bounded by the number of groups, e.g. top-k)
+        gk = F.broadcast(groups.select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)]))
+        hist = hist.join(gk, [hist[k].eqNullSafe(gk[f"_g{i}"]) for i, k in enumerate(keys)],
+                         "left_semi")
     targets = percentile_targets(groups, keys, probs, n_col)
     picked = select_ranks(hist, targets, keys, value_bits=value_bits, digit_bits=digit_bits,
                           broadcast_targets=bounded_groups)
