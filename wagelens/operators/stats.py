@@ -4,12 +4,15 @@ Every statistic follows one plan shape:
 
 * ``hist`` = rows aggregated to (group keys, pay cents, count).  This is the
   only pass over the facts; Spark does a map-side partial aggregation and one
-  shuffle on (keys, value), which splits even a hot group across tasks.
+  shuffle on (keys, value), which splits even a hot group across tasks.  It
+  is written once (``session.reuse``: a reliable checkpoint) because every
+  branch below reads it.
 * count / sum / min / max per group are folded from ``hist`` (no second scan);
   the average comes from the exact integer sum.
 * HAVING and top-k run on that small per-group frame; exact percentiles
-  (``percentiles.py``) are then evaluated only for the groups that survive,
-  and for a top-k report the k groups are a proven-bounded broadcast.
+  (``percentiles.py``) are then evaluated only for the groups that survive:
+  for a top-k report the histogram is semi-joined to the k groups and their
+  rank targets are a broadcast bounded by k.
 
 Money conventions: ``average_salary`` / percentiles in dollars (double, 4
 places), ``min_salary_cents`` / ``max_salary_cents`` in cents.
