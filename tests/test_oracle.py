@@ -34,3 +34,11 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert df.columns[0] == "location"
     assert len(rows) >= 0
+
+
+def test_contract_shape():
+    qs, oracle = E.queries(), E.oracle_sql()
+    assert set(oracle) <= set(qs)
+    assert set(qs) - set(oracle) == NO_ORACLE
+    for name in qs:
+        assert not name.startswith("op") and "pipeline" not in name
