@@ -406,3 +406,15 @@ def _blocks(large: DataFrame, comps: DataFrame, texts: DataFrame, n: int, num: i
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents on 3-word shingles; links where 100 * common >= 90 * union."""
     return jaccard_components(table(spark, sf_dir, "documents"), 3, 90, 100).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_one(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """``docs`` with one row of each component: its least doc_id; of repeated rows, one.
+
+    Rows with a null doc_id stay.
+    """
+    found = jaccard_components(docs, n, num, den).where("doc_id = component_id").select(
+        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).dropDuplicates(["_id"])
+    own = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_hash", F.xxhash64("text"))
+    kept = own.join(found, ["_id", "_hash"], "left_semi").dropDuplicates(["_id"]).drop("_id", "_hash")
+    return kept.union(docs.where("doc_id IS NULL"))

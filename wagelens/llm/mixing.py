@@ -156,3 +156,25 @@ SELECT doc_id, size, source_size, target, CAST(epochs * size + extra AS bigint)
   CAST(CASE WHEN extra = size AND size > 0 THEN 0 ELSE extra END AS bigint) AS part
 FROM taken
 """
+
+
+def leading_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word."""
+    pieces = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    return F.array_join(F.slice(pieces, F.lit(1), n.cast("int")), "")
+
+
+def mixed_documents(docs: DataFrame, labels: DataFrame | None = None, seed: str = SEED) -> DataFrame:
+    """The documents of the mix with the columns of ``docs``: a row a copy, then one of the leading words.
+
+    ``n_chars``, where ``docs`` has it, follows the text of a part.
+    """
+    taken = mix(docs, labels, seed, keep=docs.columns).where("copies > 0 OR part > 0")
+    row = F.explode(F.concat(F.array_repeat(F.lit(0).cast("long"), F.col("copies")),
+                             F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<long>"))))
+    rows = taken.select("kept", row.alias("only"))
+    text = F.when(F.col("only") > 0, leading_words(F.col("kept.text"), F.col("only"))).otherwise(F.col("kept.text"))
+    out = rows.select("only", *[text.alias("text") if c == "text" else F.col(f"kept.`{c}`").alias(c) for c in docs.columns])
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("only") > 0, F.length("text").cast(out.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.drop("only")

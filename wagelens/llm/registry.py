@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, jaccard_join, language_id, mixing, permutation_index, secret_scan, sharding
+from . import chat_format, decontaminate, jaccard_join, language_id, mixing, permutation_index, secret_scan, sharding
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard_join.op1_ngram_jaccard_join,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_language_id": language_id.op3_language_id,
     "op4_mixing": mixing.op4_mixing,
     "op7_sharding": sharding.op7_sharding,
+    "op8_decontamination": decontaminate.op8_decontamination,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_permutation_index": permutation_index.op10_permutation_index,
 }
