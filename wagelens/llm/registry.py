@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, jaccard_join, language_id, mixing, permutation_index, secret_scan, sharding
+from . import chat_format, decontaminate, jaccard_join, language_id, line_dedup, lm_score, mixing, permutation_index, secret_scan, sharding
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard_join.op1_ngram_jaccard_join,
     "op2_chat_format": chat_format.op2_chat_format,
     "op3_language_id": language_id.op3_language_id,
     "op4_mixing": mixing.op4_mixing,
+    "op5_lm_score": lm_score.op5_lm_score,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_sharding": sharding.op7_sharding,
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_secret_scan": secret_scan.op9_secret_scan,
