@@ -166,7 +166,7 @@ def _fingerprints(n: int, scheme: PartEnum):
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                       F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+                       F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
 
 
 def _node(s: np.ndarray) -> np.uint64:
@@ -415,6 +415,7 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFr
     """
     found = jaccard_components(docs, n, num, den).where("doc_id = component_id").select(
         F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).dropDuplicates(["_id"])
-    own = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_hash", F.xxhash64("text"))
-    kept = own.join(found, ["_id", "_hash"], "left_semi").dropDuplicates(["_id"]).drop("_id", "_hash")
-    return kept.union(docs.where("doc_id IS NULL"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                      F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_hash"))
+    kept = own.join(found, ["_id", "_hash"], "left_semi").dropDuplicates(["_id"]).select("_id", "_hash", "row")
+    return kept.union(own.where("_id IS NULL").select("_id", "_hash", "row")).select("row.*")

@@ -158,6 +158,19 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
     return rows.mapInArrow(_predict(sent), f"{schema}, lang_pred string, score double")
 
 
+def _spoken(sent):
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([sent.value.closest(t)[0] != UNDETERMINED for t in batch["text"].to_pylist()], pa.bool_()))
+    return run
+
+
+def with_language(docs: DataFrame, profiles: Profiles) -> DataFrame:
+    """The rows of ``docs`` whose text is in some language (not ``und``), all columns as they are."""
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(_spoken(docs.sparkSession.sparkContext.broadcast(profiles)), docs.schema)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")

@@ -102,7 +102,7 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, seed: str = SEED, keep
     whole = (F.col("extra") == F.col("size")) & (F.col("size") > 0)
     return (ranged.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
             .join(before, ["s", "r"]).withColumn("extra", extra)
-            .withColumn("copies", (F.col("epochs") + F.when(whole, 1).otherwise(0)).cast("int"))
+            .withColumn("copies", F.when(F.col("size") > 0, F.col("epochs") + F.when(whole, 1).otherwise(0)).otherwise(0).cast("int"))
             .withColumn("part", F.when(whole, F.lit(0)).otherwise(F.col("extra")).cast("long"))
             .withColumn("taken", F.col("epochs") * F.col("size") + F.col("extra"))
             .select("kept", "doc_id", "source", "size", "source_size", "target", "copies", "part", "taken"))
@@ -152,7 +152,7 @@ WITH sized AS (
   SELECT *, CAST(greatest(0, least(size, rest - before)) AS bigint) AS extra FROM summed
 )
 SELECT doc_id, size, source_size, target, CAST(epochs * size + extra AS bigint) AS taken, source,
-  CAST(epochs + CASE WHEN extra = size AND size > 0 THEN 1 ELSE 0 END AS int) AS copies,
+  CAST(CASE WHEN size = 0 THEN 0 WHEN extra = size THEN epochs + 1 ELSE epochs END AS int) AS copies,
   CAST(CASE WHEN extra = size AND size > 0 THEN 0 ELSE extra END AS bigint) AS part
 FROM taken
 """
