@@ -3,7 +3,8 @@
 Spark's built-in ``percentile`` keeps a value->count map per group and merges
 it in one task, so a hot group (say a third of all rows) puts all of its
 distinct values into one task's memory.  Here the values are integral and
-non-negative (money in cents, experience in hundredths), and the k-th
+of either sign (money in cents, experience in hundredths; they are shifted by
+the least of the histogram, whose range sets the number of levels), and the k-th
 smallest value of every group is found by radix selection:
 
 1. ``hist``: rows aggregated to (keys, value, count) -- map-side partial
@@ -47,7 +48,7 @@ def _key_match(left: DataFrame, right: DataFrame, keys: Sequence[str], rkeys: Se
 
 def select_ranks(hist: DataFrame, targets: DataFrame, keys: Sequence[str], *,
                  value_bits: int = MONEY_BITS, digit_bits: int = 20,
-                 broadcast_targets: bool = False) -> DataFrame:
+                 broadcast_targets: bool = False, shift_by: int = 0) -> DataFrame:
     """Value at 0-based rank ``_r`` for each target row.
 
     ``hist``: (keys, _u, _c).  ``targets``: (keys, _t, _r, ...extra) with
@@ -59,6 +60,8 @@ def select_ranks(hist: DataFrame, targets: DataFrame, keys: Sequence[str], *,
     levels = max(1, -(-value_bits // digit_bits))
     mask = (1 << digit_bits) - 1
     rkeys = [f"_k{i}" for i in range(len(keys))]
+    if shift_by:
+        hist = hist.withColumn("_u", F.col("_u") - F.lit(shift_by))
     extra = [c for c in targets.columns if c not in set(keys) | {"_t", "_r"}]
     cur = targets.select(*[F.col(k).alias(r) for k, r in zip(keys, rkeys)],
                          "_t", "_r", *extra, F.lit(0).cast("long").alias("_p"))
@@ -87,7 +90,7 @@ def select_ranks(hist: DataFrame, targets: DataFrame, keys: Sequence[str], *,
                         (F.col("_r") - before).alias("_r"), *extra,
                         F.shiftleft("_p", digit_bits).bitwiseOR(F.col("_d")).alias("_p")))
     return cur.select(*[F.col(r).alias(k) for k, r in zip(keys, rkeys)], "_t", *extra,
-                      F.col("_p").alias("_v"))
+                      (F.col("_p") + F.lit(shift_by)).alias("_v"))
 
 
 def percentile_targets(groups: DataFrame, keys: Sequence[str], probs: Sequence[float],
@@ -108,13 +111,15 @@ def percentile_targets(groups: DataFrame, keys: Sequence[str], probs: Sequence[f
 
 def grouped_percentiles(hist: DataFrame, groups: DataFrame, keys: Sequence[str],
                         probs: Sequence[float], names: Sequence[str], *, scale: float = 1.0,
-                        value_bits: int = MONEY_BITS, digit_bits: int = 20,
+                        value_bits: int | None = None, digit_bits: int = 20,
                         n_col: str = "_n", bounded_groups: bool = False) -> DataFrame:
     """keys + one double column per fraction: exact ``percentile_cont``.
 
     ``groups`` holds the groups to evaluate (keys + ``n_col`` row count);
     groups absent from it are skipped, so a top-k report only pays for k
-    groups.  Values are divided by ``scale`` before interpolation.
+    groups.  Values are divided by ``scale`` before interpolation.  Without
+    ``value_bits`` the width comes from the histogram's least and greatest
+    value; with it values must lie in [0, 2 ** width).
     """
     keys = list(keys)
     if bounded_groups and keys:
@@ -124,8 +129,13 @@ def grouped_percentiles(hist: DataFrame, groups: DataFrame, keys: Sequence[str],
         hist = hist.join(gk, [hist[k].eqNullSafe(gk[f"_g{i}"]) for i, k in enumerate(keys)],
                          "left_semi")
     targets = percentile_targets(groups, keys, probs, n_col)
+    low = 0
+    if value_bits is None:
+        least, most = hist.agg(F.min("_u"), F.max("_u")).first()
+        low = least or 0
+        value_bits = max(1, ((most or 0) - low).bit_length())
     picked = select_ranks(hist, targets, keys, value_bits=value_bits, digit_bits=digit_bits,
-                          broadcast_targets=bounded_groups)
+                          broadcast_targets=bounded_groups, shift_by=low)
     v = F.col("_v").cast("double") / F.lit(float(scale))
     aggs = []
     for i, name in enumerate(names):

@@ -201,7 +201,7 @@ EXPERIENCE_TYPE = T.DecimalType(5, 2)
 PAY_SCHEMA = T.StructType([
     T.StructField("id", T.StringType(), False),
     T.StructField("source_file", T.StringType(), False),
-    T.StructField("row_number", T.IntegerType(), False),
+    T.StructField("row_number", T.LongType(), False),
     T.StructField("timestamp", T.TimestampType()),
     T.StructField("created_at", T.TimestampType()),
     T.StructField("updated_at", T.TimestampType()),
@@ -261,16 +261,16 @@ CHANGE_DATA_FIELDS = (
 # ---------------------------------------------------------------------------
 
 TITLE_CATEGORIES = (
-    ("Engineering", r"engineer|developer|programmer|swe|devops|architect"),
-    ("Data", r"data|analyst|scientist|analytics"),
-    ("Product", r"product"),
-    ("Design", r"design|ux|ui"),
-    ("Management", r"manager|director|head|vp|vice president|chief|cto|ceo"),
+    ("Engineering", r"\b(engineers?|engineering|developers?|programmers?|swe|devops|architects?)\b"),
+    ("Data", r"\b(data|analysts?|scientists?|analytics)\b"),
+    ("Product", r"\bproducts?\b"),
+    ("Design", r"\b(design|designers?|ux|ui)\b"),
+    ("Management", r"\b(managers?|directors?|head|vp|vice president|chief|cto|ceo)\b"),
 )
 
 TITLE_SENIORITY = (
-    ("Intern", r"intern"),
-    ("Junior", r"junior|\bjr\b|entry level|associate"),
-    ("Executive", r"chief|\bcto\b|\bceo\b|vice president|\bvp\b|director|\bhead\b"),
-    ("Senior", r"senior|\bsr\b|lead|principal|staff"),
+    ("Intern", r"\b(interns?|internship)\b"),
+    ("Junior", r"\b(junior|jr|entry level|associate)\b"),
+    ("Executive", r"\b(chief|cto|ceo|vice president|vp|directors?|head)\b"),
+    ("Senior", r"\b(senior|sr|lead|principal|staff)\b"),
 )

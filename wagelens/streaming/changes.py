@@ -128,18 +128,24 @@ def apply_changes(target: DataFrame | None, changes: DataFrame, key: str = "id",
     older upsert cannot bring them back; readers filter them out.
     """
     data_fields = [f.name for f in changes.schema["data"].dataType.fields]
-    touched = changes.select(key).distinct()
-    if target is not None and "seq" in target.columns:
-        op = F.col("operation") if "operation" in target.columns else F.lit("UPDATE")
-        payload = F.struct(*[F.col(key if f == key else f).alias(f) for f in data_fields])
-        stored = target.join(touched, key, "left_semi").select(
-            key, "seq", op.alias("operation"), F.when(op != "DELETE", payload).alias("data"))
-        changes = changes.select(key, "seq", "operation", "data").unionByName(stored)
-    last = latest_changes(changes, key)
+    last = latest_changes(changes.select(key, "seq", "operation", "data"), key)
     fields = [f for f in data_fields if f != key]
-    live = last if keep_tombstones else last.where(F.col("operation") != "DELETE")
+    beyond, newer = [], F.lit(False)
+    if target is not None:
+        # the stored row of every touched id; whole, so that nothing of it is lost
+        last = last.join(target.select(key, F.struct(*target.columns).alias("_stored")), key, "left")
+        beyond = [c for c in target.columns
+                  if c not in {key, "seq", "operation", "_bucket", *fields, *(ENRICHED[:3] if enrich else ())}]
+        if "seq" in target.columns:
+            newer = F.coalesce(F.col("_stored.seq") > F.col("seq"), F.lit(False))
+    live = last.where(~newer)
+    if not keep_tombstones:
+        live = live.where(F.col("operation") != "DELETE")
+    deleted = F.col("operation") == "DELETE"
     rows = live.select(key, "seq", *(["operation"] if keep_tombstones else []),
-                       *[F.col(f"data.{f}").alias(f) for f in fields])
+                       *[F.col(f"data.{f}").alias(f) for f in fields],
+                       # columns that the payload does not carry keep their stored values
+                       *[F.when(~deleted, F.col(f"_stored.{c}")).alias(c) for c in beyond])
     if enrich:
         rows = enrich_document(rows)
         if keep_tombstones:
@@ -149,14 +155,27 @@ def apply_changes(target: DataFrame | None, changes: DataFrame, key: str = "id",
         rows = rows.withColumn("updated_at", F.current_timestamp())
     if target is None:
         return rows
-    keep = target.join(touched, key, "left_anti")
+    keep = target.join(changes.select(key).distinct(), key, "left_anti")
+    if "seq" in target.columns:
+        # an event older than the stored row changes nothing
+        keep = keep.unionByName(last.where(newer).select("_stored.*"))
     return keep.unionByName(rows, allowMissingColumns=True)
 
 
 def upsert_document(target: DataFrame, doc: DataFrame, key: str = "id") -> DataFrame:
-    """Index one (or a few) documents by id: an UPDATE-only change set."""
+    """Index one (or a few) documents by id: an UPDATE-only change set.
+
+    The change takes the document's own ``seq`` or else the stored one (the
+    upsert wins that tie), so later changes of the id still apply.
+    """
     cols = [c for c in doc.columns if c != "seq"]
-    changes = doc.select(F.lit(2 ** 62).cast("long").alias("seq"), F.lit("UPDATE").alias("operation"),
+    seq = F.lit(0).cast("long")
+    if "seq" in doc.columns:
+        seq = F.col("seq")
+    elif "seq" in target.columns:
+        doc = doc.join(target.select(key, F.col("seq").alias("_seq")), key, "left")
+        seq = F.coalesce(F.col("_seq"), seq)
+    changes = doc.select(seq.alias("seq"), F.lit("UPDATE").alias("operation"),
                          F.col(key), F.struct(*cols).alias("data"))
     return apply_changes(target, changes, key, enrich=False)
 
@@ -252,7 +271,8 @@ def current_state(spark: SparkSession, base: str, schema: T.StructType | None =
     vs = committed_versions(spark, base)
     if not vs:
         return None
-    return spark.read.parquet(f"{base.rstrip('/')}/batch={vs[-1]}")
+    state = spark.read.parquet(f"{base.rstrip('/')}/batch={vs[-1]}")
+    return state.where(F.coalesce(F.col("operation") != "DELETE", F.lit(True))).drop("operation")
 
 
 def versioned_upsert(base: str, key: str = "id"):
@@ -260,14 +280,16 @@ def versioned_upsert(base: str, key: str = "id"):
 
     Version ``batch=<id>`` is written in full; a replay of the same batch id
     rewrites the same version from the same inputs (idempotent), and readers
-    only see versions whose ``_SUCCESS`` marker exists.
+    only see versions whose ``_SUCCESS`` marker exists.  Deleted ids stay as
+    tombstones, so an older event of a later batch does not bring them back;
+    ``current_state`` reads the live rows.
     """
     def fn(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         prev_ids = [v for v in committed_versions(spark, base) if v < batch_id]
         prev = (spark.read.parquet(f"{base.rstrip('/')}/batch={prev_ids[-1]}")
                 if prev_ids else None)
-        new = apply_changes(prev, batch, key)
+        new = apply_changes(prev, batch, key, keep_tombstones=True)
         new.write.mode("overwrite").parquet(f"{base.rstrip('/')}/batch={batch_id}")
     return fn
 
