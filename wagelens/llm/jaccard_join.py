@@ -387,19 +387,19 @@ def _texts(keyed: DataFrame, classes: DataFrame, met: DataFrame) -> DataFrame:
 def _blocks(large: DataFrame, comps: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Links between members of large buckets that are still in different components.
 
-    Buckets with common members form a family (components over bucket hubs);
-    each pair of a family's blocks is compared once.
+    Buckets with the same least member (hub) are one group: two sets that share
+    a bucket share its hub, so no pair is missed, and the many signatures of a
+    family of similar sets fold into few groups.  A group is cut into blocks,
+    and each pair of its blocks is compared by one task group.
     """
-    placed = large.join(comps, "node", "left").select("sign", "hub", "node", F.coalesce("component", "node").alias("component"))
-    open_ = placed.groupBy("sign").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sign")
-    members = shared(placed.join(open_, "sign").select("hub", "node", "component").distinct(), "open")
-    families = components(members.select(F.col("hub").alias("a"), F.col("node").alias("b"))).withColumnRenamed("component", "family")
-    rows = shared(members.select("node", "component").distinct().join(families, "node"), "families")
-    counts = rows.groupBy("family").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    cut = rows.join(counts, "family").withColumn("c", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    sided = (cut.select("family", "node", "component", "c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
-             .select("family", "node", "component", F.col("c").alias("side"), F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j")))
-    return (sided.join(texts, "node").groupBy("family", "i", "j")
+    placed = large.select("hub", "node").distinct().join(comps, "node", "left").select("hub", "node", F.coalesce("component", "node").alias("component"))
+    same = (placed.groupBy("hub").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"))
+            .where("x < y").select("hub", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int").alias("blocks")))
+    cut = placed.join(same, "hub").withColumn("c", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sided = (cut.select("hub", "node", "component", "c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+             .select("hub", "node", "component", F.col("c").alias("side"), F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j")))
+    sided = shared(sided, "sided")
+    return (sided.join(texts, "node").groupBy("hub", "i", "j")
             .applyInArrow(_block_links(n, num, den), "a long, b long"))
 
 
