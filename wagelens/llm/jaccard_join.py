@@ -176,7 +176,13 @@ def _node(s: np.ndarray) -> np.uint64:
 # -- signatures --------------------------------------------------------------
 
 def _pack(sign: np.ndarray, node: np.ndarray, slices: int):
-    """Rows (slice, single, shared): entries seen once here, and those of signatures with several nodes here."""
+    """Rows (slice, single, several).
+
+    ``single`` has the first node of each signature seen here, dealt by the
+    signature.  ``several`` has all nodes of those with two or more here; they
+    have met already and are dealt by signature and node over slices of their
+    own, so that no task gets all sets of a hot signature.
+    """
     order = np.lexsort((node, sign))
     sign, node = sign[order], node[order]
     new = np.ones(len(sign), bool)
@@ -186,18 +192,21 @@ def _pack(sign: np.ndarray, node: np.ndarray, slices: int):
     head[1:] = sign[1:] != sign[:-1]
     group = np.cumsum(head) - 1
     several = (np.bincount(group) > 1)[group] if len(group) else np.zeros(0, bool)
-    where = (sign % np.uint64(slices)).astype(np.int64)
+    n = np.uint64(slices)
+    rows = [(k, b"", both) for k, both in _dealt(slices + (mix(sign[several] ^ node[several]) % n).astype(np.int64), sign[several], node[several])]
+    rows += [(k, one, b"") for k, one in _dealt((sign[head] % n).astype(np.int64), sign[head], node[head])]
+    ids, single, both = zip(*rows) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(single, pa.binary()), pa.array(both, pa.binary())],
+                                      names=["slice", "single", "several"])
+
+
+def _dealt(where: np.ndarray, sign: np.ndarray, node: np.ndarray):
+    """(slice, blob) for every slice in ``where``."""
     order = np.argsort(where, kind="stable")
-    sign, node, head, several, where = sign[order], node[order], head[order], several[order], where[order]
+    sign, node, where = sign[order], node[order], where[order]
     edges = np.flatnonzero(np.diff(where, prepend=-1))
-    slice_ids, single, both = [], [], []
     for a, b in zip(edges, [*edges[1:], len(where)]):
-        slice_ids.append(int(where[a]))
-        h, m = head[a:b], several[a:b]
-        single.append(sign[a:b][h].tobytes() + node[a:b][h].tobytes())
-        both.append(sign[a:b][m].tobytes() + node[a:b][m].tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(slice_ids, pa.int32()), pa.array(single, pa.binary()), pa.array(both, pa.binary())],
-                                      names=["slice", "single", "several"])
+        yield int(where[a]), sign[a:b].tobytes() + node[a:b].tobytes()
 
 
 def _signing(n: int, scheme: PartEnum, slices: int):
