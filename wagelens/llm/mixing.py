@@ -169,7 +169,11 @@ def mixed_documents(docs: DataFrame, labels: DataFrame | None = None, seed: str
 
     ``n_chars``, where ``docs`` has it, follows the text of a part.
     """
-    taken = mix(docs, labels, seed, keep=docs.columns).where("copies > 0 OR part > 0")
+    # whole rows are numbered and written once; only numbers and sizes go through the mix
+    numbered = shared(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept")), "numbered")
+    narrow = numbered.select("rid", "kept.doc_id", "kept.text", "kept.source")
+    taken = (mix(narrow, labels, seed, keep=["rid"]).where("copies > 0 OR part > 0")
+             .select(F.col("kept.rid").alias("rid"), "copies", "part").join(numbered, "rid"))
     row = F.explode(F.concat(F.array_repeat(F.lit(0).cast("long"), F.col("copies")),
                              F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<long>"))))
     rows = taken.select("kept", row.alias("only"))
