@@ -20,7 +20,7 @@ signature inside a task folded to one: a hot signature costs a row per task.
 Small buckets give all their pairs; a large bucket gives the links to its least
 member, and only where its members are still in different components are they
 compared in blocks of ``BLOCK`` x ``BLOCK`` (links leave a block as a spanning
-forest).  No bucket is capped, and no group is held whole by one task.
+forest).  Pairs that sizes or parity bitmaps rule out go before texts are read.  No bucket is capped, and no group is held whole by one task.
 
 Defined cases: null text is empty; an empty set links with nothing and is its
 own component; rows with null doc_id are returned with a null component and
@@ -50,6 +50,8 @@ SMALL_BUCKET = 8
 BLOCK = 256
 #: signatures that a task packs at once, and the aim for one slice of the space
 PACK, SLICE = 1_500_000, 400_000
+#: bits of the parity bitmap of a set
+PARITY_BITS = 1024
 
 
 class PartEnum:
@@ -143,7 +145,7 @@ class PartEnum:
 
 # -- one row a document ------------------------------------------------------
 
-FINGERPRINT = "doc_id long, text_hash long, n_shingles long, f1 long, f2 long, n_signatures long"
+FINGERPRINT = "doc_id long, text_hash long, n_shingles long, f1 long, f2 long, n_signatures long, parity binary"
 
 
 def _fingerprints(n: int, scheme: PartEnum):
@@ -154,13 +156,35 @@ def _fingerprints(n: int, scheme: PartEnum):
                 for s in text_sets(batch["text"], n):
                     rows.append((len(s), mix(mix(s).sum(dtype=np.uint64) + np.uint64(len(s))) if len(s) else 0,
                                  mix((s * np.uint64(0xD1342543DE82EF95) ^ (s >> np.uint64(29))).sum(dtype=np.uint64)) if len(s) else 0,
-                                 scheme.count(len(s))))
-            cols = list(zip(*rows)) if rows else [(), (), (), ()]
+                                 scheme.count(len(s)), _parity(s)))
+            cols = list(zip(*rows)) if rows else [(), (), (), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["text_hash"], pa.array(cols[0], pa.int64()),
                  pa.array(signed(np.array(cols[1], np.uint64))), pa.array(signed(np.array(cols[2], np.uint64))),
-                 pa.array(cols[3], pa.int64())],
-                names=["doc_id", "text_hash", "n_shingles", "f1", "f2", "n_signatures"])
+                 pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.binary())],
+                names=["doc_id", "text_hash", "n_shingles", "f1", "f2", "n_signatures", "parity"])
+    return run
+
+
+def _parity(s: np.ndarray) -> bytes:
+    """Which of ``PARITY_BITS`` classes hold an odd number of elements.
+
+    Elements in both of two sets cancel out, so two bitmaps differ in at most
+    as many bits as there are elements in one set only.
+    """
+    place = (mix(s) >> np.uint64(40)).astype(np.int64) % PARITY_BITS
+    return np.packbits(np.bincount(place, minlength=PARITY_BITS) & 1).tobytes()
+
+
+def _plausible(scheme: PartEnum):
+    """Pairs whose sizes and parity bitmaps allow a link."""
+    def run(batches):
+        for batch in batches:
+            na, nb = (batch[c].to_numpy(zero_copy_only=False) for c in ("na", "nb"))
+            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint64).reshape(len(na), PARITY_BITS // 64) for c in ("pa", "pb"))
+            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            keep = (apart <= scheme.differing(na + nb)) & (np.minimum(na, nb) * scheme.den >= scheme.num * np.maximum(na, nb))
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep))
     return run
 
 
@@ -345,9 +369,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
 
     # one node for each distinct set, named by its fingerprint; its least row stands for it
     classes = shared(prints.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2", "n_shingles")
-                     .agg(F.min(F.struct("doc_id", "text_hash")).alias("r"), F.max("n_signatures").alias("n_signatures"))
+                     .agg(F.min(F.struct("doc_id", "text_hash")).alias("r"), F.max("n_signatures").alias("n_signatures"),
+                          F.max("parity").alias("parity"))
                      .select("f1", "f2", "n_shingles", F.col("r.doc_id").alias("doc_id"),
-                             F.col("r.text_hash").alias("text_hash"), "n_signatures"), "classes")
+                             F.col("r.text_hash").alias("text_hash"), "n_signatures", "parity"), "classes")
     total = classes.agg(F.sum("n_signatures")).first()[0] or 0
     slices = max(64, math.ceil(total / SLICE))
 
@@ -362,9 +387,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
     large = shared(met.join(buckets.where(f"size > {SMALL_BUCKET}"), "sign"), "large")
     pairs = (small.select(F.explode("nodes").alias("a"), "nodes").select("a", F.explode("nodes").alias("b")).where("a < b")
              .union(large.select(F.col("hub").alias("a"), F.col("node").alias("b")).where("a <> b")).distinct())
-    texts = _texts(keyed, classes, met)
+    marks = classes.select("f1", "n_shingles", "parity")
+    near = (pairs.join(marks.toDF("a", "na", "pa"), "a").join(marks.toDF("b", "nb", "pb"), "b").select("a", "b", "na", "nb", "pa", "pb")
+            .mapInArrow(_plausible(scheme), "a long, b long"))
+    near = shared(near, "near")
+    texts = _texts(keyed, classes, near.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")))
 
-    checked = (pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    checked = (near.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
                .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
                .mapInArrow(_verify(n, num, den), "a long, b long"))
     links = shared(checked, "pairs")
@@ -386,7 +415,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
 
 
 def _texts(keyed: DataFrame, classes: DataFrame, met: DataFrame) -> DataFrame:
-    """(node, text) of the sets that share a signature with another."""
+    """(node, text) of the sets named in ``met``."""
     wanted = classes.select(F.col("f1").alias("node"), "doc_id", "text_hash").join(
         met.select("node").distinct(), "node", "left_semi")
     found = keyed.join(wanted, ["doc_id", "text_hash"]).select("node", "text")
@@ -402,11 +431,16 @@ def _blocks(large: DataFrame, comps: DataFrame, texts: DataFrame, n: int, num: i
     and each pair of its blocks is compared by one task group.
     """
     placed = large.select("hub", "node").distinct().join(comps, "node", "left").select("hub", "node", F.coalesce("component", "node").alias("component"))
-    same = (placed.groupBy("hub").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"))
-            .where("x < y").select("hub", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int").alias("blocks")))
-    cut = placed.join(same, "hub").withColumn("c", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    sided = (cut.select("hub", "node", "component", "c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
-             .select("hub", "node", "component", F.col("c").alias("side"), F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j")))
+    counted = placed.groupBy("hub", "component").agg(F.count("*").alias("n"))
+    cut = (counted.groupBy("hub").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("size")).where("size > main.n")
+           .select("hub", F.col("main.component").alias("main"), F.ceil(F.col("main.n") / F.lit(BLOCK)).cast("int").alias("m"),
+                   F.ceil((F.col("size") - F.col("main.n")) / F.lit(BLOCK)).cast("int").alias("r")))
+    # blocks 0 to m - 1 hold the largest component, m to m + r - 1 the rest
+    rest, h = F.col("component") != F.col("main"), F.xxhash64("node")
+    side = F.when(rest, F.col("m") + F.pmod(h, F.col("r"))).otherwise(F.pmod(h, F.col("m"))).cast("int")
+    others = F.sequence(F.when(rest, F.lit(0)).otherwise(F.col("m")), F.col("m") + F.col("r") - 1)
+    sided = (placed.join(cut, "hub").select("hub", "node", "component", side.alias("side"), F.explode(others).alias("o"))
+             .select("hub", "node", "component", "side", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j")))
     sided = shared(sided, "sided")
     return (sided.join(texts, "node").groupBy("hub", "i", "j")
             .applyInArrow(_block_links(n, num, den), "a long, b long"))
