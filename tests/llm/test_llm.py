@@ -396,3 +396,45 @@ def test_registered():
     import __spark_entry__ as E
     names = set(E.queries())
     assert {f"op{n}_" for n in range(1, 11)} == {re.match(r"op\d+_", n).group() for n in names if n.startswith("op")} and "pipeline" in names
+
+
+def near_line_components(lines):
+    """Brute force: components of distinct lines by 5-character shingles, similarity 0.8."""
+    def cut(t):
+        return {t[i:i + 5] for i in range(len(t) - 4)} or {t}
+    lines = sorted(set(lines))
+    sets = [cut(t) for t in lines]
+    root = list(range(len(lines)))
+    for i in range(len(lines)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 10 * both >= 8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return {t: root[i] for i, t in enumerate(lines)}
+
+
+@pytest.mark.parametrize("small", [8, 1])
+def test_line_components(spark, monkeypatch, small):
+    """Against brute force: families of near lines, short and non-Latin lines, and large buckets by blocks."""
+    monkeypatch.setattr(line_dedup, "SMALL_BUCKET", small)
+    monkeypatch.setattr(line_dedup, "BLOCK", 4)
+    rng = random.Random(5)
+    lines = ["a", "ab", "abcd", "abcde", "日本語のとても長い行です。東京", "日本語のとても長い行です。東京!", "x" * 40, "x" * 41]
+    for i in range(12):
+        w = sentence(rng, 40, i % 3).split()
+        for _ in range(14):
+            v = list(w)
+            for _ in range(rng.randint(0, 3)):
+                v[rng.randrange(len(v))] = sentence(rng, 1, i % 3)
+            lines.append(" ".join(v))
+    rng.shuffle(lines)
+    rows = [(i, "\n".join(lines[i::30])) for i in range(30)]
+    component = near_line_components(lines)
+    first = {}
+    for i, text in rows:
+        for n, t in enumerate(text.split("\n")):
+            first.setdefault(component[t], (i, n))
+    want = {i: [n for n, t in enumerate(text.split("\n")) if first[component[t]] != (i, n)] for i, text in rows}
+    got = {r["doc_id"]: list(r["dropped"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want

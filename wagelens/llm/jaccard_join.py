@@ -14,13 +14,10 @@ A set in reach of a border signs the border's instance too.  Empty projections
 are left out where the group count has slack enough to do without them, and
 kept otherwise, so no link is lost.
 
-Work.  Equal sets fold into one node first.  Signatures leave the tasks packed
-in blobs, one row a task and slice of the signature space, with repeats of a
-signature inside a task folded to one: a hot signature costs a row per task.
-Small buckets give all their pairs; a large bucket gives the links to its least
-member, and only where its members are still in different components are they
-compared in blocks of ``BLOCK`` x ``BLOCK`` (links leave a block as a spanning
-forest).  Pairs that sizes or parity bitmaps rule out go before texts are read.  No bucket is capped, and no group is held whole by one task.
+Work.  Equal sets fold into one node first.  Signatures meet as ``meeting``
+says (links leave a block as a spanning forest).  Pairs that sizes or parity
+bitmaps rule out go before texts are read.  No bucket is capped, and no group
+is held whole by one task.
 
 Defined cases: null text is empty; an empty set links with nothing and is its
 own component; rows with null doc_id are returned with a null component and
@@ -31,7 +28,7 @@ gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import math
-from functools import lru_cache
+from functools import lru_cache, partial
 from itertools import combinations
 
 import numpy as np
@@ -41,6 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import mix, shared, signed, small_batches, table, text_bytes, text_sets, chunks_of
 from .graph import components
+from .meeting import PACK, SLICE, blocks, meet, pack, verify
 
 #: sizes of a band reach from one bound to this multiple of it
 BAND_RATIO = 1.5
@@ -48,8 +46,6 @@ BAND_RATIO = 1.5
 SMALL_BUCKET = 8
 #: sets on one side of a block comparison
 BLOCK = 256
-#: signatures that a task packs at once, and the aim for one slice of the space
-PACK, SLICE = 1_500_000, 400_000
 #: bits of the parity bitmap of a set
 PARITY_BITS = 1024
 
@@ -199,40 +195,6 @@ def _node(s: np.ndarray) -> np.uint64:
 
 # -- signatures --------------------------------------------------------------
 
-def _pack(sign: np.ndarray, node: np.ndarray, slices: int):
-    """Rows (slice, single, several).
-
-    ``single`` has the first node of each signature seen here, dealt by the
-    signature.  ``several`` has all nodes of those with two or more here; they
-    have met already and are dealt by signature and node over slices of their
-    own, so that no task gets all sets of a hot signature.
-    """
-    order = np.lexsort((node, sign))
-    sign, node = sign[order], node[order]
-    new = np.ones(len(sign), bool)
-    new[1:] = (sign[1:] != sign[:-1]) | (node[1:] != node[:-1])
-    sign, node = sign[new], node[new]
-    head = np.ones(len(sign), bool)
-    head[1:] = sign[1:] != sign[:-1]
-    group = np.cumsum(head) - 1
-    several = (np.bincount(group) > 1)[group] if len(group) else np.zeros(0, bool)
-    n = np.uint64(slices)
-    rows = [(k, b"", both) for k, both in _dealt(slices + (mix(sign[several] ^ node[several]) % n).astype(np.int64), sign[several], node[several])]
-    rows += [(k, one, b"") for k, one in _dealt((sign[head] % n).astype(np.int64), sign[head], node[head])]
-    ids, single, both = zip(*rows) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(single, pa.binary()), pa.array(both, pa.binary())],
-                                      names=["slice", "single", "several"])
-
-
-def _dealt(where: np.ndarray, sign: np.ndarray, node: np.ndarray):
-    """(slice, blob) for every slice in ``where``."""
-    order = np.argsort(where, kind="stable")
-    sign, node, where = sign[order], node[order], where[order]
-    edges = np.flatnonzero(np.diff(where, prepend=-1))
-    for a, b in zip(edges, [*edges[1:], len(where)]):
-        yield int(where[a]), sign[a:b].tobytes() + node[a:b].tobytes()
-
-
 def _signing(n: int, scheme: PartEnum, slices: int):
     def run(batches):
         signs, nodes, held = [], [], 0
@@ -247,111 +209,10 @@ def _signing(n: int, scheme: PartEnum, slices: int):
                         nodes.append(np.full(len(x), node, np.uint64))
                         held += len(x)
                     if held >= PACK:
-                        yield _pack(np.concatenate(signs), np.concatenate(nodes), slices)
+                        yield pack(np.concatenate(signs), np.concatenate(nodes), slices)
                         signs, nodes, held = [], [], 0
             if held:
-                yield _pack(np.concatenate(signs), np.concatenate(nodes), slices)
-    return run
-
-
-def _unpack(blobs) -> tuple[np.ndarray, np.ndarray]:
-    signs, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-    for b in blobs:
-        x = np.frombuffer(b, np.uint64)
-        signs.append(x[:len(x) // 2])
-        nodes.append(x[len(x) // 2:])
-    return np.concatenate(signs), np.concatenate(nodes)
-
-
-def _meet(t: pa.Table) -> pa.Table:
-    """All entries of the slice's signatures that have at least two nodes."""
-    sign, node = _unpack(t["single"].to_pylist())
-    order = np.lexsort((node, sign))
-    sign, node = sign[order], node[order]
-    new = np.ones(len(sign), bool)
-    new[1:] = (sign[1:] != sign[:-1]) | (node[1:] != node[:-1])
-    sign, node = sign[new], node[new]
-    head = np.ones(len(sign), bool)
-    head[1:] = sign[1:] != sign[:-1]
-    group = np.cumsum(head) - 1
-    keep = (np.bincount(group) > 1)[group] if len(group) else np.zeros(0, bool)
-    more_sign, more_node = _unpack(t["several"].to_pylist())
-    both = np.stack([np.concatenate([sign[keep], more_sign]), np.concatenate([node[keep], more_node])], axis=1)
-    both = np.unique(both, axis=0) if len(both) else both
-    return pa.table({"sign": pa.array(signed(both[:, 0])), "node": pa.array(signed(both[:, 1]))})
-
-
-# -- verification ------------------------------------------------------------
-
-def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
-    if min(len(x), len(y)) * den < num * max(len(x), len(y)):
-        return False
-    both = len(x) + len(y) - len(np.union1d(x, y))
-    return den * both >= num * (len(x) + len(y) - both)
-
-
-def _sets_by_node(nodes, texts: pa.Array, n: int) -> dict:
-    """Sets of the distinct nodes of a batch (each text is cut up once)."""
-    place: dict[int, int] = {}
-    for i, node in enumerate(nodes):
-        place.setdefault(node, i)
-    return dict(zip(place, text_sets(texts.take(pa.array(list(place.values()), pa.int64())), n)))
-
-
-def _verify(n: int, num: int, den: int):
-    def run(batches):
-        for batch in batches:
-            a, b = batch["a"].to_pylist(), batch["b"].to_pylist()
-            left, right = _sets_by_node(a, batch["text_a"], n), _sets_by_node(b, batch["text_b"], n)
-            kept = [(x, y) for x, y in zip(a, b) if _linked(left[x], right[y], num, den)]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in kept], pa.int64()), pa.array([y for _, y in kept], pa.int64())], names=["a", "b"])
-    return run
-
-
-def _block_links(n: int, num: int, den: int):
-    """Links between the two sides of a block (inside one side where they are the same), as a spanning forest."""
-    def run(t: pa.Table) -> pa.Table:
-        nodes = t["node"].to_pylist()
-        comps = t["component"].to_pylist()
-        sides = t["side"].to_pylist()
-        own = t["i"][0].as_py() == t["j"][0].as_py()
-        texts = t["text"].combine_chunks()
-        sets = list(text_sets(texts, n))
-        size = np.array([len(s) for s in sets])
-        everything = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets)), size)
-        values, column = np.unique(everything, return_inverse=True)
-        seen = np.bincount(column, minlength=len(values))
-        column_of = np.cumsum(seen > 1) - 1  # an element of one set only is in no intersection
-        keep = seen[column] > 1
-        owner, column = owner[keep], column_of[column[keep]]
-        both = np.zeros((len(sets), len(sets)), np.float32)
-        order = np.argsort(column, kind="stable")
-        owner, column = owner[order], column[order]
-        for low in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
-            x, y = np.searchsorted(column, [low, low + 4096])
-            grid = np.zeros((len(sets), 4096), np.float32)
-            grid[owner[x:y], column[x:y] - low] = 1
-            both += grid @ grid.T
-        both = both.astype(np.int64)
-        hit = den * both >= num * (size[:, None] + size[None, :] - both)
-        root = {c: c for c in comps}
-
-        def find(c):
-            while root[c] != c:
-                root[c] = root[root[c]]
-                c = root[c]
-            return c
-
-        out = []
-        for x, y in zip(*np.nonzero(np.triu(hit, 1))):
-            if not own and sides[x] == sides[y]:
-                continue
-            cx, cy = find(comps[x]), find(comps[y])
-            if cx != cy:
-                root[max(cx, cy)] = min(cx, cy)
-                out.append((nodes[x], nodes[y]))
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+                yield pack(np.concatenate(signs), np.concatenate(nodes), slices)
     return run
 
 
@@ -363,7 +224,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
     """
     spark = docs.sparkSession
     small_batches(spark)
-    scheme = PartEnum(num, den)
+    scheme, cut = PartEnum(num, den), partial(text_sets, n=n)
     keyed = _keyed(docs)
     prints = shared(keyed.mapInArrow(_fingerprints(n, scheme), FINGERPRINT), "fingerprints")
 
@@ -378,7 +239,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
 
     packed = keyed.where("doc_id IS NOT NULL").select("text").mapInArrow(
         _signing(n, scheme, slices), "slice int, single binary, several binary")
-    met = shared(packed.groupBy("slice").applyInArrow(_meet, "sign long, node long"), "met")
+    met = shared(packed.groupBy("slice").applyInArrow(meet, "sign long, node long"), "met")
 
     buckets = met.groupBy("sign").agg(F.count("*").alias("size"), F.min("node").alias("hub"))
     small = shared(met.join(buckets.where(f"size <= {SMALL_BUCKET}").select("sign"), "sign")
@@ -395,12 +256,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
 
     checked = (near.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
                .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-               .mapInArrow(_verify(n, num, den), "a long, b long"))
+               .mapInArrow(verify(cut, num, den), "a long, b long"))
     links = shared(checked, "pairs")
     comps = shared(components(links), "components")
 
     if large.head(1):
-        more = shared(_blocks(large, comps, texts, n, num, den), "blocks")
+        more = shared(blocks(large, comps, texts, cut, num, den, BLOCK), "blocks")
         if more.head(1):
             comps = shared(components(links.union(more)), "components")
 
@@ -422,30 +283,6 @@ def _texts(keyed: DataFrame, classes: DataFrame, met: DataFrame) -> DataFrame:
     return shared(found.dropDuplicates(["node"]), "texts")
 
 
-def _blocks(large: DataFrame, comps: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Links between members of large buckets that are still in different components.
-
-    Buckets with the same least member (hub) are one group: two sets that share
-    a bucket share its hub, so no pair is missed, and the many signatures of a
-    family of similar sets fold into few groups.  A group is cut into blocks,
-    and each pair of its blocks is compared by one task group.
-    """
-    placed = large.select("hub", "node").distinct().join(comps, "node", "left").select("hub", "node", F.coalesce("component", "node").alias("component"))
-    counted = placed.groupBy("hub", "component").agg(F.count("*").alias("n"))
-    cut = (counted.groupBy("hub").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("size")).where("size > main.n")
-           .select("hub", F.col("main.component").alias("main"), F.ceil(F.col("main.n") / F.lit(BLOCK)).cast("int").alias("m"),
-                   F.ceil((F.col("size") - F.col("main.n")) / F.lit(BLOCK)).cast("int").alias("r")))
-    # blocks 0 to m - 1 hold the largest component, m to m + r - 1 the rest
-    rest, h = F.col("component") != F.col("main"), F.xxhash64("node")
-    side = F.when(rest, F.col("m") + F.pmod(h, F.col("r"))).otherwise(F.pmod(h, F.col("m"))).cast("int")
-    others = F.sequence(F.when(rest, F.lit(0)).otherwise(F.col("m")), F.col("m") + F.col("r") - 1)
-    sided = (placed.join(cut, "hub").select("hub", "node", "component", side.alias("side"), F.explode(others).alias("o"))
-             .select("hub", "node", "component", "side", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j")))
-    sided = shared(sided, "sided")
-    return (sided.join(texts, "node").groupBy("hub", "i", "j")
-            .applyInArrow(_block_links(n, num, den), "a long, b long"))
-
-
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents on 3-word shingles; links where 100 * common >= 90 * union."""
     return jaccard_components(table(spark, sf_dir, "documents"), 3, 90, 100).select("doc_id", "n_shingles", "component_id")
