@@ -102,8 +102,8 @@ def verify(cut, num: int, den: int):
     def run(batches):
         for batch in batches:
             a, b = batch["a"].to_pylist(), batch["b"].to_pylist()
-            left, right = sets_by_node(a, batch["text_a"], cut), sets_by_node(b, batch["text_b"], cut)
-            kept = [(x, y) for x, y in zip(a, b) if linked(left[x], right[y], num, den)]
+            sets = sets_by_node(a + b, pa.concat_arrays([batch["text_a"], batch["text_b"]]), cut)
+            kept = [(x, y) for x, y in zip(a, b) if linked(sets[x], sets[y], num, den)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in kept], pa.int64()), pa.array([y for _, y in kept], pa.int64())], names=["a", "b"])
     return run
 
