@@ -4,9 +4,9 @@ Passages are windows of ``2 * STEP`` words at every ``STEP``-th word of a
 document.  A passage and a benchmark item are TF-IDF vectors over the words of
 the benchmark; document frequencies are counted over all documents, and words
 in more than ``MOST_DF`` of them weigh nothing.  A randomised SVD of passages
-(distributed: each task adds up A'(A*omega) over its passages; fitted on about
-``SAMPLE`` documents by a hash of their id, and on all items) gives the latent
-space, with rank enough for every item of a block.  Passages whose cosine to an
+(distributed: each task adds up A'(A*omega) over the passages of all its
+documents, and all items are added) gives the latent space, with rank enough
+for every item of a block.  Passages whose cosine to an
 item reaches ``COSINE`` are candidates.  A candidate is a leak when the longest
 common subsequence of item and neighbourhood covers ``LCS`` of the item's
 words; below ``SURE`` the item's answer (its last sentence) must be covered by
@@ -28,6 +28,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,14 +36,15 @@ from .common import Words, chunks_of, small_batches, table, text_bytes
 
 STEP = 16
 MOST_DF = 0.3
-SAMPLE = 2000
 EXTRA_RANK = 32
 COSINE, LCS, SURE, ANSWER = 0.35, 0.6, 0.8, 0.5
 LEAST_WORDS = 8
 ITEMS = 512
-#: weight of a benchmark row beside a passage in the decomposition (the sample is bounded, so a fixed
-#: weight keeps nearly all of every item in the latent space)
-ITEM_WEIGHT = 32.0
+#: parts of the sketch that one task adds up
+FAN_IN = 32
+#: share of the items beside all passages in the decomposition, and the least weight of an item: in proportion
+#: to the passages, so that at every size nearly all of every item stays in the latent space
+ITEM_SHARE, ITEM_WEIGHT = 6.0, 32.0
 
 
 def _words_of(texts: list[str]) -> list[np.ndarray]:
@@ -105,9 +107,10 @@ class Index:
         rank = min(len(self.features), len(self.ids) + EXTRA_RANK)
         return np.random.default_rng(11).normal(size=(len(self.features), rank)).astype(np.float32)
 
-    def decompose(self, sketch: np.ndarray) -> None:
-        """One-pass eigenvectors of A'A from its sketch A'A*omega."""
-        rows, omega = ITEM_WEIGHT * self.item_rows(), self.omega().astype(np.float64)
+    def decompose(self, sketch: np.ndarray, passages: float) -> None:
+        """One-pass eigenvectors of A'A from its sketch A'A*omega over ``passages`` rows and the items."""
+        weight = max(ITEM_WEIGHT, math.sqrt(ITEM_SHARE * passages / len(self.ids)))
+        rows, omega = weight * self.item_rows(), self.omega().astype(np.float64)
         y = sketch + rows.T @ (rows @ omega)
         q, _ = np.linalg.qr(y)
         small = np.linalg.lstsq((q.T @ omega).T, (q.T @ y).T, rcond=None)[0].T
@@ -159,31 +162,53 @@ def _count_df(sent):
 def _sketch(sent):
     def run(batches):
         index = sent.value
-        omega = index.omega()
-        total = np.zeros(omega.shape, np.float32)
-        idf = index.idf.astype(np.float32)
+        idf = index.idf.astype(np.float32)[:, None]
+        omega = index.omega() * idf
+        total, passages = np.zeros(omega.shape), 0
         for batch in batches:
             data, off = text_bytes(batch["text"])
             with np.errstate(over="ignore"):
                 for i, j in chunks_of(data, off, 500_000):
                     w = Words(data[off[i]:off[j]], off[i:j + 1] - off[i])
-                    block, start, _ = _blocks(w)
+                    block, start, doc = _blocks(w)
                     f = index.find(w.hash)
                     keep = (f >= 0) & (index.idf[f] > 0)
-                    f, passage = f[keep], block[keep] // 2  # every second block: passages of 2 * STEP words
+                    f, block = f[keep], block[keep]
+                    passage = block - (block - start[doc[block]]) % 2  # passages of 2 * STEP words, side by side
                     if len(f):
-                        y = _sum_by(omega[f] * idf[f][:, None], passage, int(passage[-1]) + 1)
+                        new = np.diff(passage, prepend=-1) != 0
+                        y = np.add.reduceat(omega[f], np.flatnonzero(new), axis=0)
+                        passages += len(y)
                         order = np.argsort(f, kind="stable")
-                        f, passage = f[order], passage[order]
-                        total += _sum_by(y[passage] * idf[f][:, None], f, len(total))
+                        f, passage = f[order], (np.cumsum(new) - 1)[order]
+                        first = np.flatnonzero(np.diff(f, prepend=-1))
+                        total[f[first]] += np.add.reduceat(y[passage], first, axis=0)
+        total = (total * idf).astype(np.float32)
+        task = TaskContext.get().partitionId()
+        yield _part(-1, task, np.array([passages], np.float32))
         for at in range(0, len(total), 1024):
-            yield pa.RecordBatch.from_arrays([pa.array([at // 1024], pa.int32()), pa.array([total[at:at + 1024].tobytes()], pa.binary())], names=["at", "part"])
+            yield _part(at // 1024, task, total[at:at + 1024])
     return run
 
 
+def _part(at: int, task: int, rows: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([task], pa.int32()), pa.array([rows.tobytes()], pa.binary())],
+                                      names=["at", "task", "part"])
+
+
 def _add_parts(t: pa.Table) -> pa.Table:
-    parts = [np.frombuffer(p, np.float32).astype(np.float64) for p in t["part"].to_pylist()]
-    return pa.table({"at": t["at"].slice(0, 1), "part": pa.array([sum(parts).tobytes()], pa.binary())})
+    total = sum(np.frombuffer(p, np.float32).astype(np.float64) for p in t["part"].to_pylist())
+    return pa.table({"at": t["at"].slice(0, 1), "task": t["task"].slice(0, 1), "part": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+
+def _sum_of_tasks(parts: DataFrame, tasks: int) -> DataFrame:
+    """The sum of the tasks' parts, ``FAN_IN`` of them at a time, so that no task adds up all of them."""
+    while True:
+        tasks = -(-tasks // FAN_IN)
+        parts = (parts.select("at", F.expr(f"task div {FAN_IN}").cast("int").alias("task"), "part")
+                 .groupBy("at", "task").applyInArrow(_add_parts, "at int, task int, part binary"))
+        if tasks <= 1:
+            return parts
 
 
 def leaks_in(index: Index, texts: pa.Array) -> list[tuple[int, int, float]]:
@@ -252,7 +277,6 @@ def build_indexes(docs: DataFrame, benchmark: DataFrame) -> list[Index]:
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
     blocks = math.ceil(items.count() / ITEMS)
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    sample = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     out = []
     for b in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect() if blocks > 1 else items.collect()
@@ -267,15 +291,17 @@ def build_indexes(docs: DataFrame, benchmark: DataFrame) -> list[Index]:
             if r["f"] >= 0:
                 df[r["f"]] = r["n"]
         index.weigh(df, rows)
-        share = int(1_000_000 * min(1.0, SAMPLE / max(1, rows))) + 1
         sent = spark.sparkContext.broadcast(index)
-        parts = (sample.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000)) < share).select("text")
-                 .mapInArrow(_sketch(sent), "at int, part binary").groupBy("at").applyInArrow(_add_parts, "at int, part binary").collect())
-        sketch = np.zeros(index.omega().shape)
-        for r in parts:
-            got = np.frombuffer(bytes(r["part"]), np.float64).reshape(-1, sketch.shape[1])
+        sums = _sum_of_tasks(texts.mapInArrow(_sketch(sent), "at int, task int, part binary"), texts.rdd.getNumPartitions())
+        sketch, passages = np.zeros(index.omega().shape), 0.0
+        for r in sums.collect():  # features x rank of one block of items
+            got = np.frombuffer(bytes(r["part"]), np.float32)
+            if r["at"] < 0:
+                passages = float(got[0])
+                continue
+            got = got.reshape(-1, sketch.shape[1])
             sketch[r["at"] * 1024:r["at"] * 1024 + len(got)] = got
-        index.decompose(sketch)
+        index.decompose(sketch, passages)
         out.append(index)
     return out
 
