@@ -2,21 +2,25 @@
 
 Passages are windows of ``2 * STEP`` words at every ``STEP``-th word of a
 document.  A passage and a benchmark item are TF-IDF vectors over the words of
-the benchmark; document frequencies are counted over all documents, and words
-in more than ``MOST_DF`` of them weigh nothing.  A randomised SVD of passages
+the benchmark; document frequencies are counted over all documents, and every
+word keeps a weight of at least ``LEAST_IDF``, however frequent.  A randomised SVD of passages
 (distributed: each task adds up A'(A*omega) over the passages of all its
-documents, and all items are added) gives the latent space, with rank enough
-for every item of a block.  Passages whose cosine to an
-item reaches ``COSINE`` are candidates.  A candidate is a leak when the longest
+documents, and all pieces are added, with equal norms) gives the latent space,
+with rank enough for every piece of a block.  Passages whose cosine to a
+piece reaches ``COSINE`` are candidates; words beyond the benchmark weigh no
+more there than the piece's own words do, so that frequent words are not
+drowned.  Beside this, every place where all words of an item stand in a row
+is found by hash.  A candidate is a leak when the longest
 common subsequence of item and neighbourhood covers ``LCS`` of the item's
 words; below ``SURE`` the item's answer (its last sentence) must be covered by
 half as well, which tells a paraphrase from a text on the same matter.
 
-The benchmark is read in blocks of ``ITEMS`` items, so what is broadcast has a
-fixed bound; documents are scanned whole, without a shuffle.
+The benchmark is read in blocks of about ``ITEMS`` pieces; documents are scanned
+whole, without a shuffle.
 
-Defined cases: null text has no words; null or short items (under
-``LEAST_WORDS`` words) match nothing; repeated items and rows are reported
+Defined cases: null text has no words; items under ``LEAST_WORDS`` words match
+where all their words stand in a row, and null items or items under
+``LEAST_EXACT`` words match nothing; repeated items and rows are reported
 each; null ids are kept; an empty table on either side gives no rows; other
 columns are not read.
 """
@@ -32,13 +36,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, chunks_of, small_batches, table, text_bytes
+from .common import Words, chunks_of, mix, small_batches, table, text_bytes
 
 STEP = 16
-MOST_DF = 0.3
+LEAST_IDF = 0.05
 EXTRA_RANK = 32
 COSINE, LCS, SURE, ANSWER = 0.35, 0.6, 0.8, 0.5
-LEAST_WORDS = 8
+LEAST_WORDS, LEAST_EXACT = 8, 8
+#: words of an item that is one piece; a longer one is cut into pieces of 2 * STEP words
+LONG = 1 << 30
+#: pieces of a block of items
 ITEMS = 512
 #: parts of the sketch that one task adds up
 FAN_IN = 32
@@ -46,6 +53,8 @@ FAN_IN = 32
 #: to the passages, so that at every size nearly all of every item stays in the latent space
 ITEM_SHARE, ITEM_WEIGHT = 6.0, 32.0
 
+_ODD = [np.uint64(int(x) | 1) for x in mix(np.arange(51, 51 + LEAST_WORDS, dtype=np.uint64))]
+
 
 def _words_of(texts: list[str]) -> list[np.ndarray]:
     with np.errstate(over="ignore"):
@@ -78,11 +87,20 @@ class Index:
 
     def __init__(self, items: list[tuple]):
         words = _words_of([t or "" for _, t in items])
-        used = [i for i, w in enumerate(words) if len(w) >= LEAST_WORDS]
+        used = [i for i, w in enumerate(words) if len(w) >= LEAST_EXACT]
         self.ids = [items[i][0] for i in used]
         self.words = [words[i] for i in used]
         self.answers = _words_of([answer_of(items[i][1]) for i in used])
+        cut = [(i, p) for i, w in enumerate(self.words) if len(w) >= LEAST_WORDS for p in pieces_of(w)]
+        self.pieces, self.owner = [p for _, p in cut], np.array([i for i, _ in cut], np.int64)
         self.features = np.unique(np.concatenate(self.words)) if used else np.zeros(0, np.uint64)
+        # items by the hash of their first words, as many as LEAST_WORDS
+        self.heads: dict[int, dict[int, list[int]]] = {}
+        with np.errstate(over="ignore"):
+            for i, w in enumerate(self.words):
+                n = min(len(w), LEAST_WORDS)
+                self.heads.setdefault(n, {}).setdefault(int(_rows_of_words(w[:n], n)[0]), []).append(i)
+        self.head_keys = {n: np.array(sorted(h), np.uint64) for n, h in self.heads.items()}
         self.idf = np.zeros(len(self.features))
         self.other = 1.0
         self.basis = np.zeros((len(self.features), 0), np.float32)
@@ -93,24 +111,27 @@ class Index:
         return np.where(self.features[at] == h, at, -1)
 
     def weigh(self, df: np.ndarray, rows: int) -> None:
-        self.idf = np.log((1 + rows) / (1 + df))
-        self.idf[df > MOST_DF * rows] = 0
-        self.other = float(np.median(self.idf[self.idf > 0])) if (self.idf > 0).any() else 1.0
+        self.idf = np.log((1 + rows) / (1 + df)) + LEAST_IDF
+        self.other = float(np.median(self.idf))
+        # words beyond the benchmark weigh no more than the words of a piece
+        self.beyond = np.array([min(self.other, math.sqrt((self.idf[self.find(p)] ** 2).mean())) for p in self.pieces]) ** 2
 
     def item_rows(self) -> np.ndarray:
-        out = np.zeros((len(self.words), len(self.features)))
-        for i, w in enumerate(self.words):
+        out = np.zeros((len(self.pieces), len(self.features)))
+        for i, w in enumerate(self.pieces):
             np.add.at(out[i], self.find(w), 1)
         return out * self.idf
 
     def omega(self) -> np.ndarray:
-        rank = min(len(self.features), len(self.ids) + EXTRA_RANK)
+        rank = min(len(self.features), len(self.pieces) + EXTRA_RANK)
         return np.random.default_rng(11).normal(size=(len(self.features), rank)).astype(np.float32)
 
     def decompose(self, sketch: np.ndarray, passages: float) -> None:
         """One-pass eigenvectors of A'A from its sketch A'A*omega over ``passages`` rows and the items."""
-        weight = max(ITEM_WEIGHT, math.sqrt(ITEM_SHARE * passages / len(self.ids)))
-        rows, omega = weight * self.item_rows(), self.omega().astype(np.float64)
+        weight = max(ITEM_WEIGHT, math.sqrt(ITEM_SHARE * passages / len(self.pieces)))
+        plain = self.item_rows()
+        norm = np.maximum(1e-9, np.linalg.norm(plain, axis=1))[:, None]
+        rows, omega = weight * plain * (norm.max() / norm), self.omega().astype(np.float64)
         y = sketch + rows.T @ (rows @ omega)
         q, _ = np.linalg.qr(y)
         small = np.linalg.lstsq((q.T @ omega).T, (q.T @ y).T, rcond=None)[0].T
@@ -118,8 +139,39 @@ class Index:
         keep = value > 1e-9 * max(1e-300, value.max())
         self.basis = np.ascontiguousarray(q @ vector[:, keep], np.float32)
         self.weighted = (self.idf[:, None] * self.basis).astype(np.float32)
-        plain = self.item_rows()
-        self.latent = (plain @ self.basis / np.maximum(1e-9, np.linalg.norm(plain, axis=1))[:, None]).astype(np.float32)
+        self.latent = (plain @ self.basis / norm).astype(np.float32)
+
+
+def pieces_of(words: np.ndarray) -> list[np.ndarray]:
+    """Passages of 2 * STEP words, side by side, the last one up to the end; a shorter item is one piece."""
+    if len(words) <= LONG:
+        return [words]
+    return [words[min(at, len(words) - 2 * STEP):][:2 * STEP] for at in range(0, len(words), 2 * STEP)]
+
+
+def _rows_of_words(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the ``n`` words in a row from each place on."""
+    m = max(0, len(h) - n + 1)
+    total = np.zeros(m, np.uint64)
+    for j in range(n):
+        total += h[j:j + m] * _ODD[j]
+    return mix(total)
+
+
+def _exact(index: Index, w: Words) -> set[tuple[int, int]]:
+    """(text, item) where all words of the item stand in a row."""
+    out = set()
+    for n, keys in index.head_keys.items():
+        h = _rows_of_words(w.hash, n)
+        if not len(h):
+            continue
+        at = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h)
+        for place, d in zip(at.tolist(), (np.searchsorted(w.first, at, "right") - 1).tolist()):
+            for item in index.heads[n][int(h[place])]:
+                own = index.words[item]
+                if (d, item) not in out and place + len(own) <= w.first[d + 1] and np.array_equal(w.hash[place:place + len(own)], own):
+                    out.add((d, item))
+    return out
 
 
 def _blocks(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,7 +224,7 @@ def _sketch(sent):
                     w = Words(data[off[i]:off[j]], off[i:j + 1] - off[i])
                     block, start, doc = _blocks(w)
                     f = index.find(w.hash)
-                    keep = (f >= 0) & (index.idf[f] > 0)
+                    keep = f >= 0
                     f, block = f[keep], block[keep]
                     passage = block - (block - start[doc[block]]) % 2  # passages of 2 * STEP words, side by side
                     if len(f):
@@ -221,10 +273,14 @@ def leaks_in(index: Index, texts: pa.Array) -> list[tuple[int, int, float]]:
             block, start, doc = _blocks(w)
             if not len(doc):
                 continue
+            whole = _exact(index, w)
+            out += [(i + d, item, 1.0) for d, item in sorted(whole)]
+            if not index.pieces:
+                continue
             f = index.find(w.hash)
-            weight = np.where(f >= 0, index.idf[f], index.other)
-            square = np.bincount(block, weights=weight ** 2, minlength=len(doc))
-            keep = (f >= 0) & (weight > 0)
+            keep = f >= 0
+            square = np.bincount(block[keep], weights=index.idf[f[keep]] ** 2, minlength=len(doc))
+            others = np.bincount(block[~keep], minlength=len(doc))
             hit = np.unique(block[keep])
             if not len(hit):
                 continue
@@ -246,16 +302,17 @@ def leaks_in(index: Index, texts: pa.Array) -> list[tuple[int, int, float]]:
                     vec[follow_ok] += part[follow[follow_ok]]
                     vec, rows = vec[ok], begin[ok]
                 after = np.minimum(rows + 1, len(doc) - 1)
-                norm = np.sqrt(square[rows] + np.where((after > rows) & (doc[after] == doc[rows]), square[after], 0))
-                cosine = (vec @ index.latent.T) / np.maximum(1e-9, norm)[:, None]
-                for r, item in zip(*np.nonzero(cosine >= COSINE)):
-                    found.setdefault((int(doc[rows[r]]), int(item)), set()).add(int(rows[r]))
+                both = (after > rows) & (doc[after] == doc[rows])
+                own, beyond = (x[rows] + np.where(both, x[after], 0) for x in (square, others))
+                least = np.maximum(1e-9, (COSINE ** 2 * (own[:, None] + beyond[:, None] * index.beyond)))
+                reach = vec @ index.latent.T
+                for r, piece in zip(*np.nonzero((reach > 0) & (reach * reach >= least))):
+                    d, item = int(doc[rows[r]]), int(index.owner[piece])
+                    if (d, item) not in whole:
+                        found.setdefault((d, item), set()).add(int(rows[r]))
             for (d, item), blocks in found.items():
                 own, best = index.words[item], 0.0
-                done = -1
                 for b in sorted(blocks):
-                    if b <= done:
-                        continue
                     at = w.first[d] + (b - start[d]) * STEP
                     span = w.hash[max(w.first[d], at - len(own)):min(w.first[d + 1], at + 2 * STEP + len(own))]
                     share = common_subsequence(own, span) / len(own)
@@ -275,7 +332,8 @@ def build_indexes(docs: DataFrame, benchmark: DataFrame) -> list[Index]:
     spark = docs.sparkSession
     small_batches(spark)
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
-    blocks = math.ceil(items.count() / ITEMS)
+    size = F.size(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"))
+    blocks = math.ceil((items.agg(F.sum(F.when(size <= LONG, 1).otherwise(F.ceil(size / F.lit(2 * STEP))))).first()[0] or 0) / ITEMS)
     texts = docs.select(F.col("text").cast("string").alias("text"))
     out = []
     for b in range(blocks):
@@ -301,7 +359,8 @@ def build_indexes(docs: DataFrame, benchmark: DataFrame) -> list[Index]:
                 continue
             got = got.reshape(-1, sketch.shape[1])
             sketch[r["at"] * 1024:r["at"] * 1024 + len(got)] = got
-        index.decompose(sketch, passages)
+        if index.pieces:
+            index.decompose(sketch, passages)
         out.append(index)
     return out
 
