@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from wagelens.llm import decontaminate
 
 ITEMS, DOCS = "item_id long, text string", "doc_id long, text string"
@@ -37,3 +39,24 @@ def test_item_in_many_documents(spark):
     got = leaks(spark, docs, items)
     assert [x for x in got if x[1] != 6] == [x for x in want if x[1] != 6]
     assert (70, 6) in got
+
+
+def test_long_and_short_items(spark):
+    rng = random.Random(22)
+    long, five = sentence(rng, 400), "Paris is France's largest city"
+    items = [(0, long), (1, five), (2, sentence(rng, 30)), (3, None), (4, "")]
+    changed = long.split()
+    for k in range(0, 400, 9):
+        changed[k] = "changed"
+    docs = [(i, sentence(rng, 120)) for i in range(20)]
+    docs += [(100, f"{sentence(rng, 37)} {long} {sentence(rng, 50)}"), (101, f"{sentence(rng, 20)} {five.upper()} {sentence(rng, 20)}"),
+             (102, " ".join(changed)), (103, "Paris is France's very largest city"), (104, " ".join(long.split()[:100]))]
+    assert leaks(spark, docs, items) == [(100, 0), (101, 1), (102, 0)]
+
+
+def test_pieces_cover_an_item():
+
+    for n in (8, 64, 65, 96, 400):
+        w = np.arange(n, dtype=np.uint64)
+        pieces = decontaminate.pieces_of(w)
+        assert set(np.concatenate(pieces).tolist()) == set(range(n)) and all(len(p) <= decontaminate.LONG for p in pieces)

@@ -3,7 +3,9 @@
 Passages are windows of ``2 * STEP`` words at every ``STEP``-th word of a
 document.  A passage and a benchmark item are TF-IDF vectors over the words of
 the benchmark; document frequencies are counted over all documents, and every
-word keeps a weight of at least ``LEAST_IDF``, however frequent.  A randomised SVD of passages
+word keeps a weight of at least ``LEAST_IDF``, however frequent.  An item of
+more than ``LONG`` words is cut into pieces of a passage's width, and any piece
+makes it a candidate.  A randomised SVD of passages
 (distributed: each task adds up A'(A*omega) over the passages of all its
 documents, and all pieces are added, with equal norms) gives the latent space,
 with rank enough for every piece of a block.  Passages whose cosine to a
@@ -42,9 +44,9 @@ STEP = 16
 LEAST_IDF = 0.05
 EXTRA_RANK = 32
 COSINE, LCS, SURE, ANSWER = 0.35, 0.6, 0.8, 0.5
-LEAST_WORDS, LEAST_EXACT = 8, 8
+LEAST_WORDS, LEAST_EXACT = 8, 3
 #: words of an item that is one piece; a longer one is cut into pieces of 2 * STEP words
-LONG = 1 << 30
+LONG = 4 * STEP
 #: pieces of a block of items
 ITEMS = 512
 #: parts of the sketch that one task adds up
