@@ -7,12 +7,15 @@ window of ``WINDOW`` characters with its surroundings (a longer candidate is
 seen by windows over all of it, the highest counts).  It is trained in numpy
 on labelled findings (a candidate that overlaps a base span is positive),
 calibrated by Platt scaling on findings it was not trained on, and its
-threshold is the highest that keeps a recall of ``RECALL`` there.  Candidates
-over the threshold that overlap no base span are added as kind ``model``; base
-spans always stay.
+threshold is the highest, to ``1 / BINS`` of a logit, that keeps a recall of
+``RECALL`` there.  Candidates over the threshold that overlap no base span are
+added as kind ``model``; base spans always stay.
 
-Learning takes a bounded sample: findings of about ``SAMPLE_DOCS`` documents
-chosen by a hash of their id, and at most ``SAMPLE`` findings a label by hash.
+All documents are read for findings.  A quarter of the findings, by hash, is
+held apart; of the others the ``SAMPLE`` of least hash a label train the
+network (equal findings of equal rows once).  Calibration and threshold come
+from histograms of the scores of all findings held apart, over all their
+windows, which Spark adds up.
 
 Defined cases: null text is empty and has no spans; very long texts are read
 whole; without findings of both labels no span is added; repeated rows give
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import shared, small_batches, table
 
 #: the base patterns (fixed values)
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -42,10 +45,13 @@ KINDS = ("assign", "access", "hex", "model")
 #: every access or hex span lies inside such a run
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 
-SAMPLE_DOCS, SAMPLE = 20_000, 2000
+#: findings a label that train the network
+SAMPLE = 2000
 WINDOW, BEFORE = 64, 20
 WIDTH, FILTERS, EMBED = 5, 16, 8
 RECALL = 0.95
+#: bins a logit of the score histograms, and the greatest logit told apart
+BINS, MOST_LOGIT = 1000, 60
 EPOCHS, BATCH, RATE = 8, 64, 0.01
 
 
@@ -133,59 +139,130 @@ class CharNet:
                     self.w[k] -= RATE * (mean[k] / (1 - 0.9 ** t)) / (np.sqrt(square[k] / (1 - 0.999 ** t)) + 1e-8)
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Platt scaling, then the highest threshold with the recall asked for."""
+        """Calibration and threshold from windows, each a finding."""
         logit, _ = self.forward(x)
+        self.settle(logit, y, np.ones(len(y)))
+
+    def settle(self, logit: np.ndarray, y: np.ndarray, n: np.ndarray) -> None:
+        """Platt scaling on ``n`` findings a logit, then the highest of these logits with the recall asked for."""
+        n = n / n.sum()
         a, b = 1.0, 0.0
         for _ in range(500):
             p = 1 / (1 + np.exp(-np.clip(a * logit + b, -30, 30)))
-            a -= 0.05 * float(((p - y) * logit).mean()) / (1 + float((logit ** 2).mean()))
-            b -= 0.5 * float((p - y).mean())
-        self.scale, self.shift = a, b
-        p = np.sort(1 / (1 + np.exp(-np.clip(a * logit[y == 1] + b, -30, 30))))
-        self.threshold = max(0.5, float(p[int((1 - RECALL) * len(p))]))
+            a -= 0.05 * float(((p - y) * logit * n).sum()) / (1 + float((logit ** 2 * n).sum()))
+            b -= 0.5 * float(((p - y) * n).sum())
+        self.scale, self.shift = max(a, 1e-3), b
+        order = np.argsort(logit[y == 1], kind="stable")
+        below = np.cumsum(n[y == 1][order])
+        least = logit[y == 1][order][np.searchsorted(below, (1 - RECALL) * below[-1], "right")]
+        self.threshold = float(self.scaled(np.array([least]))[0])
+
+    def scaled(self, logit: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.scale * logit + self.shift, -30, 30)))
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         logit, _ = self.forward(x)
-        return 1 / (1 + np.exp(-np.clip(self.scale * logit + self.shift, -30, 30)))
+        return self.scaled(logit)
 
 
 def overlaps(a: int, b: int, spans) -> bool:
     return any(s < b and a < e for s, _, e in spans)
 
 
-def _findings(batches):
+def _found(batch):
+    """(label, order, windows, held apart) of all findings of a batch."""
+    for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
+        text = text or ""
+        cands = candidates_of(text)
+        if not cands:
+            continue
+        base = base_spans(text, cands)
+        for a, b in cands:
+            order = hashlib.md5(f"{doc_id}:{a}:{text[max(0, a - BEFORE):a + WINDOW]}".encode("utf-8", "replace")).hexdigest()
+            yield int(overlaps(a, b, base)), order, (text, a, b), int(order[-8:], 16) % 4 == 0
+
+
+def _least(batches):
+    """The findings of least hash a label among those that train, of the task's documents."""
+    kept: list[dict] = [{}, {}]
+    bound = ["~", "~"]
     for batch in batches:
-        label, order, code = [], [], []
-        for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-            text = text or ""
-            cands = candidates_of(text)
-            base = base_spans(text, cands)
-            for a, b in cands:
-                label.append(int(overlaps(a, b, base)))
-                order.append(hashlib.md5(f"{doc_id}:{a}".encode()).hexdigest())
-                code.append(windows_of(text, a, b)[0].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(order, pa.string()), pa.array(code, pa.binary())],
-                                         names=["label", "o", "code"])
+        for label, order, place, apart in _found(batch):
+            if not apart and order < bound[label]:
+                kept[label][order] = windows_of(*place)[0].tobytes()
+                if len(kept[label]) >= 2 * SAMPLE:
+                    first = sorted(kept[label])[:SAMPLE]
+                    kept[label], bound[label] = {o: kept[label][o] for o in first}, first[-1]
+    rows = [(label, o, kept[label][o]) for label in (0, 1) for o in sorted(kept[label])[:SAMPLE]]
+    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string()),
+                                      pa.array([r[2] for r in rows], pa.binary())], names=["label", "o", "code"])
+
+
+def _histogram(sent):
+    """(label, bin, n): the highest logits of all findings held apart."""
+    def run(batches):
+        net, total = sent.value, {}
+        for batch in batches:
+            labels, owner, lines, best = [], [], [], []
+
+            def scored():
+                if lines:
+                    np.maximum.at(top := np.full(len(labels), -np.inf), owner, net.forward(np.array(lines))[0])
+                    best.append(top)
+
+            for label, _, place, apart in _found(batch):
+                if apart:
+                    w = windows_of(*place)
+                    for at in range(0, len(w), 2048):  # a very long finding by parts
+                        owner += [len(labels)] * len(w[at:at + 2048])
+                        lines += w[at:at + 2048]
+                        if len(lines) >= 2048:
+                            labels.append(label)
+                            scored()
+                            last = float(best[-1][-1])
+                            _add(total, labels[:-1], best[-1][:-1])
+                            labels, owner, lines, best = [], [], [], []
+                            rest = w[at + 2048:]
+                            while rest:
+                                last = max(last, float(net.forward(np.array(rest[:2048]))[0].max()))
+                                rest = rest[2048:]
+                            _add(total, [label], [last])
+                            break
+                    else:
+                        labels.append(label)
+            scored()
+            if best:
+                _add(total, labels, best[-1])
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.int32()), pa.array([k[1] for k in total], pa.int32()),
+                                          pa.array(list(total.values()), pa.int64())], names=["label", "bin", "n"])
+    return run
+
+
+def _add(total: dict, labels, logits) -> None:
+    for label, x in zip(labels, logits):
+        key = label, int(np.floor(np.clip(x, -MOST_LOGIT, MOST_LOGIT) * BINS))
+        total[key] = total.get(key, 0) + 1
 
 
 def train(docs: DataFrame) -> CharNet | None:
-    """A network from the findings of a bounded sample, or None without both labels."""
+    """A network from the findings of all documents, or None without both labels on both sides."""
     small_batches(docs.sparkSession)
-    rows = docs.count()
-    share = int(1_000_000 * min(1.0, SAMPLE_DOCS / max(1, rows))) + 1
-    found = (docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000)) < share)
-             .select("doc_id", F.col("text").cast("string").alias("text"))
-             .mapInArrow(_findings, "label int, o string, code binary"))
-    kept = found.where("label = 1").orderBy("o", "code").limit(SAMPLE).union(found.where("label = 0").orderBy("o", "code").limit(SAMPLE)).collect()
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    found = shared(rows.mapInArrow(_least, "label int, o string, code binary"), "findings").dropDuplicates(["label", "o"])
+    kept = found.where("label = 1").orderBy("o").limit(SAMPLE).union(found.where("label = 0").orderBy("o").limit(SAMPLE)).collect()
+    kept.sort(key=lambda r: (-r["label"], r["o"]))
     x = np.array([np.frombuffer(bytes(r["code"]), np.uint8) for r in kept]).reshape(-1, WINDOW)
     y = np.array([r["label"] for r in kept])
-    part = np.array([int(r["o"][:8], 16) % 4 for r in kept])
-    fit, rest = part != 0, part == 0
-    if min(y[fit].sum(), (1 - y[fit]).sum(), y[rest].sum(), (1 - y[rest]).sum()) < 1:
+    if min(y.sum(), (1 - y).sum()) < 1:
         return None
     net = CharNet()
-    net.fit(x[fit], y[fit])
-    net.calibrate(x[rest], y[rest])
+    net.fit(x, y)
+    sent = docs.sparkSession.sparkContext.broadcast(net)
+    apart = rows.mapInArrow(_histogram(sent), "label int, bin int, n long").groupBy("label", "bin").agg(F.sum("n").alias("n")).collect()
+    y = np.array([r["label"] for r in apart])
+    if min(y.sum(), (1 - y).sum()) < 1:
+        return None
+    net.settle(np.array([r["bin"] for r in apart]) / BINS, y, np.array([r["n"] for r in apart], float))
     return net
 
 
