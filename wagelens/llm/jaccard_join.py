@@ -217,10 +217,11 @@ def _signing(n: int, scheme: PartEnum, slices: int):
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, component_id) for every row of ``docs`` (doc_id, text).
+    """(doc_id, text_hash, n_shingles, component_id, component_hash) for every row of ``docs`` (doc_id, text).
 
     ``component_id``: the least doc_id reachable by links of similarity of at
-    least num/den on n-word shingles, itself included.
+    least num/den on n-word shingles, itself included; ``component_hash``: the
+    least text hash of that doc_id in the component.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -267,12 +268,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
 
     # a class has the least document of its component
     named = classes.join(comps.withColumnRenamed("node", "f1"), "f1", "left").select(
-        "f1", "f2", "n_shingles", "doc_id", F.coalesce("component", "f1").alias("component"))
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "component").select("f1", "f2", "n_shingles", "component_id")
+        "f1", "f2", "n_shingles", "doc_id", "text_hash", F.coalesce("component", "f1").alias("component"))
+    least = named.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("r"))
+    named = named.join(least, "component").select(
+        "f1", "f2", "n_shingles", F.col("r.doc_id").alias("component_id"), F.col("r.text_hash").alias("component_hash"))
     return (prints.join(named, ["f1", "f2", "n_shingles"], "left")
             .select("doc_id", "text_hash", "n_shingles",
-                    F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")))
+                    F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
+                    F.when(F.col("doc_id").isNotNull(), F.coalesce("component_hash", "text_hash")).alias("component_hash")))
 
 
 def _texts(keyed: DataFrame, classes: DataFrame, met: DataFrame) -> DataFrame:
@@ -289,13 +292,13 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """``docs`` with one row of each component: its least doc_id; of repeated rows, one.
+    """``docs`` with one row of each component: its least doc_id and, within that, least text hash; of repeated rows, one.
 
-    Rows with a null doc_id stay.
+    Texts that share a doc_id count each for itself.  Rows with a null doc_id stay.
     """
-    found = jaccard_components(docs, n, num, den).where("doc_id = component_id").select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).dropDuplicates(["_id"])
+    found = jaccard_components(docs, n, num, den).where("doc_id = component_id AND text_hash = component_hash").select(
+        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                       F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_hash"))
-    kept = own.join(found, ["_id", "_hash"], "left_semi").dropDuplicates(["_id"]).select("_id", "_hash", "row")
+    kept = own.join(found, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select("_id", "_hash", "row")
     return kept.union(own.where("_id IS NULL").select("_id", "_hash", "row")).select("row.*")

@@ -113,6 +113,10 @@ class Profiles:
         best = int(off.argmin())
         return self.langs[best], 1.0 - float(off[best]) / (self.most * len(own))
 
+    def spoken(self, text: str | None) -> bool:
+        """Whether the text is in some language: not ``und``, or with a letter where no language is known."""
+        return self.closest(text)[0] != UNDETERMINED if self.langs else len(top_grams(text, 1)) > 0
+
 
 def learn(docs: DataFrame, folds: int = 5) -> Profiles:
     """Profiles from the labelled documents outside the held-out fold."""
@@ -161,12 +165,15 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
 def _spoken(sent):
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array([sent.value.closest(t)[0] != UNDETERMINED for t in batch["text"].to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([sent.value.spoken(t) for t in batch["text"].to_pylist()], pa.bool_()))
     return run
 
 
 def with_language(docs: DataFrame, profiles: Profiles) -> DataFrame:
-    """The rows of ``docs`` whose text is in some language (not ``und``), all columns as they are."""
+    """The rows of ``docs`` whose text is in some language, all columns as they are.
+
+    Only null or letterless texts go; where nothing could be learned, all others stay.
+    """
     small_batches(docs.sparkSession)
     return docs.mapInArrow(_spoken(docs.sparkSession.sparkContext.broadcast(profiles)), docs.schema)
 
