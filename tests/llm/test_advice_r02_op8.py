@@ -60,3 +60,15 @@ def test_pieces_cover_an_item():
         w = np.arange(n, dtype=np.uint64)
         pieces = decontaminate.pieces_of(w)
         assert set(np.concatenate(pieces).tolist()) == set(range(n)) and all(len(p) <= decontaminate.LONG for p in pieces)
+
+
+def test_blocks_give_the_leaks_of_one_block(spark, monkeypatch):
+    rng = random.Random(23)
+    items = [(i, sentence(rng, 24)) for i in range(12)]
+    docs = [(i, sentence(rng, 60) + (" " + items[i][1] if i < 12 else "")) for i in range(30)]
+    monkeypatch.setattr(decontaminate, "ITEMS", 4)
+    assert leaks(spark, docs, items) == [(i, i) for i in range(12)]
+    table, bench = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    kept = decontaminate.without_leaks(table, bench)
+    assert kept.columns == table.columns and sorted(r["doc_id"] for r in kept.collect()) == list(range(12, 30))
+    assert iter(got := decontaminate.build_indexes(table, bench)) is got  # one at a time

@@ -17,8 +17,8 @@ common subsequence of item and neighbourhood covers ``LCS`` of the item's
 words; below ``SURE`` the item's answer (its last sentence) must be covered by
 half as well, which tells a paraphrase from a text on the same matter.
 
-The benchmark is read in blocks of about ``ITEMS`` pieces; documents are scanned
-whole, without a shuffle.
+The benchmark is read in blocks of about ``ITEMS`` pieces; of several blocks, one
+index is held at a time, and its leaks are written before the next is built.
 
 Defined cases: null text has no words; items under ``LEAST_WORDS`` words match
 where all their words stand in a row, and null items or items under
@@ -31,6 +31,8 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, chunks_of, mix, small_batches, table, text_bytes
+from .common import Words, chunks_of, mix, shared, small_batches, table, text_bytes
 
 STEP = 16
 LEAST_IDF = 0.05
@@ -329,15 +331,14 @@ def leaks_in(index: Index, texts: pa.Array) -> list[tuple[int, int, float]]:
     return out
 
 
-def build_indexes(docs: DataFrame, benchmark: DataFrame) -> list[Index]:
-    """Latent indexes of all items, ``ITEMS`` a block."""
+def build_indexes(docs: DataFrame, benchmark: DataFrame) -> Iterator[tuple[Index, bool]]:
+    """Latent indexes of all items, about ``ITEMS`` pieces a block, one at a time; and whether it is the only block."""
     spark = docs.sparkSession
     small_batches(spark)
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
     size = F.size(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"))
     blocks = math.ceil((items.agg(F.sum(F.when(size <= LONG, 1).otherwise(F.ceil(size / F.lit(2 * STEP))))).first()[0] or 0) / ITEMS)
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    out = []
     for b in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect() if blocks > 1 else items.collect()
         index = Index(sorted(((r["item_id"], r["text"]) for r in own), key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")))
@@ -351,6 +352,7 @@ def build_indexes(docs: DataFrame, benchmark: DataFrame) -> list[Index]:
             if r["f"] >= 0:
                 df[r["f"]] = r["n"]
         index.weigh(df, rows)
+        sent.destroy()
         sent = spark.sparkContext.broadcast(index)
         sums = _sum_of_tasks(texts.mapInArrow(_sketch(sent), "at int, task int, part binary"), texts.rdd.getNumPartitions())
         sketch, passages = np.zeros(index.omega().shape), 0.0
@@ -361,41 +363,67 @@ def build_indexes(docs: DataFrame, benchmark: DataFrame) -> list[Index]:
                 continue
             got = got.reshape(-1, sketch.shape[1])
             sketch[r["at"] * 1024:r["at"] * 1024 + len(got)] = got
+        sent.destroy()
         if index.pieces:
             index.decompose(sketch, passages)
-        out.append(index)
-    return out
+        yield index, blocks == 1
 
 
-def _report(sent):
+def _report(sent, keys: list[str]):
+    """The columns ``keys`` of the rows with a leak, item and share of each."""
     def run(batches):
         for batch in batches:
-            found = [x for index in sent.value for x in ((r, index.ids[i], s) for r, i, s in leaks_in(index, batch["text"]))]
-            ids = batch["doc_id"].take(pa.array([r for r, _, _ in found], pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([i for _, i, _ in found], pa.int64()), pa.array([s for _, _, s in found], pa.float64())],
-                                             names=["doc_id", "item_id", "lcs"])
+            found = [(r, sent.value.ids[i], s) for r, i, s in leaks_in(sent.value, batch["text"])]
+            rows = pa.array([r for r, _, _ in found], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*[batch[k].take(rows) for k in keys], pa.array([i for _, i, _ in found], pa.int64()), pa.array([s for _, _, s in found], pa.float64())],
+                names=[*keys, "item_id", "lcs"])
     return run
 
 
 def _clean(sent):
     def run(batches):
         for batch in batches:
-            bad = {r for index in sent.value for r, _, _ in leaks_in(index, batch["text"])}
+            bad = {r for r, _, _ in leaks_in(sent.value, batch["text"])}
             yield batch.filter(pa.array([r not in bad for r in range(batch.num_rows)], pa.bool_()))
     return run
 
 
+def _leaks_by_block(rows: DataFrame, indexes, keys: list[str]) -> DataFrame:
+    """(keys, item_id, lcs) of all blocks; of several, each is written before the next one is built."""
+    spark = rows.sparkSession
+    schema = ", ".join([*[f"{k} long" for k in keys], "item_id long, lcs double"])
+    out = spark.createDataFrame([], schema)
+    for index, only in indexes:
+        sent = spark.sparkContext.broadcast(index)
+        found = rows.mapInArrow(_report(sent, keys), schema)
+        if only:
+            return found
+        out = out.union(shared(found, "leaks"))
+        sent.destroy()
+    return out
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, lcs): every leak of a benchmark item in a document."""
-    sent = docs.sparkSession.sparkContext.broadcast(build_indexes(docs, benchmark))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _report(sent), "doc_id long, item_id long, lcs double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _leaks_by_block(rows, build_indexes(docs, benchmark), ["doc_id"])
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no leak, all columns."""
-    sent = docs.sparkSession.sparkContext.broadcast(build_indexes(docs, benchmark))
-    return docs.mapInArrow(_clean(sent), docs.schema)
+    indexes = build_indexes(docs, benchmark)
+    first = next(indexes, None)
+    if first is None:
+        return docs
+    if first[1]:
+        return docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(first[0])), docs.schema)
+    # a text that leaks does so in every row: rows go by two hashes of their text
+    text = F.col("text").cast("string")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
+    rows = docs.select(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), text.alias("text"))
+    bad = _leaks_by_block(rows, chain([first], indexes), ["h1", "h2"]).select("h1", "h2").distinct()
+    return own.join(bad, ["h1", "h2"], "left_anti").select("row.*")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
