@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, jaccard_join, language_id, line_dedup, lm_score, mixing, permutation_index, secret_scan, sharding
+from . import (chat_format, decontaminate, jaccard_join, language_id, line_dedup, lm_score, mixing, periodic_runs, permutation_index,
+               secret_scan, sharding)
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard_join.op1_ngram_jaccard_join,
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_permutation_index": permutation_index.op10_permutation_index,
+    "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 
 
