@@ -110,10 +110,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """The words of some texts: 64-bit hash, byte span, and first word of each text."""
+    """The words of some texts: 64-bit hash, byte span, and first word of each text.
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, lower: bool = True):
-        word = _IS_WORD[data]
+    ``is_word`` tells the bytes of words; without it all but the word separators.
+    """
+
+    def __init__(self, data: np.ndarray, off: np.ndarray, lower: bool = True, is_word: np.ndarray = _IS_WORD):
+        word = is_word[data]
         n = len(data)
         first = np.zeros(n + 1, bool)
         first[off[:-1]] = True

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import (chat_format, decontaminate, jaccard_join, language_id, line_dedup, lm_score, mixing, periodic_runs, permutation_index,
-               secret_scan, sharding)
+               phrases, secret_scan, sharding)
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard_join.op1_ngram_jaccard_join,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_permutation_index": permutation_index.op10_permutation_index,
+    "op11_phrase_collocations": phrases.op11_phrase_collocations,
     "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 
@@ -25,4 +26,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat_format.OP2_SQL, "op4_mixing": mixing.OP4_SQL}
+    return {"op2_chat_format": chat_format.OP2_SQL, "op4_mixing": mixing.OP4_SQL,
+            "op11_phrase_collocations": phrases.OP11_SQL}
