@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import (chat_format, decontaminate, jaccard_join, language_id, line_dedup, lm_score, mixing, periodic_runs, permutation_index,
-               phrases, secret_scan, sharding)
+from . import (chat_format, decontaminate, html_extract, jaccard_join, language_id, line_dedup, lm_score, mixing, periodic_runs,
+               permutation_index, phrases, secret_scan, sharding)
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard_join.op1_ngram_jaccard_join,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_permutation_index": permutation_index.op10_permutation_index,
     "op11_phrase_collocations": phrases.op11_phrase_collocations,
+    "op12_html_extraction": html_extract.op12_html_extraction,
     "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 
