@@ -2,17 +2,13 @@
 
 Every statistic follows one plan shape:
 
-* ``hist`` = rows aggregated to (group keys, pay cents, count).  This is the
-  only pass over the facts; Spark does a map-side partial aggregation and one
-  shuffle on (keys, value), which splits even a hot group across tasks.  It
-  is written once (``session.reuse``: a reliable checkpoint) because every
-  branch below reads it.
-* count / sum / min / max per group are folded from ``hist`` (no second scan);
-  the average comes from the exact integer sum.
-* HAVING and top-k run on that small per-group frame; exact percentiles
-  (``percentiles.py``) are then evaluated only for the groups that survive:
-  for a top-k report the histogram is semi-joined to the k groups and their
-  rank targets are a broadcast bounded by k.
+* one aggregation over the rows gives count, sum, min, max and all further
+  measures per group.  It combines map-side, so a hot group is no hot task,
+  and the average comes from the exact integer sum.
+* HAVING and top-k run on that per-group frame, once: a report's few groups
+  stay with the driver, many are written to the shared checkpoint folder.
+* exact percentiles (``rank_select.py``) are then counted from the rows of the
+  surviving groups only; no copy of the rows by value is made.
 
 Money conventions: ``average_salary`` / percentiles in dollars (double, 4
 places), ``min_salary_cents`` / ``max_salary_cents`` in cents.
@@ -28,9 +24,8 @@ from pyspark.sql import functions as F
 from ..functions.levels import compensation_range, experience_bracket, experience_level
 from ..functions.money import round4, scale_cents, total_compensation
 from ..schema import DEFAULT_KEYWORD
-from ..session import reuse
 from .filters import PayFilter, apply_filter, engineer_filter, stat_guard
-from .percentiles import HUNDREDTHS_BITS, grouped_percentiles, value_histogram
+from .rank_select import FEW, row_percentiles, settle
 
 PAY = "annual_base_pay"
 EXP = "years_experience_industry"
@@ -46,6 +41,11 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str],
     return left.join(r, cond, how).drop(*ren.values())
 
 
+def measured(value: Column) -> list[Column]:
+    """Count, exact sum, least and greatest of an integral column: ``_n``, ``_s``, ``_min``, ``_max``."""
+    return [F.count(value).alias("_n"), F.sum(value.cast("decimal(20,0)")).alias("_s"), F.min(value).alias("_min"), F.max(value).alias("_max")]
+
+
 def pay_summary(df: DataFrame, keys: Sequence[str], *, min_count: int | None = None,
                 min_avg_dollars: float | None = None, top: int | None = None,
                 probs: Sequence[float] = (0.5,), pct_names: Sequence[str] = ("median_salary",),
@@ -64,14 +64,15 @@ def pay_summary(df: DataFrame, keys: Sequence[str], *, min_count: int | None = N
     if is_global:
         df = df.withColumn(ALL, F.lit(0))
         keys = [ALL]
-    hist = reuse(value_histogram(df, keys, F.col(PAY)))  # read by every branch below
-    folded = [F.sum("_c").alias("_n"),
-              F.sum(F.col("_u").cast("decimal(20,0)") * F.col("_c")).alias("_s"),
-              F.min("_u").alias("_min"), F.max("_u").alias("_max")]
+    few = is_global or (top is not None and int(top) <= FEW)
+    measures = [*measured(F.col(PAY)), *extra_aggs]
+    if approx:
+        dollars = F.col(PAY).cast("double") / F.lit(100.0)
+        measures.append(F.percentile_approx(dollars, list(probs), accuracy).alias("_q"))
     if is_global:
-        g = hist.agg(*folded).withColumn(ALL, F.lit(0))
+        g = df.agg(*measures).withColumn(ALL, F.lit(0))
     else:
-        g = hist.groupBy(*keys).agg(*folded)
+        g = df.groupBy(*keys).agg(*measures).where(F.col("_n") > 0)
     g = g.withColumn("_avg", F.col("_s").cast("double") / F.col("_n") / F.lit(100.0))
     if min_count is not None:
         g = g.where(F.col("_n") >= min_count)
@@ -81,16 +82,11 @@ def pay_summary(df: DataFrame, keys: Sequence[str], *, min_count: int | None = N
     if top is not None:
         g = g.orderBy(*order).limit(int(top))
     if approx:
-        dollars = F.col(PAY).cast("double") / F.lit(100.0)
-        sk = df.groupBy(*keys).agg(F.percentile_approx(dollars, list(probs), accuracy).alias("_q"))
-        pct = sk.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(pct_names)])
+        out = g.select("*", *[F.col("_q")[i].alias(n) for i, n in enumerate(pct_names)]).drop("_q")
     else:
-        pct = grouped_percentiles(hist, g.where(F.col("_n") > 0), keys, probs, pct_names,
-                                  scale=100.0, bounded_groups=top is not None or is_global)
-    out = join_on_keys(g, pct, keys, "left")
-    if extra_aggs:
-        extra = df.groupBy(*keys).agg(*extra_aggs)
-        out = join_on_keys(out, extra, keys, "left")
+        g = settle(g, few)
+        pct = row_percentiles(df, keys, F.col(PAY), g, probs, pct_names, scale=100.0, few=few)
+        out = join_on_keys(g, pct, keys, "left")
     lo, hi = F.col("_min"), F.col("_max")
     if min_max_dollars:
         lo, hi = round4(lo / F.lit(100.0)), round4(hi / F.lit(100.0))
@@ -114,22 +110,18 @@ def pay_summary(df: DataFrame, keys: Sequence[str], *, min_count: int | None = N
 def pay_stats(df: DataFrame, flt: PayFilter | None = None) -> DataFrame:
     """Global pay statistics with quartiles, std-dev and experience."""
     base = stat_guard(apply_filter(df, flt))
+    hundredths = F.round(F.col(EXP) * 100).cast("long")
     pay = pay_summary(base, [], probs=(0.5, 0.25, 0.75),
-                      pct_names=("median_salary", "q1_salary", "q3_salary"))
-    spread = base.agg(
-        round4(F.stddev_samp(scale_cents(PAY))).alias("standard_deviation"),
-        round4(F.avg(F.col(EXP).cast("double"))).alias("average_experience"),
-        F.min(F.col(EXP).cast("double")).alias("min_experience"),
-        F.max(F.col(EXP).cast("double")).alias("max_experience"),
-    ).withColumn(ALL, F.lit(0))
+                      pct_names=("median_salary", "q1_salary", "q3_salary"),
+                      extra_aggs=[
+                          round4(F.stddev_samp(scale_cents(PAY))).alias("standard_deviation"),
+                          round4(F.avg(F.col(EXP).cast("double"))).alias("average_experience"),
+                          F.min(F.col(EXP).cast("double")).alias("min_experience"),
+                          F.max(F.col(EXP).cast("double")).alias("max_experience")]).withColumn(ALL, F.lit(0))
     exp = base.withColumn(ALL, F.lit(0))
-    exp_hist = reuse(value_histogram(exp, [ALL], F.round(F.col(EXP) * 100)))
-    exp_n = exp_hist.groupBy(ALL).agg(F.sum("_c").alias("_n"))
-    exp_med = grouped_percentiles(exp_hist, exp_n, [ALL], (0.5,), ("median_experience",),
-                                  scale=100.0, value_bits=HUNDREDTHS_BITS, digit_bits=HUNDREDTHS_BITS,
-                                  bounded_groups=True)
-    out = join_on_keys(join_on_keys(pay.withColumn(ALL, F.lit(0)), spread, [ALL], "left"),
-                       exp_med, [ALL], "left")
+    exp_n = settle(exp.agg(*measured(hundredths)).withColumn(ALL, F.lit(0)), True)
+    exp_med = row_percentiles(exp, [ALL], hundredths, exp_n, (0.5,), ("median_experience",), scale=100.0, few=True)
+    out = join_on_keys(pay, exp_med, [ALL], "left")
     return out.select("count", "average_salary", "median_salary", "min_salary_cents",
                       "max_salary_cents", "q1_salary", "q3_salary", "standard_deviation",
                       "average_experience",
