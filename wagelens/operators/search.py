@@ -74,6 +74,29 @@ def normalize_title(col) -> Column:
     return F.array_join(toks, " ")
 
 
+def title_phrases() -> list[tuple[str, str]]:
+    """(phrase, first entry of its group) of all synonyms; the longest phrases first, by words, then letters."""
+    pairs = [(alt, group[0]) for group in TITLE_SYNONYMS for alt in group]
+    return sorted(pairs, key=lambda p: (-p[0].count(" "), -len(p[0]), p[0]))
+
+
+def title_tokens(col) -> Column:
+    """H02 as an analyzer: tokens, longest synonym phrases replaced by their group, stems.
+
+    Every token stands between two blanks, so a phrase matches whole tokens
+    only and neighbours share none.  A matched phrase becomes a mark that no
+    later phrase can match, so the longest phrase wins; the marks become the
+    words of the group's first entry at the end.
+    """
+    groups = sorted({first for _, first in title_phrases()})
+    s = F.concat(F.lit(" "), F.array_join(tokenize(col), "  "), F.lit(" "))
+    for phrase, first in title_phrases():
+        s = F.replace(s, F.lit(f" {phrase.replace(' ', '  ')} "), F.lit(f" #{groups.index(first)}# "))
+    for i, first in enumerate(groups):
+        s = F.replace(s, F.lit(f"#{i}#"), F.lit(first))
+    return F.transform(F.filter(F.split(s, " +"), lambda t: F.length(t) > 0), _stem)
+
+
 # ---------------------------------------------------------------------------
 # Fuzzy and exact matching
 # ---------------------------------------------------------------------------
@@ -102,17 +125,30 @@ def matching_tokens(vocab: DataFrame, terms: Sequence[str]) -> DataFrame:
     return vocab.where(cond)
 
 
+#: matched tokens up to which rows are filtered by a literal list
+LITERALS = 5000
+
+
 def fuzzy_match(df: DataFrame, field: str, text: str, key: str = "id") -> DataFrame:
     """Rows whose ``field`` has a token close to any token of ``text``."""
     terms = py_tokens(text)
     if not terms:
         return df.where(F.lit(False))
-    # the matched vocabulary is small; AQE broadcasts it from its measured
-    # size at run time (no extra pass to prove it), otherwise it shuffles
-    matched = matching_tokens(vocabulary(df, field), terms)
-    hits = (df.select(key, F.explode(tokenize(field)).alias("token"))
-              .join(matched, "token", "left_semi").select(key).distinct())
-    return df.join(hits, key, "left_semi")
+    return with_tokens(df, tokenize(field), matching_tokens(vocabulary(df, field), terms))
+
+
+def with_tokens(df: DataFrame, tokens: Column, matched: DataFrame) -> DataFrame:
+    """Rows that hold a matched token.
+
+    Up to ``LITERALS`` matched tokens filter the rows where they are scanned.
+    More of them meet the distinct token lists by a join, and the lists the rows.
+    """
+    some = [r["token"] for r in matched.limit(LITERALS + 1).collect()]
+    if len(some) <= LITERALS:
+        return df.where(F.arrays_overlap(tokens, F.array(*[F.lit(t) for t in some]).cast("array<string>")))
+    lists = df.select(F.array_distinct(tokens).alias("_l")).distinct()
+    hits = lists.select("_l", F.explode("_l").alias("token")).join(matched, "token", "left_semi").select("_l").distinct()
+    return df.withColumn("_l", F.array_distinct(tokens)).join(hits, "_l", "left_semi").drop("_l")
 
 
 def exact_term(df: DataFrame, field: str, value: str) -> DataFrame:

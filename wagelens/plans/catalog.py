@@ -14,13 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.money import round4
-from ..operators import paging, quality, search, stats
+from ..operators import paging, quality, search, search_index, stats
 from ..operators.filters import PayFilter, Range, apply_filter, stat_guard_sql
 from ..schema import (RAW_FIELDS, TITLE_CATEGORIES, TITLE_SENIORITY, TITLE_SYNONYMS,
                       VARCHAR_LIMITS)
 from ..sources import survey_csv
 from ..session import reuse, scratch_path
-from ..sources.tables import PAY_SQL, materialized_pay, read_table, with_pay
+from ..sources.tables import PAY_SQL, materialized_pay, pay_inputs, read_table, table_path, with_pay, write_once
 from ..streaming import changes
 from .sqltext import PAY_D, m5_query, pct, r4
 
@@ -618,6 +618,13 @@ def q_reconcile(spark, sf_dir):
 # H: search
 # ---------------------------------------------------------------------------
 
+_STEM_SQL = ("CASE WHEN length(t) <= 3 THEN t WHEN regexp_matches(t, 'ies$') THEN regexp_replace(t, 'ies$', 'y') "
+             "WHEN regexp_matches(t, '(ss|us|is)$') THEN t "
+             "WHEN regexp_matches(t, 'ing$') AND length(t) > 5 THEN regexp_replace(t, 'ing$', '') "
+             "WHEN regexp_matches(t, 'ed$') AND length(t) > 4 THEN regexp_replace(t, 'ed$', '') "
+             "WHEN regexp_matches(t, '(ch|sh|x|z)es$') THEN regexp_replace(t, 'es$', '') "
+             "WHEN regexp_matches(t, 's$') THEN regexp_replace(t, 's$', '') ELSE t END")
+
 _TOK_SQL = "list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: length(t) > 0)"
 
 
@@ -643,38 +650,120 @@ def q_fuzzy_match_title(spark, sf_dir):
     return search.fuzzy_match(pay(spark, sf_dir), "job_title", FUZZY_TEXT).select("id", "job_title")
 
 
-def _bm25_sql(from_sql: str, key: str, text: str, query: str, limit: int, ctes: str = "") -> str:
-    terms = sorted(set(search.py_tokens(query)))
-    in_list = ", ".join(f"'{t}'" for t in terms)
+def _title_tokens_sql(x: str) -> str:
+    """The title analyzer: longest synonym phrases between blanks, then stems."""
+    groups = sorted({first for _, first in search.title_phrases()})
+    s = f"(' ' || array_to_string({_tok_sql(x)}, '  ') || ' ')"
+    for phrase, first in search.title_phrases():
+        s = f"replace({s}, ' {phrase.replace(' ', '  ')} ', ' #{groups.index(first)}# ')"
+    for i, first in enumerate(groups):
+        s = f"replace({s}, '#{i}#', '{first}')"
+    return f"list_transform(list_filter(string_split({s}, ' '), lambda t: length(t) > 0), lambda t: {_STEM_SQL})"
+
+
+def _terms_sql(fields: dict[str, str]) -> str:
+    """All terms of a row: the analyzer's name and the token."""
+    of = {"standard": _tok_sql, "title": _title_tokens_sql}
+    return "list_concat(" + ", ".join(
+        f"coalesce(list_transform({of[a](f)}, lambda t: '{a}:' || t), [])" for f, a in fields.items()) + ", [])"
+
+
+def _bm25_sql(from_sql: str, key: str, terms_of: str, query: str, limit: int, analyzers: tuple[str, ...] = ("standard", "title"),
+              ctes: str = "", where: str = "TRUE") -> str:
+    """``where`` tells the rows that may be found; the statistics are of all rows."""
+    of = {"standard": _tok_sql, "title": _title_tokens_sql}
+    wanted = " UNION ".join(f"SELECT '{a}:' || unnest({of[a](chr(39) + query + chr(39))}) AS term" for a in analyzers)
     score = ("ln(1.0 + (CAST(n AS DOUBLE) - dfreq + 0.5) / (dfreq + 0.5)) * CAST(tf AS DOUBLE) * 2.2 "
              "/ (CAST(tf AS DOUBLE) + 1.2 * (0.25 + 0.75 * dl / avgdl))")
     return (
-        f"WITH {ctes}d AS (SELECT {key} AS k, {_tok_sql(text)} AS t FROM {from_sql}), "
+        f"WITH {ctes}q AS ({wanted}), d AS (SELECT {key} AS k, {terms_of} AS t, {where} AS allowed FROM {from_sql}), "
         "st AS (SELECT count(*) AS n, avg(CAST(len(t) AS DOUBLE)) AS avgdl FROM d), "
-        "h AS (SELECT k, dl, term, count(*) AS tf FROM (SELECT k, len(t) AS dl, unnest(t) AS term FROM d) "
-        f"WHERE term IN ({in_list}) GROUP BY k, dl, term), "
+        "h AS (SELECT k, dl, term, allowed, count(*) AS tf FROM (SELECT k, len(t) AS dl, allowed, unnest(t) AS term FROM d) "
+        "WHERE term IN (SELECT term FROM q) GROUP BY ALL), "
         "df AS (SELECT term, count(*) AS dfreq FROM h GROUP BY term) "
-        f"SELECT k AS {key}, {r4(f'sum({score})')} AS score FROM h JOIN df USING (term) CROSS JOIN st "
+        f"SELECT k AS {key}, {r4(f'sum({score})')} AS score FROM h JOIN df USING (term) CROSS JOIN st WHERE allowed "
         f"GROUP BY k ORDER BY {r4(f'sum({score})')} DESC, k LIMIT {limit}")
 
 
+def pay_index(spark: SparkSession, sf_dir: str) -> str:
+    """Token tables of the pay table, written once per input version."""
+    return write_once(spark, "pay-index", pay_inputs(sf_dir), lambda out: search_index.write_index(pay(spark, sf_dir), out), "/totals")
+
+
+def document_index(spark: SparkSession, sf_dir: str) -> str:
+    """Token tables of the documents' whole texts, written once per input version."""
+    docs = read_table(spark, sf_dir, "documents", spread_rows=True)
+    return write_once(spark, "document-index", [table_path(sf_dir, "documents")],
+                      lambda out: search_index.write_index(docs, out, "doc_id", {"text": "standard"}), "/totals")
+
+
 PAY_QUERY = "blue bolt nation_3"
+_PAY_TERMS_SQL = _terms_sql(search_index.PAY_FIELDS)
+_PAY_CTE = "pay AS (" + PAY_SQL + "), "
 
 
-@register("search_pay", _bm25_sql(
-    "pay", "id", "concat_ws(' ', employer, job_title, location)", PAY_QUERY, 20,
-    ctes="pay AS (" + PAY_SQL + "), "))
+@register("search_pay", _bm25_sql("pay", "id", _PAY_TERMS_SQL, PAY_QUERY, 20, ctes=_PAY_CTE))
 def q_search_pay(spark, sf_dir):
-    return search.search_pay(pay(spark, sf_dir), PAY_QUERY, limit=20)
+    return search_index.search(spark, pay_index(spark, sf_dir), PAY_QUERY, limit=20)
+
+
+@register("search_pay_filtered", _bm25_sql(
+    "pay", "id", _PAY_TERMS_SQL, "bolts supplier NATION_7", 20, ctes=_PAY_CTE, where="country = 'ASIA' AND annual_base_pay >= 2000000"))
+def q_search_pay_filtered(spark, sf_dir):
+    allowed = pay(spark, sf_dir).where("country = 'ASIA' AND annual_base_pay >= 2000000")
+    return search_index.search(spark, pay_index(spark, sf_dir), "bolts supplier NATION_7", limit=20, allowed=allowed)
+
+
+#: titles with the words of the synonym groups in place of the parts' names
+TITLE_WORDS = (("bolt", "Software Engineers"), ("nut", "SWE"), ("gear", "Sr. Developers"), ("widget", "lead data analyst"),
+               ("gizmo", "Product Owner"), ("SMALL", "Entry-Level"), ("LARGE", "Principal"))
+_WORDED_SQL = "job_title"
+for _word, _title in TITLE_WORDS:
+    _WORDED_SQL = f"replace({_WORDED_SQL}, '{_word}', '{_title}')"
+_WORDED_CTE = _PAY_CTE + f"worded AS (SELECT id, {_WORDED_SQL} AS job_title FROM pay), "
+
+
+def worded_index(spark: SparkSession, sf_dir: str) -> str:
+    title = F.col("job_title")
+    for word, new in TITLE_WORDS:
+        title = F.replace(title, F.lit(word), F.lit(new))
+    return write_once(spark, "worded-index", pay_inputs(sf_dir), lambda out: search_index.write_index(
+        pay(spark, sf_dir).select("id", title.alias("job_title")), out, "id", {"job_title": "title"}), "/totals")
+
+
+@register("search_titles_synonyms", _bm25_sql(
+    "worded", "id", _terms_sql({"job_title": "title"}), "senior swe", 40, ("title",), ctes=_WORDED_CTE))
+def q_search_titles_synonyms(spark, sf_dir):
+    return search_index.search(spark, worded_index(spark, sf_dir), "senior swe", limit=40, analyzers=("title",))
 
 
 DOC_QUERY = "the market data en le"
 
 
-@register("search_documents", _bm25_sql("documents", "doc_id", "text", DOC_QUERY, 20))
+@register("search_documents", _bm25_sql("documents", "doc_id", _terms_sql({"text": "standard"}), DOC_QUERY, 20, ("standard",)))
 def q_search_documents(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents", spread_rows=True)
-    return search.bm25(docs, "doc_id", F.col("text"), DOC_QUERY, limit=20)
+    return search_index.search(spark, document_index(spark, sf_dir), DOC_QUERY, limit=20, key="doc_id", analyzers=("standard",))
+
+
+FUZZY_TEXTS = {"employer": "suplier 000000012", "job_title": "blt gizmoos", "location": "13 7 nat"}
+
+
+def _fuzzy_fields_sql(texts: dict[str, str], fields: dict[str, str]) -> str:
+    """Full edit distance of every token to every analysed token of the field's text."""
+    of = {"standard": _tok_sql, "title": _title_tokens_sql}
+    conds = []
+    for f, text in texts.items():
+        tokens = of[fields[f]]
+        conds.append(
+            f"len(list_filter(flatten(list_transform({tokens(chr(39) + text + chr(39))}, lambda q: list_transform({tokens(f)}, lambda t: "
+            "levenshtein(t, q) <= CASE WHEN length(q) <= 2 THEN 0 WHEN length(q) <= 5 THEN 1 ELSE 2 END))), lambda x: x)) > 0")
+    return with_pay("SELECT id, employer, job_title, location FROM pay WHERE " + " AND ".join(conds))
+
+
+@register("fuzzy_match_pay", _fuzzy_fields_sql(FUZZY_TEXTS, search_index.PAY_FIELDS))
+def q_fuzzy_match_pay(spark, sf_dir):
+    return search_index.fuzzy_match_fields(pay(spark, sf_dir), pay_index(spark, sf_dir), FUZZY_TEXTS).select(
+        "id", "employer", "job_title", "location")
 
 
 def _suggest_sql(field: str, prefix: str, limit: int = 10) -> str:
@@ -759,13 +848,7 @@ def _normalize_title_sql(x: str) -> str:
     for group in TITLE_SYNONYMS:
         alts = sorted(group[1:], key=len, reverse=True)
         s = f"regexp_replace({s}, '\\b(" + "|".join(alts) + f")\\b', '{group[0]}', 'g')"
-    stem = ("CASE WHEN length(t) <= 3 THEN t WHEN regexp_matches(t, 'ies$') THEN regexp_replace(t, 'ies$', 'y') "
-            "WHEN regexp_matches(t, '(ss|us|is)$') THEN t "
-            "WHEN regexp_matches(t, 'ing$') AND length(t) > 5 THEN regexp_replace(t, 'ing$', '') "
-            "WHEN regexp_matches(t, 'ed$') AND length(t) > 4 THEN regexp_replace(t, 'ed$', '') "
-            "WHEN regexp_matches(t, '(ch|sh|x|z)es$') THEN regexp_replace(t, 'es$', '') "
-            "WHEN regexp_matches(t, 's$') THEN regexp_replace(t, 's$', '') ELSE t END")
-    return f"array_to_string(list_transform({_tok_sql(s)}, lambda t: {stem}), ' ')"
+    return f"array_to_string(list_transform({_tok_sql(s)}, lambda t: {_STEM_SQL}), ' ')"
 
 
 @register("build_job_titles", with_pay(

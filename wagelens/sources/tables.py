@@ -16,11 +16,15 @@ side meets one supplier dimension instead of three tables.
 
 from __future__ import annotations
 
+import hashlib
 import os
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import _fs, is_committed, scratch_path
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
@@ -70,6 +74,18 @@ def has_at_most(df: DataFrame, max_rows: int, cache_key: tuple | None = None) ->
     return ok
 
 
+def input_stamp(spark: SparkSession, paths: list[str]) -> str:
+    """Names, lengths and times of the files under some paths, on any file system, as a short digest."""
+    found = []
+    for path in paths:
+        fs, p = _fs(spark, path)
+        files = fs.listFiles(p, True) if fs.exists(p) else None
+        while files is not None and files.hasNext():
+            f = files.next()
+            found.append(f"{f.getPath().toString()}:{f.getLen()}:{f.getModificationTime()}")
+    return hashlib.sha256("|".join(sorted(found)).encode()).hexdigest()[:16]
+
+
 def _file_key(path: str) -> tuple | None:
     try:
         return (path, os.path.getmtime(path))
@@ -137,26 +153,34 @@ def pay_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAY_INPUTS = ("lineitem", "part", "supplier", "nation", "region")
 
 
+def write_once(spark: SparkSession, name: str, inputs: list[str], write: Callable[[str], None], last: str = "") -> str:
+    """A folder under the shared checkpoint folder that ``write`` fills once per version of the input files.
+
+    The name holds the digest of the input files, so a changed input gives a
+    new folder; only a folder whose write committed (``_SUCCESS``, of its part
+    ``last`` where it has several) is used.
+    """
+    path = scratch_path(spark, f"{name}-{input_stamp(spark, inputs)}")
+    if not is_committed(spark, path + last):
+        write(path)
+    return path
+
+
+def pay_inputs(sf_dir: str) -> list[str]:
+    return [table_path(sf_dir, t) for t in PAY_INPUTS]
+
+
 def materialized_pay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pay table written once under the shared checkpoint folder.
+    """The pay table written once per input version (``write_once``).
 
     The canonical table is loaded once and queried many times, as in the
-    survey service.  The folder name is derived from the input files and
-    their modification times, so a changed input gives a new table; readers
-    only use a folder whose write committed (``_SUCCESS``).  Queries then
-    scan Parquet with column pruning and filter pushdown instead of
-    re-running the five-table join.
+    survey service.  Queries then scan Parquet with column pruning and filter
+    pushdown instead of re-running the five-table join.
     """
-    import hashlib
-
-    from ..session import is_committed, scratch_path
-    parts = [table_path(sf_dir, t) for t in PAY_INPUTS]
-    stamp = "|".join(f"{p}:{_file_key(p)}" for p in parts)
-    path = scratch_path(spark, "pay-" + hashlib.sha1(stamp.encode()).hexdigest()[:16])
-    key = (id(spark), path)
+    path = write_once(spark, "pay", pay_inputs(sf_dir),
+                      lambda out: pay_table(spark, sf_dir).write.mode("overwrite").parquet(out))
+    key = (spark.sparkContext.applicationId, path)
     if key not in _READERS:
-        if not is_committed(spark, path):
-            pay_table(spark, sf_dir).write.mode("overwrite").parquet(path)
         _READERS[key] = spark.read.parquet(path)
     return _READERS[key]
 
