@@ -16,7 +16,7 @@ def test_apply_capture_roundtrip(spark):
     before, after = C._snapshots(spark, SF_SMALL)
     ch = CH.capture_changes(before, after).withColumn("seq", F.lit(1).cast("long"))
     target = before.withColumn("seq", F.lit(0).cast("long"))
-    got = CH.apply_changes(target, ch, enrich=False)
+    got = CH.live_rows(CH.apply_changes(target, ch, enrich=False))
     cols = after.columns
     assert _rows(got, cols) == _rows(after, cols)
 
@@ -78,7 +78,7 @@ def test_bucketed_upsert_replay_and_untouched(spark, tmp_path):
     state = _rows(CH.bucketed_state(spark, base), ["id", "seq", "annual_base_pay"])
     fn(ch.where(F.col("seq") >= 100), 1)  # replay
     assert _rows(CH.bucketed_state(spark, base), ["id", "seq", "annual_base_pay"]) == state
-    batch = CH.apply_changes(None, ch)
+    batch = CH.live_rows(CH.apply_changes(None, ch))
     assert state == _rows(batch, ["id", "seq", "annual_base_pay"])
 
 
@@ -125,7 +125,7 @@ def test_versioned_upsert_across_batches(spark, tmp_path):
     fn(ch.where((F.col("seq") >= 80) & (F.col("seq") < 160)), 1)
     fn(ch.where(F.col("seq") >= 160), 2)
     cols = ["id", "seq", "annual_base_pay"]
-    assert _rows(CH.current_state(spark, base), cols) == _rows(CH.apply_changes(None, ch), cols)
+    assert _rows(CH.current_state(spark, base), cols) == _rows(CH.live_rows(CH.apply_changes(None, ch)), cols)
 
 
 def test_compact_tombstones(spark, tmp_path):
@@ -155,3 +155,32 @@ def test_overview_stream_refreshes(spark, tmp_path):
         q.stop()
     r = spark.read.parquet(out).first()
     assert r.total_records == C._events(spark, SF_SMALL).count() and r.approx_ids > 0
+
+
+def test_a_delete_is_not_undone_by_default(spark):
+    schema = CH.CHANGE_SCHEMA
+    row = lambda i: (i, None, "x", 1.0, 100, None, None)
+    first = CH.apply_changes(None, spark.createDataFrame([(1, "INSERT", "a", row("a")), (9, "DELETE", "a", None), (2, "INSERT", "b", row("b"))], schema))
+    later = CH.apply_changes(first, spark.createDataFrame([(5, "UPDATE", "a", row("a")), (3, "DELETE", "b", None), (1, "INSERT", "c", row("c"))], schema))
+    assert [r["id"] for r in CH.live_rows(later).collect()] == ["c"]
+    assert sorted((r["id"], r["seq"]) for r in later.collect()) == [("a", 9), ("b", 3), ("c", 1)]
+
+
+def test_changes_stamp_the_rows_they_touch(spark, tmp_path):
+    schema = CH.CHANGE_SCHEMA
+    base = str(tmp_path / "docs")
+    fn = CH.bucketed_upsert(base, buckets=1)
+    row = lambda i, pay: (i, None, "x", 1.0, pay, None, None)
+    fn(spark.createDataFrame([(1, "INSERT", "a", row("a", 1)), (1, "INSERT", "b", row("b", 1))], schema), 0)
+    before = {r["id"]: r["updated_at"] for r in CH.bucketed_state(spark, base).collect()}
+    fn(spark.createDataFrame([(2, "UPDATE", "a", row("a", 2))], schema), 1)
+    after = {r["id"]: r["updated_at"] for r in CH.bucketed_state(spark, base).collect()}
+    assert after["a"] > before["a"] and after["b"] == before["b"]
+
+
+def test_batches_hold_their_size(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    df = spark.range(2500).select(F.col("id").cast("string").alias("id"))
+    assert CH.write_documents(CH.export_snapshot(df), path, batch_rows=100) == (2500, 0)
+    sizes = [r["count"] for r in spark.read.parquet(path).groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 2500 and max(sizes) <= 100

@@ -555,7 +555,34 @@ def _events(spark, sf_dir):
 @register("apply_changes", _STATE_SQL)
 def q_apply_changes(spark, sf_dir):
     state = changes.apply_changes(None, changes.events_as_changes(_events(spark, sf_dir)))
-    return state.select(*_STATE_COLS)
+    return changes.live_rows(state).select(*_STATE_COLS)
+
+
+@register("apply_changes_out_of_order", _STATE_SQL)
+def q_apply_changes_out_of_order(spark, sf_dir):
+    """Three batches that arrive newest first: older upserts come after newer deletes."""
+    events = changes.events_as_changes(_events(spark, sf_dir))
+    state = None
+    for part in (2, 1, 0):  # thirds of every thousand sequence numbers, then of all of them
+        state = changes.apply_changes(state, events.where(F.floor(F.col("seq") % 1000 / 334) == part))
+    return changes.live_rows(state).select(*_STATE_COLS)
+
+
+_WHOLE_ROW = ("id", "source_file", "timestamp", "employer", "industry", "location", "country", "job_title", "gender", "employment_type",
+              "years_experience_industry", "years_experience_company", "annual_base_pay", "annual_bonus", "stock_value")
+
+
+@register("whole_row_feed", with_pay(
+    "SELECT " + ", ".join(
+        "CASE WHEN gender = 'A' THEN coalesce(annual_bonus, 0) + 1 ELSE annual_bonus END AS annual_bonus" if c == "annual_bonus" else c
+        for c in _WHOLE_ROW) + " FROM pay WHERE location <> 'NATION_1'"))
+def q_whole_row_feed(spark, sf_dir):
+    """Capture, JSON text, parse and apply with whole rows: the old snapshot becomes the new one, in every column."""
+    before, after = _snapshots(spark, sf_dir)
+    feed = changes.change_to_json(changes.capture_changes(before, after, seq=2))
+    events = changes.change_from_json(feed, changes.change_schema(after.schema))
+    state = changes.apply_changes(before.withColumn("seq", F.lit(1).cast("long")), events, enrich=False)
+    return changes.live_rows(state).select(*_WHOLE_ROW)
 
 
 @register("change_json_roundtrip", f"SELECT seq, operation, id, annual_base_pay FROM ({_EVENTS_CH_SQL}) "
@@ -577,7 +604,7 @@ def _event_stream(spark, sf_dir):
 @register("stream_changes", _STATE_SQL)
 def q_stream_changes(spark, sf_dir):
     base, ckpt = _scratch(spark, "docs"), _scratch(spark, "docs-ckpt")
-    q = changes.stream_changes(changes.events_as_changes(_event_stream(spark, sf_dir)), base, ckpt)
+    q = changes.stream_changes(changes.events_as_changes(_event_stream(spark, sf_dir)), base, ckpt, buckets=None)
     q.awaitTermination()
     return changes.current_state(spark, base).select(*_STATE_COLS)
 
@@ -947,9 +974,9 @@ def q_ingest_report(spark, sf_dir):
     return survey_csv.ingest_surveys(spark, {_S3: path})[2]
 
 
-@register("sample_rows")
+@register("sample_rows", with_pay("SELECT employer, job_title, annual_base_pay, location FROM pay ORDER BY id LIMIT 5"))
 def q_sample_rows(spark, sf_dir):
-    return survey_csv.sample_rows(pay(spark, sf_dir), 5)
+    return survey_csv.sample_rows(pay(spark, sf_dir), 5, order=("id",))
 
 
 def _strict_money_sql(x: str) -> str:
@@ -1010,7 +1037,7 @@ def q_skip_bad_rows(spark, sf_dir):
 
 @register("export_snapshot", with_pay("SELECT id, annual_base_pay FROM pay"))
 def q_export_snapshot(spark, sf_dir):
-    return changes.export_snapshot(pay(spark, sf_dir).select("id", "annual_base_pay"), 1000)
+    return changes.export_snapshot(pay(spark, sf_dir).select("id", "annual_base_pay"))
 
 
 _DOC_SQL = with_pay(

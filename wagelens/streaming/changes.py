@@ -10,13 +10,11 @@ by id, so an id with a huge share of the events does not end up in one task.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.levels import enrich_document
+from ..functions.levels import enrich_document, touch_updated_at
 
 OPS = ("INSERT", "UPDATE", "DELETE")
 
@@ -82,12 +80,24 @@ def events_as_changes(events: DataFrame) -> DataFrame:
 # Diff two snapshots
 # ---------------------------------------------------------------------------
 
-def capture_changes(before: DataFrame, after: DataFrame, key: str = "id") -> DataFrame:
+def change_schema(row: T.StructType, key: str = "id") -> T.StructType:
+    """Schema of the change events of a table: the payload is the whole row without its key."""
+    data = T.StructType([f for f in row.fields if f.name != key])
+    return T.StructType([T.StructField("seq", T.LongType()), T.StructField("operation", T.StringType()),
+                         T.StructField(key, row[key].dataType), T.StructField("data", data)])
+
+
+def capture_changes(before: DataFrame, after: DataFrame, key: str = "id", seq: int | None = None) -> DataFrame:
     """INSERT / UPDATE / DELETE events that turn ``before`` into ``after``.
 
     One full outer join on the key; rows compare as whole structs with
-    null-safe equality (exact, no hash collisions).
+    null-safe equality (exact, no hash collisions).  The payload is the whole
+    new row.  ``seq`` (say, the number of the snapshot) makes them a feed that
+    ``apply_changes`` takes: one snapshot changes an id once.
     """
+    if seq is not None:
+        return capture_changes(before, after, key).select(
+            F.lit(seq).cast("long").alias("seq"), "operation", key, "data")
     cols = [c for c in after.columns if c != key]
     b = before.select(F.col(key).alias("_bk"), F.struct(*cols).alias("_b"))
     a = after.select(F.col(key).alias("_ak"), F.struct(*cols).alias("_a"))
@@ -114,18 +124,25 @@ def latest_changes(changes: DataFrame, key: str = "id", seq: str = "seq") -> Dat
 ENRICHED = ("total_compensation", "compensation_range", "experience_level", "updated_at")
 
 
+def live_rows(state: DataFrame) -> DataFrame:
+    """The rows of a state that are not deleted, without their operation."""
+    return state.where(F.coalesce(F.col("operation") != "DELETE", F.lit(True))).drop("operation")
+
+
 def apply_changes(target: DataFrame | None, changes: DataFrame, key: str = "id",
                   enrich: bool = True, stamp: bool = False,
-                  keep_tombstones: bool = False) -> DataFrame:
-    """Upsert INSERT/UPDATE rows (enriched), remove DELETEs.
+                  keep_tombstones: bool = True) -> DataFrame:
+    """Upsert INSERT/UPDATE rows (enriched), mark DELETEs.
 
     ``target`` rows have the columns of ``data`` (+ ``seq`` and enrichment);
     ``None`` means an empty target.  The result is the new full state.  When
     the target carries ``seq``, its rows compete with the batch by sequence
     number, so an event older than the stored row does not overwrite it
-    (batches arriving out of order).  ``keep_tombstones`` keeps deleted ids
-    as rows with ``operation = 'DELETE'`` (and NULL values), so that a late,
-    older upsert cannot bring them back; readers filter them out.
+    (batches arriving out of order).  Deleted ids stay as rows with
+    ``operation = 'DELETE'`` (and NULL values), so that a late, older upsert
+    cannot bring them back; ``live_rows`` gives the others.  Without
+    ``keep_tombstones`` the result is those live rows, which forget deletes.
+    ``stamp`` sets ``updated_at`` of the rows that a change touched (F15).
     """
     data_fields = [f.name for f in changes.schema["data"].dataType.fields]
     last = latest_changes(changes.select(key, "seq", "operation", "data"), key)
@@ -152,7 +169,7 @@ def apply_changes(target: DataFrame | None, changes: DataFrame, key: str = "id",
             gone = F.col("operation") == "DELETE"
             rows = rows.withColumns({c: F.when(~gone, F.col(c)) for c in ENRICHED[:3]})
     if stamp:
-        rows = rows.withColumn("updated_at", F.current_timestamp())
+        rows = touch_updated_at(rows)
     if target is None:
         return rows
     keep = target.join(changes.select(key).distinct(), key, "left_anti")
@@ -177,7 +194,7 @@ def upsert_document(target: DataFrame, doc: DataFrame, key: str = "id") -> DataF
         seq = F.coalesce(F.col("_seq"), seq)
     changes = doc.select(seq.alias("seq"), F.lit("UPDATE").alias("operation"),
                          F.col(key), F.struct(*cols).alias("data"))
-    return apply_changes(target, changes, key, enrich=False)
+    return apply_changes(target, changes, key, enrich=False, keep_tombstones="operation" in target.columns)
 
 
 # ---------------------------------------------------------------------------
@@ -207,34 +224,31 @@ def with_write_metrics(df: DataFrame, name: str, key: str = "id"):
 # Snapshot export, document write, backfill
 # ---------------------------------------------------------------------------
 
-def export_snapshot(df: DataFrame, batch_rows: int = 1000, key: str = "id",
-                    max_partitions: int = 20_000) -> DataFrame:
-    """The table range-partitioned by id, each partition a batch in id order.
+def export_snapshot(df: DataFrame, key: str = "id") -> DataFrame:
+    """The table range-partitioned by id, each partition in id order.
 
-    Writers consume partitions in parallel instead of paging with OFFSET.
-    Partitions hold ~``batch_rows`` rows, but never more than
-    ``max_partitions`` of them: at 100 TB, 1,000-row batches would mean
-    ~10^9 tasks, so large tables get larger batches instead.
+    Writers consume partitions in parallel instead of paging with OFFSET, and
+    cut them into batches of exactly the size they ask for (``write_documents``);
+    the number of partitions follows the size of the data, not of a batch.
     """
-    n = df.count()
-    parts = max(1, min(math.ceil(n / batch_rows), max_partitions))
-    return df.repartitionByRange(parts, key).sortWithinPartitions(key)
+    return df.repartitionByRange(key).sortWithinPartitions(key)
 
 
-def write_documents(df: DataFrame, path: str, key: str = "id", mode: str = "overwrite"):
+def write_documents(df: DataFrame, path: str, key: str = "id", mode: str = "overwrite", batch_rows: int = 0):
     """Write keyed search documents; returns (ok, failed) counts.
 
-    Rows without an id are failures and are not written.
+    Rows without an id are failures and are not written.  With ``batch_rows``
+    no file holds more rows.
     """
     observed, obs = with_write_metrics(df, "documents", key)
-    observed.where(F.col(key).isNotNull()).write.mode(mode).parquet(path)
+    observed.where(F.col(key).isNotNull()).write.mode(mode).option("maxRecordsPerFile", batch_rows).parquet(path)
     m = obs.get
     return m.get("processed", 0) - m.get("failed", 0), m.get("failed", 0)
 
 
 def backfill_documents(pay: DataFrame, path: str, batch_rows: int = 1000):
     """Full copy of the table into the document store (N15 -> F14 -> N16)."""
-    return write_documents(enrich_document(export_snapshot(pay, batch_rows)), path)
+    return write_documents(enrich_document(export_snapshot(pay)), path, batch_rows=batch_rows)
 
 
 # ---------------------------------------------------------------------------
@@ -271,8 +285,7 @@ def current_state(spark: SparkSession, base: str, schema: T.StructType | None =
     vs = committed_versions(spark, base)
     if not vs:
         return None
-    state = spark.read.parquet(f"{base.rstrip('/')}/batch={vs[-1]}")
-    return state.where(F.coalesce(F.col("operation") != "DELETE", F.lit(True))).drop("operation")
+    return live_rows(spark.read.parquet(f"{base.rstrip('/')}/batch={vs[-1]}"))
 
 
 def versioned_upsert(base: str, key: str = "id"):
@@ -289,7 +302,7 @@ def versioned_upsert(base: str, key: str = "id"):
         prev_ids = [v for v in committed_versions(spark, base) if v < batch_id]
         prev = (spark.read.parquet(f"{base.rstrip('/')}/batch={prev_ids[-1]}")
                 if prev_ids else None)
-        new = apply_changes(prev, batch, key, keep_tombstones=True)
+        new = apply_changes(prev, batch, key, stamp=True)
         new.write.mode("overwrite").parquet(f"{base.rstrip('/')}/batch={batch_id}")
     return fn
 
@@ -321,7 +334,7 @@ def bucketed_upsert(base: str, buckets: int = 64, key: str = "id"):
         if is_committed(spark, root):
             prev = (spark.read.parquet(root).where(F.col("_bucket").isin(touched)))
         new = apply_changes(prev.drop("_bucket") if prev is not None else None,
-                            batch.drop("_bucket"), key, keep_tombstones=True)
+                            batch.drop("_bucket"), key, stamp=True)
         new = new.withColumn("_bucket", bucket_of(key, buckets))
         staging = f"{root}/_staging/batch={batch_id}"
         new.write.mode("overwrite").parquet(staging)
@@ -380,17 +393,17 @@ def compact_tombstones(spark: SparkSession, base: str, before_seq: int) -> int:
 
 def bucketed_state(spark: SparkSession, base: str) -> DataFrame:
     """Live rows of a bucketed table (tombstones and the bucket column removed)."""
-    t = spark.read.parquet(base)
-    return t.where(F.col("operation") != "DELETE").drop("operation", "_bucket")
+    return live_rows(spark.read.parquet(base).drop("_bucket"))
 
 
 def stream_changes(changes: DataFrame, base: str, checkpoint: str, key: str = "id",
                    available_now: bool = True, processing_time: str | None = None,
-                   buckets: int | None = None):
+                   buckets: int | None = 64):
     """Keep the document table current from a change stream.
 
-    ``buckets=None`` writes a full new version per batch (``versioned_upsert``);
-    ``buckets=B`` rewrites only the touched id-hash buckets (``bucketed_upsert``).
+    ``buckets=B`` rewrites only the touched id-hash buckets (``bucketed_upsert``,
+    read by ``bucketed_state``); ``buckets=None`` writes a full new version per
+    batch (``versioned_upsert``, read by ``current_state``), for small tables.
     """
     fn = versioned_upsert(base, key) if buckets is None else bucketed_upsert(base, buckets, key)
     w = (changes.writeStream.foreachBatch(fn)
