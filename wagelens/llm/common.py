@@ -7,6 +7,7 @@ working on UTF-8 bytes gives the same words as working on code points.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -47,6 +48,21 @@ def shared(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def released(run):
+    """``run`` over batches; at its end the worker's free memory goes back to the system.
+
+    Workers serve many tasks, and what one of them freed would else stay with the process.
+    """
+    def work(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # another C library
+            pass
+    return work
+
+
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and the row offsets; null is empty."""
     if isinstance(col, pa.ChunkedArray):

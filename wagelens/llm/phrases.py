@@ -18,7 +18,8 @@ are counted where all their pairs survived.  Survivors become a bitmap of
 fixed size (``BITS``, two places a name), built by Spark's bitmap aggregate
 and broadcast; what it lets through wrongly costs time, not results.  The
 second pass counts the texts of all n-grams that the bitmap passes, exactly,
-grouped by language and phrase.
+by language and phrase: a task packs its counts in one table a hash partition,
+and a task a partition adds them.
 
 Parts of a phrase occur as often as it does, so the same counts hold the parts
 of every cut.  Scores are decimals of 38 digits.
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, chunks_of, mix, shared, signed, small_batches, table, text_bytes
+from .common import Words, chunks_of, mix, released, shared, signed, small_batches, table, text_bytes
 
 #: piece breaks and blanks (fixed values)
 BREAKS, BLANKS = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
@@ -49,7 +50,7 @@ CAPACITY = 1 << 21
 #: bits of the survivors' bitmap, whatever the size of the data (16 MB)
 BITS = 27
 #: distinct n-grams that a task holds before it passes their counts on
-HELD = 1_500_000
+HELD = 1_000_000
 
 _IS_BREAK = np.zeros(256, bool)
 _IS_BREAK[list(BREAKS)] = True
@@ -235,25 +236,46 @@ def summarised(least: int, capacity: int):
     return run
 
 
+def partitions(mass: int, least: int) -> int:
+    """Hash partitions whose summaries hold all n-grams that occur ``least`` times; twice over, since partitions differ in mass."""
+    return max(1, -(-2 * mass // (least * CAPACITY)))
+
+
 def frequent(texts: DataFrame, sizes: tuple[int, ...], mass: int, least: int, known=None) -> DataFrame:
     """The bitmap places of a superset of the n-grams that occur ``least`` times."""
-    parts = max(1, -(-2 * mass // (least * CAPACITY)))  # twice over, since hash partitions differ in mass
-    counts = texts.mapInArrow(local_counts(sizes, known), "key long, n long")
-    return counts.repartition(parts, "key").mapInArrow(summarised(least, CAPACITY), "first long, second long")
+    parts = partitions(mass, least)
+    counts = texts.mapInArrow(released(local_counts(sizes, known)), "key long, n long")
+    return counts.repartition(parts, "key").mapInArrow(released(summarised(least, CAPACITY)), "first long, second long")
+
+
+COUNTS = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
+
 
+def packed(t: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema) as out:
+        out.write_table(t)
+    return sink.getvalue().to_pybytes()
 
-def exact_counts(known):
-    """Tasks that count the texts of the n-grams in the bitmap, and all words: (lang, words, phrase, n)."""
+
+def exact_counts(known, parts: int):
+    """Tasks that count the texts of the n-grams in the bitmap, and all words (words 0).
+
+    A row (part, counts) is the packed table of a task's counts in one hash partition.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
-        def rows():
-            keys = np.concatenate([k for k, *_ in held])
-            _, first, back = np.unique(keys, return_index=True, return_inverse=True)
-            counts = np.bincount(back, weights=np.concatenate([n for _, n, _ in held])).astype(np.int64)
-            t = pa.Table.from_batches([b for *_, b in held]).take(pa.array(first))
-            t = t.append_column("n", pa.array(counts))
-            return t.combine_chunks().to_batches()
+        def rows(more: list[tuple[np.ndarray, pa.Table]]):
+            t, names = pa.concat_tables([x for _, x in more]), np.concatenate([k for k, _ in more])
+            part = mix(names) % np.uint64(parts)
+            order = np.argsort(part, kind="stable")
+            cut = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+            for i in range(parts):
+                if cut[i] < cut[i + 1]:
+                    own = t.take(pa.array(order[cut[i]:cut[i + 1]])).group_by(["lang", "words", "phrase"]).aggregate([("n", "sum")])
+                    own = own.select(["lang", "words", "phrase", "n_sum"]).rename_columns(COUNTS.names)
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([packed(own)], pa.binary())], names=["part", "counts"])
 
         total: dict[str, int] = {}
         for batch in batches:
@@ -265,21 +287,39 @@ def exact_counts(known):
                     at, names = g.names(n)
                     passed = known.value.holds(names)
                     keys, first, count = np.unique(names[passed], return_index=True, return_counts=True)
-                    if not len(keys):
-                        continue
                     at = at[passed][first]
-                    held.append((keys, count, pa.RecordBatch.from_arrays(
-                        [pa.array(names_of[g.text[at]], pa.string()), pa.array(np.full(len(at), n, np.int32)), g.phrases(at, n)],
-                        names=["lang", "words", "phrase"])))
+                    held.append((keys, pa.Table.from_arrays([
+                        pa.array(names_of[g.text[at]], pa.string()), pa.array(np.full(len(at), n, np.int32)), g.phrases(at, n),
+                        pa.array(count.astype(np.int64))], schema=COUNTS)))
                     size += len(keys)
                 if size > HELD:
-                    yield from rows()
+                    yield from rows(held)
                     held, size = [], 0
-        if held:
-            yield from rows()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(total), pa.string()), pa.array(np.zeros(len(total), np.int32)), pa.array([""] * len(total), pa.string()),
-             pa.array(list(total.values()), pa.int64())], names=["lang", "words", "phrase", "n"])
+        words = pa.Table.from_arrays([pa.array(list(total), pa.string()), pa.array(np.zeros(len(total), np.int32)),
+                                      pa.array([""] * len(total), pa.string()), pa.array(list(total.values()), pa.int64())], schema=COUNTS)
+        with np.errstate(over="ignore"):
+            yield from rows([*held, (np.array([language_name(x) for x in total], np.uint64), words)])
+    return run
+
+
+def added_counts(least: int):
+    """Tasks that add the packed counts of a hash partition and give the phrases that reach ``least``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, fresh, size = COUNTS.empty_table(), [], 0
+
+        def fold(more: list[pa.Table]) -> pa.Table:
+            t = pa.concat_tables(more).group_by(["lang", "words", "phrase"]).aggregate([("n", "sum")])
+            return t.select(["lang", "words", "phrase", "n_sum"]).rename_columns(COUNTS.names)
+
+        for batch in batches:
+            for one in batch.column(1):
+                fresh.append(pa.ipc.open_stream(one.as_buffer()).read_all())
+                size += fresh[-1].num_rows
+                if size > HELD + total.num_rows:
+                    total, fresh, size = fold([total, *fresh]), [], 0
+        total = fold([total, *fresh])
+        n = total["n"].to_numpy()
+        yield from total.filter(pa.array((n >= least) | (total["words"].to_numpy() == 0))).combine_chunks().to_batches(100_000)
     return run
 
 
@@ -294,8 +334,9 @@ def count_phrases(docs: DataFrame, least: int = LEAST) -> DataFrame:
     known = spark.sparkContext.broadcast(Survivors.of(short))
     longer = shared(frequent(texts, tuple(range(3, LONGEST + 1)), size, least, known), "phrases-long")
     both = spark.sparkContext.broadcast(Survivors.of(short.unionByName(longer)))
-    counts = (texts.mapInArrow(exact_counts(both), "lang string, words int, phrase string, n long")
-              .groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("words") == 0)))
+    parts = partitions(size, least)
+    counts = (texts.mapInArrow(released(exact_counts(both, parts)), "part int, counts binary").repartition(parts, "part")
+              .mapInArrow(released(added_counts(least)), "lang string, words int, phrase string, n long"))
     return shared(counts, "phrases-counts")
 
 
