@@ -11,7 +11,8 @@ documents, and all pieces are added, with equal norms) gives the latent space,
 with rank enough for every piece of a block.  Passages whose cosine to a
 piece reaches ``COSINE`` are candidates; words beyond the benchmark weigh no
 more there than the piece's own words do, so that frequent words are not
-drowned.  Beside this, every place where all words of an item stand in a row
+drowned.  A passage too short in that space to reach any piece is not projected.
+Beside this, every place where all words of an item stand in a row
 is found by hash.  A candidate is a leak when the longest
 common subsequence of item and neighbourhood covers ``LCS`` of the item's
 words; below ``SURE`` the item's answer (its last sentence) must be covered by
@@ -21,8 +22,8 @@ The benchmark is read in blocks of about ``ITEMS`` pieces; of several blocks, on
 index is held at a time, and its leaks are written before the next is built.
 
 Defined cases: null text has no words; items under ``LEAST_WORDS`` words match
-where all their words stand in a row, and null items or items under
-``LEAST_EXACT`` words match nothing; repeated items and rows are reported
+where all their words stand in a row, those under ``LEAST_INSIDE`` words only a
+text that has no other words, and items without words match nothing; repeated items and rows are reported
 each; null ids are kept; an empty table on either side gives no rows; other
 columns are not read.
 """
@@ -40,13 +41,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, chunks_of, mix, shared, small_batches, table, text_bytes
+from .common import Words, chunks_of, mix, released, shared, small_batches, table, text_bytes
 
 STEP = 16
 LEAST_IDF = 0.05
 EXTRA_RANK = 32
 COSINE, LCS, SURE, ANSWER = 0.35, 0.6, 0.8, 0.5
-LEAST_WORDS, LEAST_EXACT = 8, 3
+LEAST_WORDS, LEAST_INSIDE = 8, 3
 #: words of an item that is one piece; a longer one is cut into pieces of 2 * STEP words
 LONG = 4 * STEP
 #: pieces of a block of items
@@ -91,7 +92,7 @@ class Index:
 
     def __init__(self, items: list[tuple]):
         words = _words_of([t or "" for _, t in items])
-        used = [i for i, w in enumerate(words) if len(w) >= LEAST_EXACT]
+        used = [i for i, w in enumerate(words) if len(w)]
         self.ids = [items[i][0] for i in used]
         self.words = [words[i] for i in used]
         self.answers = _words_of([answer_of(items[i][1]) for i in used])
@@ -170,7 +171,11 @@ def _exact(index: Index, w: Words) -> set[tuple[int, int]]:
         if not len(h):
             continue
         at = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h)
-        for place, d in zip(at.tolist(), (np.searchsorted(w.first, at, "right") - 1).tolist()):
+        text = np.searchsorted(w.first, at, "right") - 1
+        if n < LEAST_INSIDE:
+            alone = (w.first[text] == at) & (w.first[text + 1] == at + n)
+            at, text = at[alone], text[alone]
+        for place, d in zip(at.tolist(), text.tolist()):
             for item in index.heads[n][int(h[place])]:
                 own = index.words[item]
                 if (d, item) not in out and place + len(own) <= w.first[d + 1] and np.array_equal(w.hash[place:place + len(own)], own):
@@ -267,6 +272,33 @@ def _sum_of_tasks(parts: DataFrame, tasks: int) -> DataFrame:
             return parts
 
 
+def _near_passages(index: Index, f: np.ndarray, block: np.ndarray, square: np.ndarray, others: np.ndarray,
+                   doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(first block, latent vector, least squared product with an item) of the passages that can be candidates.
+
+    A latent item is no longer than 1, so a passage's product with it is at
+    most the passage's own length, which the counts of its words bound.  Only
+    passages whose length reaches the least product are projected; no
+    candidate is lost.
+    """
+    n = len(doc)
+    pair, count = np.unique(block * len(index.features) + f, return_counts=True)
+    length = np.sqrt(np.bincount(pair // len(index.features), weights=(count * index.idf[pair % len(index.features)]) ** 2, minlength=n))
+    begin = np.arange(n)
+    after = np.minimum(begin + 1, n - 1)
+    both = (after > begin) & (doc[after] == doc)
+    own, beyond, most = (x + np.where(both, x[after], 0) for x in (square, others, length))
+    able = np.flatnonzero((most > 0) & (most ** 2 * 1.001 + 1e-9 >= COSINE ** 2 * (own + beyond * index.beyond.min())))
+    for i in range(0, len(able), 4096):
+        rows = able[i:i + 4096]
+        needed = np.unique(np.concatenate([rows, after[rows][both[rows]]]))
+        place = np.searchsorted(needed, block)
+        used = needed[np.minimum(place, len(needed) - 1)] == block
+        part = np.vstack([_sum_by(index.weighted[f[used]], place[used], len(needed)), np.zeros((1, index.weighted.shape[1]), np.float32)])
+        vec = part[np.searchsorted(needed, rows)] + part[np.where(both[rows], np.searchsorted(needed, after[rows]), len(needed))]
+        yield rows, vec, np.maximum(1e-9, COSINE ** 2 * (own[rows, None] + beyond[rows, None] * index.beyond))
+
+
 def leaks_in(index: Index, texts: pa.Array) -> list[tuple[int, int, float]]:
     """(row, item, share of the item's words found in order) for the leaks in some texts."""
     out: list[tuple[int, int, float]] = []
@@ -285,35 +317,13 @@ def leaks_in(index: Index, texts: pa.Array) -> list[tuple[int, int, float]]:
             keep = f >= 0
             square = np.bincount(block[keep], weights=index.idf[f[keep]] ** 2, minlength=len(doc))
             others = np.bincount(block[~keep], minlength=len(doc))
-            hit = np.unique(block[keep])
-            if not len(hit):
-                continue
-            place = np.searchsorted(hit, block[keep])
-            part = _sum_by(index.weighted[f[keep]], place, len(hit))
-            # the second block of each passage, where it has words and belongs to the text
-            follow = np.searchsorted(hit, hit + 1)
-            follow_ok = (follow < len(hit)) & (hit[np.minimum(follow, len(hit) - 1)] == hit + 1)
-            follow_ok &= doc[np.minimum(hit + 1, len(doc) - 1)] == doc[hit]
             found: dict[int, set] = {}
-            for shift in (0, -1):  # passages that begin at a block with features, or one before
-                begin = hit + shift
-                ok = (begin >= 0) & (doc[np.maximum(begin, 0)] == doc[hit])
-                if shift == -1:  # only those whose first block has no features
-                    ok &= ~np.isin(begin, hit)
-                    vec, rows = part[ok], begin[ok]
-                else:
-                    vec = part.copy()
-                    vec[follow_ok] += part[follow[follow_ok]]
-                    vec, rows = vec[ok], begin[ok]
-                after = np.minimum(rows + 1, len(doc) - 1)
-                both = (after > rows) & (doc[after] == doc[rows])
-                own, beyond = (x[rows] + np.where(both, x[after], 0) for x in (square, others))
-                least = np.maximum(1e-9, (COSINE ** 2 * (own[:, None] + beyond[:, None] * index.beyond)))
+            for begin, vec, least in _near_passages(index, f[keep], block[keep], square, others, doc):
                 reach = vec @ index.latent.T
                 for r, piece in zip(*np.nonzero((reach > 0) & (reach * reach >= least))):
-                    d, item = int(doc[rows[r]]), int(index.owner[piece])
+                    d, item = int(doc[begin[r]]), int(index.owner[piece])
                     if (d, item) not in whole:
-                        found.setdefault((d, item), set()).add(int(rows[r]))
+                        found.setdefault((d, item), set()).add(int(begin[r]))
             for (d, item), blocks in found.items():
                 own, best = index.words[item], 0.0
                 for b in sorted(blocks):
@@ -345,7 +355,7 @@ def build_indexes(docs: DataFrame, benchmark: DataFrame) -> Iterator[tuple[Index
         if not index.ids:
             continue
         sent = spark.sparkContext.broadcast(index)
-        counted = texts.mapInArrow(_count_df(sent), "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()
+        counted = texts.mapInArrow(released(_count_df(sent)), "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()
         rows = next((r["n"] for r in counted if r["f"] == -1), 0)
         df = np.zeros(len(index.features), np.int64)
         for r in counted:
@@ -354,7 +364,7 @@ def build_indexes(docs: DataFrame, benchmark: DataFrame) -> Iterator[tuple[Index
         index.weigh(df, rows)
         sent.destroy()
         sent = spark.sparkContext.broadcast(index)
-        sums = _sum_of_tasks(texts.mapInArrow(_sketch(sent), "at int, task int, part binary"), texts.rdd.getNumPartitions())
+        sums = _sum_of_tasks(texts.mapInArrow(released(_sketch(sent)), "at int, task int, part binary"), texts.rdd.getNumPartitions())
         sketch, passages = np.zeros(index.omega().shape), 0.0
         for r in sums.collect():  # features x rank of one block of items
             got = np.frombuffer(bytes(r["part"]), np.float32)
@@ -396,7 +406,7 @@ def _leaks_by_block(rows: DataFrame, indexes, keys: list[str]) -> DataFrame:
     out = spark.createDataFrame([], schema)
     for index, only in indexes:
         sent = spark.sparkContext.broadcast(index)
-        found = rows.mapInArrow(_report(sent, keys), schema)
+        found = rows.mapInArrow(released(_report(sent, keys)), schema)
         if only:
             return found
         out = out.union(shared(found, "leaks"))
@@ -417,7 +427,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if first is None:
         return docs
     if first[1]:
-        return docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(first[0])), docs.schema)
+        return docs.mapInArrow(released(_clean(docs.sparkSession.sparkContext.broadcast(first[0]))), docs.schema)
     # a text that leaks does so in every row: rows go by two hashes of their text
     text = F.col("text").cast("string")
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
