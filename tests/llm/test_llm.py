@@ -302,12 +302,13 @@ def test_decontamination(spark, empty):
     w = items[1][1].split()
     rows = [(i, sentence(rng, 200, i % 3)) for i in range(40)]
     rows += [(100, sentence(rng, 50) + " " + items[0][1].upper() + " " + sentence(rng, 50)), (101, " ".join(w[:10] + ["new"] + w[10:20] + w[22:])),
-             (102, None), (103, ""), (100, items[2][1]), (None, items[3][1]), (104, " ".join(w[:8])), (105, "too short")]
+             (102, None), (103, ""), (100, items[2][1]), (None, items[3][1]), (104, " ".join(w[:8])), (105, "Too  short"),
+             (106, "a line too short for all")]
     table = spark.createDataFrame(rows, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(table, bench).collect()}
-    assert got == {(100, 0), (101, 1), (100, 2), (None, 3)}
-    assert sorted(r["doc_id"] for r in decontaminate.without_leaks(table, bench).collect()) == [*range(40), 102, 103, 104, 105]
+    assert got == {(100, 0), (101, 1), (100, 2), (None, 3), (105, 91)}
+    assert sorted(r["doc_id"] for r in decontaminate.without_leaks(table, bench).collect()) == [*range(40), 102, 103, 104, 106]
     assert decontaminate.find_leaks(table, bench.limit(0)).count() == 0 and decontaminate.find_leaks(table.limit(0), bench).count() == 0
 
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, shared, signed, small_batches, table, text_bytes, text_sets, chunks_of
+from .common import mix, released, shared, signed, small_batches, table, text_bytes, text_sets, chunks_of
 from .graph import components
 from .meeting import PACK, SLICE, blocks, meet, pack, verify
 
@@ -227,7 +227,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
     small_batches(spark)
     scheme, cut = PartEnum(num, den), partial(text_sets, n=n)
     keyed = _keyed(docs)
-    prints = shared(keyed.mapInArrow(_fingerprints(n, scheme), FINGERPRINT), "fingerprints")
+    prints = shared(keyed.mapInArrow(released(_fingerprints(n, scheme)), FINGERPRINT), "fingerprints")
 
     # one node for each distinct set, named by its fingerprint; its least row stands for it
     classes = shared(prints.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2", "n_shingles")
@@ -239,7 +239,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
     slices = max(64, math.ceil(total / SLICE))
 
     packed = keyed.where("doc_id IS NOT NULL").select("text").mapInArrow(
-        _signing(n, scheme, slices), "slice int, single binary, several binary")
+        released(_signing(n, scheme, slices)), "slice int, single binary, several binary")
     met = shared(packed.groupBy("slice").applyInArrow(meet, "sign long, node long"), "met")
 
     buckets = met.groupBy("sign").agg(F.count("*").alias("size"), F.min("node").alias("hub"))
@@ -251,13 +251,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
              .union(large.select(F.col("hub").alias("a"), F.col("node").alias("b")).where("a <> b")).distinct())
     marks = classes.select("f1", "n_shingles", "parity")
     near = (pairs.join(marks.toDF("a", "na", "pa"), "a").join(marks.toDF("b", "nb", "pb"), "b").select("a", "b", "na", "nb", "pa", "pb")
-            .mapInArrow(_plausible(scheme), "a long, b long"))
+            .mapInArrow(released(_plausible(scheme)), "a long, b long"))
     near = shared(near, "near")
     texts = _texts(keyed, classes, near.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")))
 
     checked = (near.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
                .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-               .mapInArrow(verify(cut, num, den), "a long, b long"))
+               .mapInArrow(released(verify(cut, num, den)), "a long, b long"))
     links = shared(checked, "pairs")
     comps = shared(components(links), "components")
 

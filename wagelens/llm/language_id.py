@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared, small_batches, table
+from .common import released, shared, small_batches, table
 
 PROFILE = 400
 SAMPLE = 400
 UNDETERMINED = "und"
-#: language names that a table may hold
+#: languages that are learned: of more, those with the most labelled documents
 MOST_LANGUAGES = 10_000
 
 _LETTER: list[np.ndarray] = []
@@ -98,7 +98,7 @@ class Profiles:
         self.most = most
         self.langs = sorted(by_lang)
         self.grams = np.unique(np.array([g for p in by_lang.values() for g in p], np.int64))
-        self.place = np.full((len(self.grams) + 1, len(self.langs)), -1, np.int64)
+        self.place = np.full((len(self.grams) + 1, len(self.langs)), -1, np.int32)
         for j, lang in enumerate(self.langs):
             self.place[np.searchsorted(self.grams, by_lang[lang]), j] = np.arange(len(by_lang[lang]))
 
@@ -114,8 +114,8 @@ class Profiles:
         return self.langs[best], 1.0 - float(off[best]) / (self.most * len(own))
 
     def spoken(self, text: str | None) -> bool:
-        """Whether the text is in some language: not ``und``, or with a letter where no language is known."""
-        return self.closest(text)[0] != UNDETERMINED if self.langs else len(top_grams(text, 1)) > 0
+        """Whether the text is in some language: exactly the texts with a letter are not ``und``."""
+        return len(top_grams(text, 1)) > 0
 
 
 def learn(docs: DataFrame, folds: int = 5) -> Profiles:
@@ -123,16 +123,14 @@ def learn(docs: DataFrame, folds: int = 5) -> Profiles:
     small_batches(docs.sparkSession)
     known = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").where(
         F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds))
-    sizes = known.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     if not sizes:
         return Profiles({})
     shares = docs.sparkSession.createDataFrame(
         [(r["lang"], int(1_000_000 * min(1.0, SAMPLE / r["count"])) + 1) for r in sizes], "lang string, share int")
     sample = known.join(F.broadcast(shares), "lang").where(
         F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000)) < F.col("share")).select("lang", "text")
-    counted = sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = sample.mapInArrow(released(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     best = counted.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PROFILE)
     by_lang: dict[str, list[int]] = {}
@@ -159,23 +157,30 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
     rows = docs.drop("lang_pred", "score")
     sent = spark.sparkContext.broadcast(profiles)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(_predict(sent), f"{schema}, lang_pred string, score double")
+    return rows.mapInArrow(released(_predict(sent)), f"{schema}, lang_pred string, score double")
 
 
 def _spoken(sent):
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array([sent.value.spoken(t) for t in batch["text"].to_pylist()], pa.bool_()))
+            texts = batch["text"].to_pylist()
+            if "lang" in batch.schema.names and pa.types.is_string(batch["lang"].type) and batch["lang"].null_count:
+                told = batch["lang"].to_pylist()
+                for i in np.flatnonzero(batch["lang"].is_null()).tolist():
+                    found = sent.value.closest(texts[i])[0]
+                    told[i] = None if found == UNDETERMINED else found
+                batch = batch.set_column(batch.schema.get_field_index("lang"), "lang", pa.array(told, pa.string()))
+            yield batch.filter(pa.array([sent.value.spoken(t) for t in texts], pa.bool_()))
     return run
 
 
 def with_language(docs: DataFrame, profiles: Profiles) -> DataFrame:
-    """The rows of ``docs`` whose text is in some language, all columns as they are.
+    """The rows of ``docs`` whose text is in some language; a null ``lang`` becomes the predicted one, the rest stays as it is.
 
     Only null or letterless texts go; where nothing could be learned, all others stay.
     """
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(_spoken(docs.sparkSession.sparkContext.broadcast(profiles)), docs.schema)
+    return docs.mapInArrow(released(_spoken(docs.sparkSession.sparkContext.broadcast(profiles))), docs.schema)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
