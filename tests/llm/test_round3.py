@@ -67,3 +67,13 @@ def test_pipeline_fills_in_languages(spark):
     got = corpus_pipeline.identify_language(spark, docs, "")
     assert got.columns == docs.columns
     assert {r["doc_id"]: r["lang"] for r in got.collect()} == {i: ("xa", "yb")[i % 2] for i in range(200)}
+
+
+def test_sums_of_segments():
+    rng = np.random.default_rng(34)
+    table = rng.integers(0, 9, (50, 7)).astype(np.float32)
+    for sizes in ([1], [3, 1, 200, 64, 65, 2], [70, 80], list(rng.integers(1, 100, 40))):
+        row = rng.integers(0, 50, sum(sizes))
+        first = np.cumsum([0, *sizes[:-1]])
+        want = np.add.reduceat(table[row], first, axis=0)
+        assert (decontaminate._sums(table, row, first) == want).all()

@@ -193,11 +193,34 @@ def _blocks(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return block, start, np.repeat(np.arange(len(sizes)), n)
 
 
-def _sum_by(rows: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros((n, rows.shape[1]), np.float32)
+def _sums(table: np.ndarray, row: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of ``table[row]`` over the segments that begin at ``first``.
+
+    The k-th rows of all short segments are added at once, which is much
+    faster than ``add.reduceat`` over wide rows; long segments are summed one by one.
+    """
+    size = np.diff(first, append=len(row))
+    order = np.argsort(-size, kind="stable")
+    first, size = first[order], size[order]
+    out = np.empty((len(first), table.shape[1]), table.dtype)
+    long = int((size > 64).sum())
+    for i in range(long):
+        out[i] = table[row[first[i]:first[i] + size[i]]].sum(axis=0)
+    out[long:] = table[row[first[long:]]]
+    for k in range(1, int(size[long]) if long < len(size) else 0):
+        upto = long + int(np.searchsorted(-size[long:], -k))
+        out[long:upto] += table[row[first[long:upto] + k]]
+    result = np.empty_like(out)
+    result[order] = out
+    return result
+
+
+def _sum_by(table: np.ndarray, row: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
+    """Sums of ``table[row]`` by ``key`` (ordered, below ``n``)."""
+    out = np.zeros((n, table.shape[1]), np.float32)
     if len(key):
         at = np.flatnonzero(np.diff(key, prepend=-1))
-        out[key[at]] = np.add.reduceat(rows, at, axis=0)
+        out[key[at]] = _sums(table, row, at)
     return out
 
 
@@ -238,12 +261,12 @@ def _sketch(sent):
                     passage = block - (block - start[doc[block]]) % 2  # passages of 2 * STEP words, side by side
                     if len(f):
                         new = np.diff(passage, prepend=-1) != 0
-                        y = np.add.reduceat(omega[f], np.flatnonzero(new), axis=0)
+                        y = _sums(omega, f, np.flatnonzero(new))
                         passages += len(y)
                         order = np.argsort(f, kind="stable")
                         f, passage = f[order], (np.cumsum(new) - 1)[order]
                         first = np.flatnonzero(np.diff(f, prepend=-1))
-                        total[f[first]] += np.add.reduceat(y[passage], first, axis=0)
+                        total[f[first]] += _sums(y, passage, first)
         total = (total * idf).astype(np.float32)
         task = TaskContext.get().partitionId()
         yield _part(-1, task, np.array([passages], np.float32))
@@ -294,7 +317,7 @@ def _near_passages(index: Index, f: np.ndarray, block: np.ndarray, square: np.nd
         needed = np.unique(np.concatenate([rows, after[rows][both[rows]]]))
         place = np.searchsorted(needed, block)
         used = needed[np.minimum(place, len(needed) - 1)] == block
-        part = np.vstack([_sum_by(index.weighted[f[used]], place[used], len(needed)), np.zeros((1, index.weighted.shape[1]), np.float32)])
+        part = np.vstack([_sum_by(index.weighted, f[used], place[used], len(needed)), np.zeros((1, index.weighted.shape[1]), np.float32)])
         vec = part[np.searchsorted(needed, rows)] + part[np.where(both[rows], np.searchsorted(needed, after[rows]), len(needed))]
         yield rows, vec, np.maximum(1e-9, COSINE ** 2 * (own[rows, None] + beyond[rows, None] * index.beyond))
 
