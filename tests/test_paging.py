@@ -87,3 +87,14 @@ def test_list_pay_with_fields(spark):
     assert len(got) == 5 and rows.columns == ["id", "annualBasePay", "annualBasePayFormatted"]
     assert all(r.annualBasePayFormatted.startswith("$") for r in got)
     assert info.first().total_count >= 5
+
+
+def test_deep_pages_equal_the_order(spark):
+    """Pages at every depth, over ties and nulls, are those of the whole order; beyond the end they are empty."""
+    df = pay(spark, SF_SMALL).withColumn("annual_base_pay", F.when(F.col("annual_base_pay") % 7 > 0, F.floor(F.col("annual_base_pay") / 1_000_000)))
+    sort = [("annual_base_pay", "DESC"), ("timestamp", "ASC")]
+    whole = [r["id"] for r in paging.sort_pay(df, sort).select("id").collect()]
+    for offset in (0, 3, 2990, len(whole) - 30, len(whole), len(whole) + 500):
+        got = paging.deep_page(df, sort, 70, offset).select("id").collect()
+        assert [r["id"] for r in got] == whole[offset:offset + 70]
+    assert paging.deep_page(df.limit(0), sort, 10, 5).count() == 0

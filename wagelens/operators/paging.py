@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import cents_to_dollars, format_currency, total_compensation
 from ..schema import DEFAULT_PAGE_LIMIT, MAX_PAGE_LIMIT, SortDirection, SortField
+from ..session import reuse
 from .filters import PayFilter, apply_filter
 
 SortSpec = Sequence[tuple[str | SortField, str | SortDirection]]
@@ -132,13 +133,43 @@ def clamp_limit(limit: int | None) -> int:
 
 def page(df: DataFrame, sort: SortSpec | None = None, limit: int | None = None,
          offset: int | None = None) -> DataFrame:
-    """One page (limit defaults to 20, capped at 100)."""
+    """One page (limit defaults to 20, capped at 100); a deep offset sorts its own range of the keys only."""
+    if offset and int(offset) > DEEP_OFFSET:
+        return deep_page(df, sort, limit, offset)
     out = sort_pay(df, sort)
     if offset:
         out = out.offset(int(offset))
     return out.limit(clamp_limit(limit))
 
 
+#: offsets up to which a page is taken from the head of the order
+DEEP_OFFSET = 10_000
+
+
+def deep_page(df: DataFrame, sort: SortSpec | None = None, limit: int | None = None, offset: int | None = None) -> DataFrame:
+    """O02 far from the head, for rows with a unique, non-null id.
+
+    The sort keys and ids alone are dealt into ranges of the order and counted
+    by range; only the ranges that hold the page are sorted, so no task holds
+    offset + limit rows and no full row moves.  The page's ids then filter the
+    scan.  Equal keys are told apart by id, so they fill no single range.
+    """
+    keys = sort_keys(df, sort)
+    first, size = int(offset or 0), clamp_limit(limit)
+    order = _order(keys)
+    placed = reuse(df.select(*dict.fromkeys([c for c, _ in keys] + ["id"])).repartitionByRange(*order)
+                   .withColumn("_range", F.spark_partition_id()))
+    before, skipped, wanted = 0, 0, []
+    for part, n in sorted((r["_range"], r["n"]) for r in placed.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect()):
+        if before + n <= first:
+            skipped = before + n
+        elif before < first + size:
+            wanted.append(part)
+        before += n
+    near = placed.where(F.col("_range").isin(wanted)).orderBy(*order).offset(first - skipped).limit(size)
+    return df.where(F.col("id").isin([r["id"] for r in near.select("id").collect()])).orderBy(*order)
+
+
 def page_info(df: DataFrame, limit: int | None = None, offset: int | None = None) -> DataFrame:
     """total_count, has_next_page, has_previous_page (one row)."""
     lim, off = clamp_limit(limit), int(offset or 0)

@@ -293,6 +293,12 @@ def q_list_page(spark, sf_dir):
     return _list_cols(rows)
 
 
+@register("list_page_deep", _list_sql("TRUE", "annual_base_pay DESC NULLS FIRST, timestamp ASC NULLS LAST", 50, 30_000, _LIST_COLS))
+def q_list_page_deep(spark, sf_dir):
+    rows, _ = paging.list_pay(pay(spark, sf_dir), None, LIST_SORT, limit=50, offset=30_000)
+    return _list_cols(rows)
+
+
 @register("list_page_info", with_pay(
     f"SELECT count(*) AS total_count, 40 + 20 < count(*) AS has_next_page, "
     f"TRUE AS has_previous_page FROM pay WHERE {F_LIST.to_sql()}"))
