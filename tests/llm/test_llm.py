@@ -396,7 +396,7 @@ def test_pipeline_stages(spark, docs, empty):
 def test_registered():
     import __spark_entry__ as E
     names = set(E.queries())
-    assert {f"op{n}_" for n in range(1, 11)} == {re.match(r"op\d+_", n).group() for n in names if n.startswith("op")} and "pipeline" in names
+    assert {f"op{n}_" for n in range(1, 14)} == {re.match(r"op\d+_", n).group() for n in names if n.startswith("op")} and "pipeline" in names
 
 
 def near_line_components(lines):
