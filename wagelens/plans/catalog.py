@@ -1137,6 +1137,42 @@ def q_filter_survey_fields(spark, sf_dir):
     return apply_filter(reuse(cleaned), F_SURVEY).select("id")
 
 
+#: survey fields that the pay adapter lacks, derived from its columns; the same text runs in both engines
+_OPTIONAL = {
+    "company_size": "CASE WHEN years_experience_company > 25 THEN 'Large' ELSE 'large' END",
+    "education_level": "CASE WHEN gender = 'A' THEN 'PhD' WHEN gender = 'N' THEN NULL ELSE 'BSc' END",
+    "public_private": "CASE WHEN annual_base_pay % 4 = 0 THEN 'Private' ELSE 'Public' END",
+    "employment_type": "CASE WHEN employment_type = 'O' THEN 'Full-time' WHEN gender = 'R' THEN 'full_time' ELSE 'Full-time job' END",
+    "is_happy_at_position": "CASE WHEN annual_bonus IS NULL THEN NULL ELSE annual_bonus % 2 = 0 END",
+    "plans_to_resign": "annual_base_pay % 3 = 0",
+    "is_validated": "annual_base_pay % 5 > 0",
+    "created_at": "CAST(timestamp AS TIMESTAMP) + INTERVAL 36 HOUR",
+}
+_OPTIONAL_FILTERS = {
+    "company": (PayFilter(company_size="Large", education_level="PhD", public_private="Public"),
+                "company_size = 'Large' AND education_level = 'PhD' AND public_private = 'Public'"),
+    "mood": (PayFilter(is_happy_at_position=True, plans_to_resign=False, is_validated=True),
+             "is_happy_at_position AND NOT plans_to_resign AND is_validated"),
+    "unhappy": (PayFilter(is_happy_at_position=False), "is_happy_at_position = FALSE"),
+    "created": (PayFilter(created_after="1995-03-01 12:00:00", created_before="1995-03-04 12:00:00"),
+                "created_at BETWEEN TIMESTAMP '1995-03-01 12:00:00' AND TIMESTAMP '1995-03-04 12:00:00'"),
+    "type": (PayFilter(employment_type="FULL_TIME", education_level="BSc", plans_to_resign=True),
+             "lower(employment_type) IN ('full-time', 'full_time') AND education_level = 'BSc' AND plans_to_resign"),
+}
+
+
+@register("filter_optional_fields", "WITH pay AS (" + PAY_SQL + "), t AS (SELECT id, "
+          + ", ".join(f"{x} AS {c}" for c, x in _OPTIONAL.items()) + " FROM pay) "
+          + " UNION ALL ".join(f"SELECT '{n}' AS filter, id FROM t WHERE {w}" for n, (_, w) in _OPTIONAL_FILTERS.items()))
+def q_filter_optional_fields(spark, sf_dir):
+    df = pay(spark, sf_dir).select("id", *[F.expr(x).alias(c) for c, x in _OPTIONAL.items()])
+    found = [apply_filter(df, flt).select(F.lit(n).alias("filter"), "id") for n, (flt, _) in _OPTIONAL_FILTERS.items()]
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 @register("tokenize_documents",
           f"SELECT doc_id, len({_tok_sql('text')}) AS tokens, {_tok_sql('text')}[1] AS first_token "
           "FROM documents")
