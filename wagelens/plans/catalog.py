@@ -932,6 +932,20 @@ def q_star_join(spark, sf_dir):
 
 
 
+@register("star_join_names", with_pay(
+    "SELECT id, employer AS company, location AS full_location, job_title AS title, "
+    "nullif(trim(string_split(location, ',')[1]), '') AS city FROM pay"))
+def q_star_join_names(spark, sf_dir):
+    """Back from the keys to the dimensions: every row finds its own company, place and title."""
+    df = pay(spark, sf_dir)
+    companies, places, titles = quality.build_companies(df), quality.build_locations(df), quality.build_job_titles(df)
+    j = quality.star_join(df, companies, places, titles).select("id", "company_id", "location_id", "job_title_id")
+    return (j.join(companies.select("company_id", F.col("name").alias("company")), "company_id", "left")
+            .join(places.select("location_id", "full_location", "city"), "location_id", "left")
+            .join(titles.select("job_title_id", "title"), "job_title_id", "left")
+            .select("id", "company", "full_location", "title", "city"))
+
+
 # ---------------------------------------------------------------------------
 # N: CSV round trip, report, sample, strict loader, parse-error split
 # ---------------------------------------------------------------------------
@@ -972,9 +986,14 @@ def q_ingest_csv_roundtrip(spark, sf_dir):
         F.col("data_quality_score").cast("int").alias("data_quality_score"))
 
 
-@register("ingest_report", "SELECT 'salary_survey-3.csv' AS source_file, count(*) AS rows_read, "
-          "count(*) AS rows_valid FROM (" + RAW_SQL.replace("FROM pay", "FROM (" + PAY_SQL + ")") + ") "
-          "UNION ALL SELECT 'TOTAL', count(*), count(*) FROM (" + PAY_SQL + ")")
+_LOAD_SQL = ("SELECT CASE WHEN grouping(f) = 1 THEN 'TOTAL' ELSE f END AS source_file, count(*) AS rows_read, count(*) AS rows_valid, "
+             "CAST(count_if(bad) AS BIGINT) AS rows_rejected, CAST(count_if(NOT bad) AS BIGINT) AS rows_loaded "
+             "FROM (SELECT 'salary_survey-3.csv' AS f, coalesce(annual_base_pay < 0 OR years_experience_industry < 0 "
+             "OR abs(round(years_experience_industry, 2)) >= 1000 OR abs(round(years_experience_company, 2)) >= 1000, FALSE) AS bad "
+             "FROM (" + CLEAN_SQL + ")) GROUP BY ROLLUP (f)")
+
+
+@register("ingest_report", _LOAD_SQL)
 def q_ingest_report(spark, sf_dir):
     path = _write_survey_csv(spark, sf_dir)
     return survey_csv.ingest_surveys(spark, {_S3: path})[2]
