@@ -27,6 +27,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +55,8 @@ RECALL = 0.95
 #: bins a logit of the score histograms, and the greatest logit told apart
 BINS, MOST_LOGIT = 1000, 60
 EPOCHS, BATCH, RATE = 8, 64, 0.01
+#: windows scored at once, and all that a task holds of them
+SCORED = 2048
 
 
 def base_spans(text: str, candidates: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
@@ -78,7 +82,11 @@ def candidates_of(text: str) -> list[tuple[int, int]]:
 
 def windows_of(text: str, a: int, b: int) -> list[np.ndarray]:
     """Code points (128 for any beyond ASCII, 0 outside the text) around and all over a candidate."""
-    out = []
+    return list(each_window(text, a, b))
+
+
+def each_window(text: str, a: int, b: int):
+    """The windows of ``windows_of``, one after the other."""
     step = WINDOW - 2 * BEFORE
     for at in range(a - BEFORE, max(a - BEFORE, b + BEFORE - WINDOW) + step, step):
         piece = text[max(0, at):max(0, at + WINDOW)]
@@ -86,10 +94,9 @@ def windows_of(text: str, a: int, b: int) -> list[np.ndarray]:
         line = np.zeros(WINDOW, np.uint8)
         left = max(0, -at)
         line[left:left + len(code)] = np.minimum(code, 128)
-        out.append(line)
+        yield line
         if at + WINDOW >= b + BEFORE:
             break
-    return out
 
 
 class CharNet:
@@ -165,8 +172,14 @@ class CharNet:
         return self.scaled(logit)
 
 
-def overlaps(a: int, b: int, spans) -> bool:
-    return any(s < b and a < e for s, _, e in spans)
+def overlapping(spans):
+    """Whether (a, b) overlaps one of the spans, which are in order of start: a search, not a pass over them."""
+    starts, reach = [s for s, _, _ in spans], list(accumulate((e for _, _, e in spans), max))
+
+    def overlaps(a: int, b: int) -> bool:
+        i = bisect_left(starts, b)
+        return i > 0 and reach[i - 1] > a
+    return overlaps
 
 
 def _found(batch):
@@ -176,10 +189,10 @@ def _found(batch):
         cands = candidates_of(text)
         if not cands:
             continue
-        base = base_spans(text, cands)
+        overlaps = overlapping(base_spans(text, cands))
         for a, b in cands:
             order = hashlib.md5(f"{doc_id}:{a}:{text[max(0, a - BEFORE):a + WINDOW]}".encode("utf-8", "replace")).hexdigest()
-            yield int(overlaps(a, b, base)), order, (text, a, b), int(order[-8:], 16) % 4 == 0
+            yield int(overlaps(a, b)), order, (text, a, b), int(order[-8:], 16) % 4 == 0
 
 
 def _least(batches):
@@ -202,37 +215,33 @@ def _histogram(sent):
     """(label, bin, n): the highest logits of all findings held apart."""
     def run(batches):
         net, total = sent.value, {}
-        for batch in batches:
-            labels, owner, lines, best = [], [], [], []
+        labels, tops, owner, lines = [], [], [], []
 
-            def scored():
-                if lines:
-                    np.maximum.at(top := np.full(len(labels), -np.inf), owner, net.forward(np.array(lines))[0])
-                    best.append(top)
+        def scored():
+            if lines:
+                for at, x in zip(owner, net.forward(np.array(lines))[0]):
+                    tops[at] = max(tops[at], x)
+            owner.clear()
+            lines.clear()
 
+        for batch in batches:
             for label, _, place, apart in _found(batch):
-                if apart:
-                    w = windows_of(*place)
-                    for at in range(0, len(w), 2048):  # a very long finding by parts
-                        owner += [len(labels)] * len(w[at:at + 2048])
-                        lines += w[at:at + 2048]
-                        if len(lines) >= 2048:
-                            labels.append(label)
-                            scored()
-                            last = float(best[-1][-1])
-                            _add(total, labels[:-1], best[-1][:-1])
-                            labels, owner, lines, best = [], [], [], []
-                            rest = w[at + 2048:]
-                            while rest:
-                                last = max(last, float(net.forward(np.array(rest[:2048]))[0].max()))
-                                rest = rest[2048:]
-                            _add(total, [label], [last])
-                            break
-                    else:
-                        labels.append(label)
-            scored()
-            if best:
-                _add(total, labels, best[-1])
+                if not apart:
+                    continue
+                if len(labels) == SCORED:
+                    scored()
+                    _add(total, labels, tops)
+                    labels.clear()
+                    tops.clear()
+                labels.append(label)
+                tops.append(-np.inf)
+                for line in each_window(*place):
+                    owner.append(len(tops) - 1)
+                    lines.append(line)
+                    if len(lines) == SCORED:
+                        scored()
+        scored()
+        _add(total, labels, tops)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.int32()), pa.array([k[1] for k in total], pa.int32()),
                                           pa.array(list(total.values()), pa.int64())], names=["label", "bin", "n"])
     return run
@@ -272,21 +281,31 @@ def _scan(sent):
         for batch in batches:
             ids, texts = batch["doc_id"], [t or "" for t in batch["text"].to_pylist()]
             all_base, asked, lines = [], [], []
+            added: dict[int, set] = {}
+
+            def scored():
+                for (i, a, b), q in zip(asked, net.probability(np.array(lines)) if lines else ()):
+                    if q >= net.threshold:
+                        added.setdefault(i, set()).add((a, 3, b))
+                asked.clear()
+                lines.clear()
+
             for i, text in enumerate(texts):
                 cands = candidates_of(text)
                 base = base_spans(text, cands)
                 all_base.append(base)
-                if net is not None:
-                    for a, b in cands:
-                        w = windows_of(text, a, b)
-                        asked += [(i, a, b)] * len(w)
-                        lines += w
-            added: dict[int, set] = {}
-            for at in range(0, len(lines), 2048):
-                p = net.probability(np.array(lines[at:at + 2048]))
-                for (i, a, b), q in zip(asked[at:at + 2048], p):
-                    if q >= net.threshold and not overlaps(a, b, all_base[i]):
-                        added.setdefault(i, set()).add((a, 3, b))
+                if net is None:
+                    continue
+                overlaps = overlapping(base)
+                for a, b in cands:
+                    if overlaps(a, b):  # a base span says it already
+                        continue
+                    for line in each_window(text, a, b):
+                        asked.append((i, a, b))
+                        lines.append(line)
+                        if len(lines) == SCORED:
+                            scored()
+            scored()
             say = lambda spans: ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
             yield pa.RecordBatch.from_arrays(
                 [ids, *[pa.array([sum(k == kind for _, k, _ in s) for s in all_base], pa.int64()) for kind in range(3)],
