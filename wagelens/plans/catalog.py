@@ -21,7 +21,7 @@ from ..schema import (RAW_FIELDS, TITLE_CATEGORIES, TITLE_SENIORITY, TITLE_SYNON
 from ..sources import survey_csv
 from ..session import reuse, scratch_path
 from ..sources.tables import PAY_SQL, materialized_pay, pay_inputs, read_table, table_path, with_pay, write_once
-from ..streaming import changes
+from ..streaming import changes, snapshots
 from .sqltext import PAY_D, m5_query, pct, r4
 
 #: keyword used by the keyword-title queries on the driver data (the
@@ -532,6 +532,21 @@ def q_capture_changes(spark, sf_dir):
     return ch.select("operation", "id", F.col("data.annual_bonus").alias("annual_bonus"))
 
 
+@register("capture_snapshot_changes", with_pay(
+    "SELECT CAST(2 AS BIGINT) AS seq, CASE WHEN b.id IS NULL THEN 'INSERT' WHEN a.id IS NULL THEN 'DELETE' ELSE 'UPDATE' END "
+    "AS operation, coalesce(a.id, b.id) AS id, a.annual_bonus AS annual_bonus, a.job_title AS job_title "
+    "FROM (SELECT * FROM pay WHERE location <> 'NATION_0') b FULL OUTER JOIN "
+    "(SELECT id, job_title, CASE WHEN gender = 'A' THEN coalesce(annual_bonus, 0) + 1 ELSE annual_bonus END "
+    "AS annual_bonus FROM pay WHERE location <> 'NATION_1') a ON b.id = a.id "
+    "WHERE b.id IS NULL OR a.id IS NULL OR b.annual_bonus IS DISTINCT FROM a.annual_bonus"))
+def q_capture_snapshot_changes(spark, sf_dir):
+    base = _scratch(spark, "snapshots")
+    for df in _snapshots(spark, sf_dir):
+        snapshots.write_snapshot(df, base, buckets=16)
+    ch = snapshots.capture_snapshot_changes(spark, base)
+    return ch.select("seq", "operation", "id", F.col("data.annual_bonus").alias("annual_bonus"), F.col("data.job_title").alias("job_title"))
+
+
 _EVENTS_CH_SQL = (
     "SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN 'DELETE' "
     "WHEN event_type = 'signup' THEN 'INSERT' ELSE 'UPDATE' END AS operation, "
