@@ -63,8 +63,9 @@ def _pick(df: DataFrame, key: str, attr: str) -> DataFrame:
         F.min_by(F.col(attr), F.struct((-F.col("_n")).alias("n"), F.col(attr).alias("v"))).alias(attr))
 
 
-def surrogate_key(*cols) -> Column:
-    return F.xxhash64(*cols)
+def surrogate_key(col: str) -> Column:
+    """Key of a dimension row from its natural key; 256 bits, since 64 collide among billions of names."""
+    return F.sha2(F.col(col).cast("binary"), 256)
 
 
 def build_companies(df: DataFrame) -> DataFrame:
