@@ -19,7 +19,7 @@ SHINGLE, SIMILAR = 5, (8, 10)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without a letter (``und``) go, others keep their rows as they are."""
+    """Documents with a language, the predicted one as ``lang``; those without a letter (``und``) go."""
     return language_id.with_language(docs, language_id.learn(docs))
 
 
