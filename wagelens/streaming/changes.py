@@ -147,36 +147,41 @@ def apply_changes(target: DataFrame | None, changes: DataFrame, key: str = "id",
     data_fields = [f.name for f in changes.schema["data"].dataType.fields]
     last = latest_changes(changes.select(key, "seq", "operation", "data"), key)
     fields = [f for f in data_fields if f != key]
-    beyond, newer = [], F.lit(False)
+    beyond = []
     if target is not None:
-        # the stored row of every touched id; whole, so that nothing of it is lost
-        last = last.join(target.select(key, F.struct(*target.columns).alias("_stored")), key, "left")
+        # one join meets every stored row, whole, with the change of its id
+        last = last.withColumn("_take", F.lit(True)).join(
+            target.select(F.col(key).alias("_key"), F.struct(*target.columns).alias("_stored")), F.col(key) == F.col("_key"), "full_outer")
         beyond = [c for c in target.columns
                   if c not in {key, "seq", "operation", "_bucket", *fields, *(ENRICHED[:3] if enrich else ())}]
+        take = F.coalesce("_take", F.lit(False))
         if "seq" in target.columns:
-            newer = F.coalesce(F.col("_stored.seq") > F.col("seq"), F.lit(False))
-    live = last.where(~newer)
-    if not keep_tombstones:
-        live = live.where(F.col("operation") != "DELETE")
+            # an event older than the stored row changes nothing
+            take &= ~F.coalesce(F.col("_stored.seq") > F.col("seq"), F.lit(False))
+        last = last.withColumn("_take", take)
     deleted = F.col("operation") == "DELETE"
-    rows = live.select(key, "seq", *(["operation"] if keep_tombstones else []),
+    if not keep_tombstones:
+        last = last.where(~deleted if target is None else ~F.col("_take") | ~deleted)
+    rows = last.select(key, "seq", *(["operation"] if keep_tombstones else []),
                        *[F.col(f"data.{f}").alias(f) for f in fields],
                        # columns that the payload does not carry keep their stored values
-                       *[F.when(~deleted, F.col(f"_stored.{c}")).alias(c) for c in beyond])
+                       *[F.when(~deleted, F.col(f"_stored.{c}")).alias(c) for c in beyond],
+                       *(["_take", "_stored"] if target is not None else []))
     if enrich:
         rows = enrich_document(rows)
         if keep_tombstones:
-            gone = F.col("operation") == "DELETE"
-            rows = rows.withColumns({c: F.when(~gone, F.col(c)) for c in ENRICHED[:3]})
+            rows = rows.withColumns({c: F.when(~deleted, F.col(c)) for c in ENRICHED[:3]})
     if stamp:
         rows = touch_updated_at(rows)
     if target is None:
         return rows
-    keep = target.join(changes.select(key).distinct(), key, "left_anti")
-    if "seq" in target.columns:
-        # an event older than the stored row changes nothing
-        keep = keep.unionByName(last.where(newer).select("_stored.*"))
-    return keep.unionByName(rows, allowMissingColumns=True)
+    made = [c for c in rows.columns if c not in ("_take", "_stored")]
+
+    def either(c):
+        change = F.when(F.col("_take"), F.col(c)) if c in made else F.when(F.col("_take"), F.lit(None))
+        return (change.otherwise(F.col(f"_stored.{c}")) if c in target.columns else change).alias(c)
+
+    return rows.select(*map(either, [*target.columns, *[c for c in made if c not in target.columns]]))
 
 
 def upsert_document(target: DataFrame, doc: DataFrame, key: str = "id") -> DataFrame:
