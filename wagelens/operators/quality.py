@@ -9,12 +9,14 @@ data, so the star join leaves the broadcast decision to AQE's runtime size.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import TITLE_CATEGORIES, TITLE_SENIORITY, VARCHAR_LIMITS
+from ..session import scratch_path
 from .search import normalize_title
 
 #: validation rules beyond the table constraints
@@ -127,6 +129,17 @@ def build_job_titles(df: DataFrame) -> DataFrame:
                     title_seniority("title").alias("seniority_level"))
 
 
+def load_dimension(dim: DataFrame) -> DataFrame:
+    """A dimension written once to the shared folder and read back.
+
+    Every join that follows reads it instead of building it again, and knows
+    its size from its files: the facts are not shuffled for a small one.
+    """
+    path = scratch_path(dim.sparkSession, f"dimension-{uuid.uuid4().hex}")
+    dim.write.parquet(path)
+    return dim.sparkSession.read.schema(dim.schema).parquet(path)
+
+
 def normalize_employer(col) -> Column:
     c = F.lower(F.trim(F.col(col) if isinstance(col, str) else col))
     c = F.regexp_replace(c, r"[.,]", "")
@@ -173,8 +186,8 @@ def deduplicate(df: DataFrame, keys: Sequence[str] | None = None,
 def star_join(pay: DataFrame, companies: DataFrame, locations: DataFrame,
               titles: DataFrame) -> DataFrame:
     """Attach dimension keys to the facts (left joins on natural keys)."""
-    # dimensions grow with the data: AQE broadcasts one only when its
-    # materialized size is under the threshold, otherwise the join shuffles
+    # dimensions grow with the data: one is broadcast only when its size, from
+    # its files (``load_dimension``) or AQE, is under the threshold, otherwise the join shuffles
     comp = companies.select(F.col("name").alias("employer"), "company_id")
     locs = locations.select(F.col("full_location").alias("location"), "location_id")
     tits = titles.select(F.col("title").alias("job_title"), "job_title_id")
