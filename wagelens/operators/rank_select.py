@@ -69,20 +69,22 @@ def _targets(n: Column, probs: Sequence[float]) -> Column:
 def narrow(rows: DataFrame, brackets: DataFrame, keys: Sequence[str], few: bool, first: bool) -> DataFrame:
     """One round: (keys, _lo, _hi, _targets) with every bracket cut to the bins that hold its ranks."""
     b = _renamed(brackets, keys, "_lo", "_hi", "_targets", few=few)
-    met = rows.join(b, [*_on(rows, b, keys), F.col("_v").between(F.col("_lo"), F.col("_hi"))])
+    ends = b.drop("_targets")  # an array among the counts would have every row sorted
+    met = rows.join(ends, [*_on(rows, ends, keys), F.col("_v").between(F.col("_lo"), F.col("_hi"))])
     at, width = F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo") + 1
     wide = (F.floor(F.log1p(at.cast("double")) * LOG_BINS) if first
             else F.floor(at.cast("double") / width.cast("double") * BINS))
-    bins = (met.select(*[rows[k] for k in keys], "_lo", "_v", "_targets",
+    bins = (met.select(*[rows[k] for k in keys], "_lo", "_v",
                        F.when(width <= BINS, at).otherwise(wide).cast("long").alias("_bin"))
             .groupBy(*keys, "_lo", "_bin")
-            .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most"),
-                 F.first("_targets").alias("_targets")))
+            .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most")))
     order = Window.partitionBy(*keys, "_lo").orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = bins.withColumn("_upto", F.sum("_c").over(order)).withColumn("_before", F.col("_upto") - F.col("_c"))
+    ranks = b.select(*[F.col(f"_g{i}").alias(f"_h{i}") for i in range(len(keys))], F.col("_lo").alias("_from"), "_targets")
+    cut = cut.join(ranks, [*[cut[k].eqNullSafe(ranks[f"_h{i}"]) for i, k in enumerate(keys)], cut["_lo"] == ranks["_from"]])
     held = F.filter("_targets", lambda x: (x["r"] >= F.col("_before")) & (x["r"] < F.col("_upto")))
     return (cut.withColumn("_held", held).where(F.size("_held") > 0)
-            .select(*keys, F.col("_least").alias("_lo"), F.col("_most").alias("_hi"),
+            .select(*[cut[k] for k in keys], F.col("_least").alias("_lo"), F.col("_most").alias("_hi"),
                     F.transform("_held", lambda x: F.struct(x["t"].alias("t"), (x["r"] - F.col("_before")).alias("r"))).alias("_targets")))
 
 
