@@ -33,7 +33,9 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -74,19 +76,52 @@ def answer_of(text: str) -> str:
     return parts[-1] if parts else ""
 
 
-def common_subsequence(pattern: np.ndarray, text: np.ndarray) -> int:
-    """Length of the longest common subsequence (bit-parallel, one step a word)."""
+def masks_of(pattern: np.ndarray) -> dict[int, int]:
+    """The places of each word of a pattern as bits."""
     at: dict[int, int] = {}
     for i, w in enumerate(pattern.tolist()):
         at[w] = at.get(w, 0) | (1 << i)
+    return at
+
+
+def common_subsequence(pattern: np.ndarray, text: np.ndarray, at: dict[int, int] | None = None, least: float = 0.0) -> int:
+    """Length of the longest common subsequence (bit-parallel, one step a word of the pattern).
+
+    ``at``: ``masks_of(pattern)``.  Where it cannot reach ``least``, the number of the pattern's words that the text has.
+    """
+    masks = [m for m in map((masks_of(pattern) if at is None else at).get, text.tolist()) if m]
+    most = reduce(or_, masks, 0).bit_count()
+    if most < least:
+        return most
     full = (1 << len(pattern)) - 1
     v = full
-    for w in text.tolist():
-        u = v & at.get(w, 0)
+    for m in masks:
+        u = v & m
         v = ((v + u) | (v - u)) & full
     return len(pattern) - v.bit_count()
 
 
+class Lookup:
+    """Places in a sorted array of distinct hashes, found by their leading bits."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = min(20, len(keys).bit_length() + 4)
+        self.keys, self.shift = keys, np.uint64(64 - bits)
+        self.first = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.ended = np.append(keys, np.uint64(2 ** 64 - 1))
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        """Place of each hash; -1 where it is no key."""
+        at = self.first[h >> self.shift]
+        found = self.ended[at]
+        behind = np.flatnonzero(found < h)
+        while len(behind):  # as often as keys share their leading bits
+            at[behind] += 1
+            found[behind] = self.ended[at[behind]]
+            behind = behind[found[behind] < h[behind]]
+        return np.where((found == h) & (at < len(self.keys)), at, -1)
+
+
 class Index:
     """One block of benchmark items and its latent space."""
 
@@ -105,15 +140,16 @@ class Index:
             for i, w in enumerate(self.words):
                 n = min(len(w), LEAST_WORDS)
                 self.heads.setdefault(n, {}).setdefault(int(_rows_of_words(w[:n], n)[0]), []).append(i)
-        self.head_keys = {n: np.array(sorted(h), np.uint64) for n, h in self.heads.items()}
+        self.head_places = {n: Lookup(np.array(sorted(h), np.uint64)) for n, h in self.heads.items()}
+        self.places = Lookup(self.features)
+        self.masks = [(masks_of(w), masks_of(a)) for w, a in zip(self.words, self.answers)]
         self.idf = np.zeros(len(self.features))
         self.other = 1.0
         self.basis = np.zeros((len(self.features), 0), np.float32)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Feature of each word; -1 for a word that the benchmark lacks."""
-        at = np.minimum(np.searchsorted(self.features, h), len(self.features) - 1)
-        return np.where(self.features[at] == h, at, -1)
+        return self.places(h)
 
     def weigh(self, df: np.ndarray, rows: int) -> None:
         self.idf = np.log((1 + rows) / (1 + df)) + LEAST_IDF
@@ -166,11 +202,11 @@ def _rows_of_words(h: np.ndarray, n: int) -> np.ndarray:
 def _exact(index: Index, w: Words) -> set[tuple[int, int]]:
     """(text, item) where all words of the item stand in a row."""
     out = set()
-    for n, keys in index.head_keys.items():
+    for n, places in index.head_places.items():
         h = _rows_of_words(w.hash, n)
         if not len(h):
             continue
-        at = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h)
+        at = np.flatnonzero(places(h) >= 0)
         text = np.searchsorted(w.first, at, "right") - 1
         if n < LEAST_INSIDE:
             alone = (w.first[text] == at) & (w.first[text + 1] == at + n)
@@ -263,7 +299,7 @@ def _sketch(sent):
                         new = np.diff(passage, prepend=-1) != 0
                         y = _sums(omega, f, np.flatnonzero(new))
                         passages += len(y)
-                        order = np.argsort(f, kind="stable")
+                        order = np.argsort(f.astype(np.uint16) if len(index.features) <= 65536 else f, kind="stable")
                         f, passage = f[order], (np.cumsum(new) - 1)[order]
                         first = np.flatnonzero(np.diff(f, prepend=-1))
                         total[f[first]] += _sums(y, passage, first)
@@ -348,13 +384,13 @@ def leaks_in(index: Index, texts: pa.Array) -> list[tuple[int, int, float]]:
                     if (d, item) not in whole:
                         found.setdefault((d, item), set()).add(int(begin[r]))
             for (d, item), blocks in found.items():
-                own, best = index.words[item], 0.0
+                own, best, (masks, answer) = index.words[item], 0.0, index.masks[item]
                 for b in sorted(blocks):
                     at = w.first[d] + (b - start[d]) * STEP
                     span = w.hash[max(w.first[d], at - len(own)):min(w.first[d + 1], at + 2 * STEP + len(own))]
-                    share = common_subsequence(own, span) / len(own)
+                    share = common_subsequence(own, span, masks, LCS * len(own)) / len(own)
                     if LCS <= share < SURE and len(index.answers[item]):
-                        if common_subsequence(index.answers[item], span) < ANSWER * len(index.answers[item]):
+                        if common_subsequence(index.answers[item], span, answer) < ANSWER * len(index.answers[item]):
                             share = 0.0
                     best = max(best, share)
                     if best == 1.0:
