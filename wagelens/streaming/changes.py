@@ -239,6 +239,12 @@ def export_snapshot(df: DataFrame, key: str = "id") -> DataFrame:
     return df.repartitionByRange(key).sortWithinPartitions(key)
 
 
+#: for very many small files: no checksum file beside each (on local disks Hadoop starts a process for every file it
+#: makes; Parquet pages hold checksums of their own), and no dictionaries, which a batch is too short for
+SMALL_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true",
+               "parquet.enable.dictionary": "false"}
+
+
 def write_documents(df: DataFrame, path: str, key: str = "id", mode: str = "overwrite", batch_rows: int = 0):
     """Write keyed search documents; returns (ok, failed) counts.
 
@@ -246,7 +252,8 @@ def write_documents(df: DataFrame, path: str, key: str = "id", mode: str = "over
     no file holds more rows.
     """
     observed, obs = with_write_metrics(df, "documents", key)
-    observed.where(F.col(key).isNotNull()).write.mode(mode).option("maxRecordsPerFile", batch_rows).parquet(path)
+    rows = observed.where(F.col(key).isNotNull()).write.mode(mode).option("maxRecordsPerFile", batch_rows)
+    (rows.options(**SMALL_FILES) if batch_rows else rows).parquet(path)
     m = obs.get
     return m.get("processed", 0) - m.get("failed", 0), m.get("failed", 0)
 
