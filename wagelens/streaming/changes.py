@@ -10,11 +10,12 @@ by id, so an id with a huge share of the events does not end up in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.levels import enrich_document, touch_updated_at
+from ..session import _fs, is_committed
 
 OPS = ("INSERT", "UPDATE", "DELETE")
 
@@ -87,11 +88,23 @@ def change_schema(row: T.StructType, key: str = "id") -> T.StructType:
                          T.StructField(key, row[key].dataType), T.StructField("data", data)])
 
 
+NESTED = (T.ArrayType, T.StructType, T.MapType)
+
+
+def row_digests(columns: list[str], name: str) -> list[Column]:
+    """``<name>1`` and ``<name>2``: two 64-bit hashes of the values of a row and of which are null (no nested columns)."""
+    told = [x for c in columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    return [F.xxhash64(F.lit(1), *told).alias(f"{name}1"), F.xxhash64(F.lit("second"), *reversed(told)).alias(f"{name}2")]
+
+
 def capture_changes(before: DataFrame, after: DataFrame, key: str = "id", seq: int | None = None) -> DataFrame:
     """INSERT / UPDATE / DELETE events that turn ``before`` into ``after``.
 
-    One full outer join on the key; rows compare as whole structs with
-    null-safe equality (exact, no hash collisions).  The payload is the whole
+    One full outer join on the key.  Of ``before`` only the key and two 64-bit
+    digests of a row are shuffled, and of ``after`` those and the columns that
+    are read from the events: two rows that differ pass as equal by a chance of
+    about 2^-128.  Nested columns, whose hashes do not tell where a null
+    stands, are carried whole and compared null-safe.  The payload is the whole
     new row.  ``seq`` (say, the number of the snapshot) makes them a feed that
     ``apply_changes`` takes: one snapshot changes an id once.
     """
@@ -99,12 +112,18 @@ def capture_changes(before: DataFrame, after: DataFrame, key: str = "id", seq: i
         return capture_changes(before, after, key).select(
             F.lit(seq).cast("long").alias("seq"), "operation", key, "data")
     cols = [c for c in after.columns if c != key]
-    b = before.select(F.col(key).alias("_bk"), F.struct(*cols).alias("_b"))
-    a = after.select(F.col(key).alias("_ak"), F.struct(*cols).alias("_a"))
+    nested = [c for c in cols if any(isinstance(d.schema[c].dataType, NESTED) for d in (before, after))]
+    # a column whose type changed compares as the common type of both, as a comparison of the structs would
+    cast = [c for c in cols if c not in nested and before.schema[c].dataType != after.schema[c].dataType]
+    flat = [c for c in cols if c not in nested and c not in cast]
+    whole = F.struct(*[F.col(f"`{c}`") for c in (*nested, *cast)]) if nested or cast else F.lit(True)
+    b = before.select(F.col(key).alias("_bk"), *row_digests(flat, "_b"), whole.alias("_bn"))
+    a = after.select(F.col(key).alias("_ak"), *row_digests(flat, "_a"), whole.alias("_an"), F.struct(*cols).alias("_a"))
     j = b.join(a, b["_bk"] == a["_ak"], "full_outer")
+    same = (F.col("_b1") == F.col("_a1")) & (F.col("_b2") == F.col("_a2")) & F.col("_bn").eqNullSafe(F.col("_an"))
     op = (F.when(F.col("_bk").isNull(), F.lit("INSERT"))
            .when(F.col("_ak").isNull(), F.lit("DELETE"))
-           .when(~F.col("_b").eqNullSafe(F.col("_a")), F.lit("UPDATE")))
+           .when(~same, F.lit("UPDATE")))
     return (j.select(op.alias("operation"), F.coalesce("_ak", "_bk").alias(key),
                      F.col("_a").alias("data"))
              .where(F.col("operation").isNotNull()))
@@ -276,9 +295,6 @@ def read_changes(spark: SparkSession, path: str, fmt: str = "json",
     return r.load(path)
 
 
-from ..session import _fs, is_committed  # noqa: E402
-
-
 def committed_versions(spark: SparkSession, base: str) -> list[int]:
     """Batch ids with a completed (``_SUCCESS``) table version under ``base``."""
     fs, p = _fs(spark, base)
