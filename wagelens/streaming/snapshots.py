@@ -58,7 +58,7 @@ def write_snapshot(df: DataFrame, base: str, key: str = "id", buckets: int = 64)
     place = f"{root}/version={number}"
     # every task writes its rows of each bucket: no row is shuffled to be stored
     cut = df.withColumn("_bucket", bucket_of(key, buckets))
-    cut.write.mode("overwrite").partitionBy("_bucket").parquet(place)
+    cut.write.mode("overwrite").option("compression", "zstd").partitionBy("_bucket").parquet(place)
     cut.limit(0).write.mode("overwrite").parquet(f"{place}/_schema")  # an empty snapshot keeps its columns
     stored = spark.read.schema(cut.schema).parquet(place)
     bucket_digests(stored, key).coalesce(1).write.mode("overwrite").parquet(f"{place}/_digests")  # one row a bucket
