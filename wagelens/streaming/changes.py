@@ -10,12 +10,15 @@ by id, so an id with a huge share of the events does not end up in one task.
 
 from __future__ import annotations
 
+import math
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.levels import enrich_document, touch_updated_at
-from ..session import _fs, is_committed
+from ..session import _fs, is_committed, scratch_path
 
 OPS = ("INSERT", "UPDATE", "DELETE")
 
@@ -129,6 +132,32 @@ def capture_changes(before: DataFrame, after: DataFrame, key: str = "id", seq: i
              .where(F.col("operation").isNotNull()))
 
 
+#: aim for the stored bytes of one key bucket
+BUCKET_BYTES = 32 << 20
+
+
+def key_buckets(*dfs: DataFrame) -> int:
+    """Buckets of about ``BUCKET_BYTES`` for the largest of some frames, by the files under them; eight at least."""
+    def stored(df):
+        return sum(fs.getFileStatus(p).getLen() for fs, p in (_fs(df.sparkSession, f) for f in df.inputFiles()))
+
+    return max(8, *(math.ceil(stored(df) / BUCKET_BYTES) for df in dfs))
+
+
+def stored_by_key(df: DataFrame, buckets: int, key: str = "id") -> DataFrame:
+    """``df`` written once in key buckets and read back, so that joins on the key shuffle none of its rows.
+
+    Parquet holds a row in a third of the bytes of a shuffle or less.  The table
+    is known to the session's catalog only while it is looked up.
+    """
+    spark, name = df.sparkSession, f"by_key_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", scratch_path(spark, name)).option("compression", "zstd").saveAsTable(name, format="parquet")
+    stored = spark.table(name)
+    stored.schema  # noqa: B018 - resolved before the name goes; the files stay
+    spark.sql(f"DROP TABLE {name}")
+    return stored
+
+
 # ---------------------------------------------------------------------------
 # Latest event per id and apply
 # ---------------------------------------------------------------------------
